@@ -2,6 +2,7 @@
 
 from .config import MatchRule, ValidationConfig
 from .plans import Validator, validate
+from .session import tune
 from .schema import PAIR_SCHEMA, TRUTH_SCHEMA
 
-__all__ = ["MatchRule", "PAIR_SCHEMA", "TRUTH_SCHEMA", "ValidationConfig", "Validator", "validate"]
+__all__ = ["MatchRule", "PAIR_SCHEMA", "TRUTH_SCHEMA", "ValidationConfig", "Validator", "tune", "validate"]

@@ -4,6 +4,9 @@ The ER side is unique per pair; the truth side may hold any number of rows for
 one pair. Pairs with more truth rows than one task should handle are split: their
 truth rows get a slot from a hash of the row, their one ER row is repeated once
 per slot, and the slot joins the key. All other pairs use slot 0.
+
+Through aggregates, shuffles and joins each row travels as one struct (``eo`` for
+the ER output, ``tf`` for the truth) and is unpacked in the last projection only.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import ValidationConfig
 from ..functions.keys import pair_key
-from .columns import ER_SIDE, TRUTH_SIDE, mark_side
 
 # Null-safe identity of a pair that equi-joins and groupings share, so that a
 # partitioning by it serves all of them: the keys with NULL read as '', and
@@ -43,16 +45,17 @@ def pairing_id(config: ValidationConfig) -> dict[str, Column]:
 
 
 def heavy_pairs(profile: DataFrame, config: ValidationConfig) -> DataFrame:
-    """The pairs to split and into how many slots.
+    """The pairs to split and into how many slots, from a truth profile.
 
     At most ``max_hot_pairs`` rows, the largest pairs first, so it is safe to
     broadcast. Pairs that miss the list are joined whole: each of them holds
     less than one part in ``max_hot_pairs`` of the truth.
     """
     ids = pairing_id(config)
-    load = profile
+    rows = F.col("_yes_rows") + F.col("_no_rows")
+    load = profile.select(*[e.alias(n) for n, e in ids.items()], rows.alias("_rows"))
     if config.compat:
-        load = profile.groupBy(*[e.alias(n) for n, e in ids.items()]).agg(F.sum("_rows").alias("_rows"))
+        load = load.groupBy(*ids).agg(F.sum("_rows").alias("_rows"))
     return (
         load.where(F.col("_rows") > config.hot_pair_rows)
         .orderBy(F.desc("_rows"), *ids)
@@ -62,27 +65,29 @@ def heavy_pairs(profile: DataFrame, config: ValidationConfig) -> DataFrame:
 
 
 def join_sides(er: DataFrame, truth: DataFrame, heavy: DataFrame, config: ValidationConfig) -> DataFrame:
-    """Full outer join of unique ER rows and truth rows, columns marked by side.
+    """Full outer join of unique ER rows and truth rows.
 
-    ``er`` and ``truth`` carry ``PAIR_ID``. Adds ``_in_er`` and ``_in_truth``.
+    Both inputs carry ``PAIR_ID`` next to their own columns (``er``: eo,
+    error_matrix; ``truth``: tf, copies), which the result keeps. A side that
+    has no row for a pair is NULL.
     """
     ids = pairing_id(config)
-    heavy = F.broadcast(heavy)
-    payload = [c for c in truth.columns if c not in PAIR_ID]
     slots = F.coalesce(F.col("_splits"), F.lit(1))
+    heavy = F.broadcast(heavy)
+
+    def on_side(df: DataFrame, slot: Column, side: str) -> DataFrame:
+        keys = [F.col(c).alias(f"{c}_{side}") for c in ids]
+        return df.withColumns(ids).join(heavy, list(ids), "left").select(*keys, slot.alias(f"_slot_{side}"), *df.columns, "_splits")
 
-    left = er.withColumns(ids).join(heavy, list(ids), "left")
-    left = left.withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1)))
-    right = truth.withColumns(ids).join(heavy, list(ids), "left")
-    right = right.withColumn("_slot", F.pmod(F.xxhash64(*payload), slots).cast("int")).drop("_splits")
+    left = on_side(er, F.explode(F.sequence(F.lit(0), slots - 1)), "eo").drop(*PAIR_ID)
+    row_slot = F.pmod(F.xxhash64("tf"), slots).cast("int")
+    right = on_side(truth, row_slot, "tf").drop(*PAIR_ID, "_splits")
 
-    left, right = mark_side(left, ER_SIDE), mark_side(right, TRUTH_SIDE)
-    same_slot = [F.col(c + ER_SIDE) == F.col(c + TRUTH_SIDE) for c in (*ids, "_slot")]
-    in_er, in_truth = F.col("_slot" + ER_SIDE).isNotNull(), F.col("_slot" + TRUTH_SIDE).isNotNull()
+    same = [F.col(f"{c}_eo") == F.col(f"{c}_tf") for c in (*ids, "_slot")]
     # A split pair has truth rows, so its ER row in a slot without any is surplus.
-    surplus = F.col("_splits" + ER_SIDE).isNotNull() & ~in_truth
+    surplus = F.col("_splits").isNotNull() & F.col("_slot_tf").isNull()
     return (
-        left.join(right, same_slot, "full_outer")
+        left.join(right, same, "full_outer")
         .where(~surplus)
-        .withColumns({"_in_er": in_er, "_in_truth": in_truth})
+        .select("eo", "error_matrix", "tf", "copies")
     )

@@ -1,4 +1,8 @@
-"""Record classes, mismatch codes and their explanation."""
+"""Record classes, mismatch codes and their explanation.
+
+A record frame has the sides as structs (``eo`` with ``error_matrix``, ``tf``
+with ``copies``), NULL where a side lacks the record.
+"""
 
 from __future__ import annotations
 
@@ -16,19 +20,43 @@ from ..functions.decode import (
 )
 from ..functions.keys import dashed_text
 from .columns import ER_SIDE, TRUTH_SIDE
-from .verdict import FINGERPRINT
+from .pairing import PAIR_ID, with_pair_id
+from .verdict import FINGERPRINT, truth_verdicts
+
+RECORD_CLASSES = ("match", "mismatch", "extra", "missing")
+
+
+def _eo(name: str) -> Column:
+    return F.col(f"eo.{name}")
+
+
+def _tf(name: str) -> Column:
+    return F.col(f"tf.{name}")
+
+
+def _in_er() -> Column:
+    return F.col("eo").isNotNull()
+
+
+def _in_truth() -> Column:
+    return F.col("tf").isNotNull()
 
-COPIES = "_copies"
 
+def _in_both() -> Column:
+    return _in_er() & _in_truth()
 
-def distinct_rows(truth: DataFrame) -> DataFrame:
-    """Distinct truth rows and how often each occurs.
+
+def truth_rows(truth: DataFrame, config: ValidationConfig, flagged: DataFrame | None) -> DataFrame:
+    """``PAIR_ID``, ``tf`` and ``copies``: distinct truth rows, how often each occurs.
 
     ER rows are unique per pair, so making the truth distinct here gives the
     same rows as making the joined result distinct, over half the columns.
     Copies are combined on the map side.
     """
-    return truth.groupBy(*truth.columns).agg(F.count(F.lit(1)).alias(COPIES))
+    distinct = truth.groupBy(*truth.columns).agg(F.count(F.lit(1)).alias("copies"))
+    scored = truth_verdicts(distinct, config, flagged)
+    tf = F.struct(*truth.columns, "match_status_manual").alias("tf")
+    return with_pair_id(scored, config).select(*PAIR_ID, tf, "copies")
 
 
 def classify_records(pairs: DataFrame, config: ValidationConfig) -> DataFrame:
@@ -36,54 +64,43 @@ def classify_records(pairs: DataFrame, config: ValidationConfig) -> DataFrame:
 
     Classes: match, mismatch, extra (ER output only), missing (truth only).
     """
-    both = F.col("_in_er") & F.col("_in_truth")
-    truth_print = F.md5(dashed_text(c + TRUTH_SIDE for c in config.columns))
-    status = fingerprint_status(
-        F.col(FINGERPRINT + ER_SIDE), F.when(F.col("_in_truth"), truth_print)
-    )
+    truth_print = F.when(_in_truth(), F.md5(dashed_text(f"tf.{c}" for c in config.columns)))
+    status = F.col("validation_status")
     record_class = (
-        F.when(~F.col("_in_truth"), "extra")
-        .when(~F.col("_in_er"), "missing")
-        .when(F.col("validation_status") == MATCH, "match")
+        F.when(~_in_truth(), "extra")
+        .when(~_in_er(), "missing")
+        .when(status == MATCH, "match")
         .otherwise("mismatch")
     )
-    records = pairs.withColumn("validation_status", status).withColumn("record_class", record_class)
+    records = pairs.withColumn("validation_status", fingerprint_status(_eo(FINGERPRINT), truth_print))
+    records = records.withColumn("record_class", record_class)
     if not config.compat:
         return records
     # Compat: a differing pair whose source key is NULL is reported nowhere.
     source_key = config.key_columns[0]
-    lost = both & (F.col("validation_status") == MISMATCH) & (
-        F.col(source_key + ER_SIDE).isNull() | F.col(source_key + TRUTH_SIDE).isNull()
-    )
-    return records.where(~lost)
+    unkeyed = _eo(source_key).isNull() | _tf(source_key).isNull()
+    return records.where(~(_in_both() & (status == MISMATCH) & unkeyed))
 
 
 def agreements(config: ValidationConfig) -> list[Column]:
     """For each compared column, in bit order: do the sides agree?"""
-
-    def agree(name: str) -> Column:
-        er, truth = F.col(name + ER_SIDE), F.col(name + TRUTH_SIDE)
-        if name in config.token_columns:
-            return shares_token(er, truth, config.compat)
-        return same_value(er, truth)
-
-    return [agree(c) for c in config.columns]
+    return [
+        shares_token(_eo(c), _tf(c), config.compat)
+        if c in config.token_columns
+        else same_value(_eo(c), _tf(c))
+        for c in config.columns
+    ]
 
 
 def record_code(config: ValidationConfig) -> Column:
     """Bits of a compared pair; all zeros for a record one side lacks."""
-    compared = mismatch_code(agreements(config))
-    both = F.col("_in_er") & F.col("_in_truth")
-    return F.when(both, compared).otherwise(F.lit("0" * config.unmatched_zeros))
+    return F.when(_in_both(), mismatch_code(agreements(config))).otherwise("0" * config.unmatched_zeros)
 
 
 def unmatched_flag(config: ValidationConfig) -> Column:
     """NULL for a compared pair, false for an extra and true for a missing record."""
-    both = F.col("_in_er") & F.col("_in_truth")
-    only_truth = ~F.col("_in_er")
-    if config.compat:
-        only_truth = F.col(config.key_columns[0] + TRUTH_SIDE).isNotNull()
-    return F.when(~both, only_truth)
+    missing = _tf(config.key_columns[0]).isNotNull() if config.compat else ~_in_er()
+    return F.when(~_in_both(), missing)
 
 
 def with_codes(records: DataFrame, config: ValidationConfig) -> DataFrame:
@@ -104,6 +121,17 @@ def with_explanations(coded: DataFrame, config: ValidationConfig) -> DataFrame:
     )
 
 
+def flat_records(records: DataFrame) -> DataFrame:
+    """Unpack the sides into columns with a side suffix, the other columns after them."""
+    sides = {"eo": ER_SIDE, "tf": TRUTH_SIDE}
+    unpacked = [
+        F.col(f"{side}.{f.name}").alias(f.name + suffix)
+        for side, suffix in sides.items()
+        for f in records.schema[side].dataType.fields
+    ]
+    return records.select(*unpacked, *[c for c in records.columns if c not in sides])
+
+
 def combine(*parts: DataFrame) -> DataFrame:
     """Union by name without equal rows."""
     return reduce(DataFrame.unionByName, parts).distinct()
@@ -113,26 +141,23 @@ def result_columns(config: ValidationConfig, batch_id: str) -> list[Column]:
     """Final projection: ER-side values, the truth verdict, the explanation."""
 
     def value(name: str) -> Column:
-        er = F.col(name + ER_SIDE)
         if name in config.key_columns and not config.compat:
-            er = F.when(F.col("_in_er"), er).otherwise(F.col(name + TRUTH_SIDE))
-        return er.alias(name)
+            return F.when(_in_er(), _eo(name)).otherwise(_tf(name)).alias(name)
+        return _eo(name).alias(name)
 
-    er_side = [
+    return [
         *map(value, config.columns),
-        *(F.col(c + ER_SIDE).alias(c) for c in ("match_status_er", "error_matrix", FINGERPRINT)),
-    ]
-    truth_side = [F.col(c + TRUTH_SIDE).alias(c) for c in ("match_status_manual", "human_review")]
-    explanation = [
-        F.col(c)
-        for c in (
-            "validation_status",
-            "mismatches_code",
-            "extra_or_missing_flag",
-            "mismatches_columns",
-            "mismatch_deviation",
-            "mismatch_type",
-        )
+        _eo("match_status_er").alias("match_status_er"),
+        F.col("error_matrix"),
+        _eo(FINGERPRINT).alias(FINGERPRINT),
+        _tf("match_status_manual").alias("match_status_manual"),
+        _tf("human_review").alias("human_review"),
+        F.col("validation_status"),
+        F.col("mismatches_code"),
+        F.col("extra_or_missing_flag"),
+        F.col("mismatches_columns"),
+        F.col("mismatch_deviation"),
+        F.col("mismatch_type"),
+        F.lit(batch_id).alias("batch_id"),
+        *([F.col("code_status")] if config.with_code_status else []),
     ]
-    optional = [F.col("code_status")] if config.with_code_status else []
-    return [*er_side, *truth_side, *explanation, F.lit(batch_id).alias("batch_id"), *optional]

@@ -19,13 +19,12 @@ def er_verdicts(er: DataFrame, config: ValidationConfig) -> DataFrame:
     return er.withColumn("match_status_er", match_status(config.rule))
 
 
-def exception_frame(er_or_truth: DataFrame, config: ValidationConfig) -> DataFrame | None:
+def exception_frame(df: DataFrame, config: ValidationConfig) -> DataFrame | None:
     """The configured exception pairs as a DataFrame, or None when there are none."""
     if not config.exceptions:
         return None
-    spark = er_or_truth.sparkSession
     names = ", ".join(f"{c} string" for c in config.key_columns)
-    return spark.createDataFrame(list(config.exceptions), names)
+    return df.sparkSession.createDataFrame(list(config.exceptions), names)
 
 
 def flagged_exceptions(exceptions: DataFrame, config: ValidationConfig) -> DataFrame:
@@ -44,21 +43,19 @@ def truth_verdicts(
     """Add ``match_status_manual``, flipped for the pairs in ``flagged``."""
     if flagged is None:
         return truth.withColumn("match_status_manual", match_status(config.rule))
-    return (
-        truth.join(flagged, list(config.key_columns), "left")
-        .select(*truth.columns, match_status(config.rule, F.col("_flipped")).alias("match_status_manual"))
-    )
+    status = match_status(config.rule, F.col("_flipped")).alias("match_status_manual")
+    return truth.join(flagged, list(config.key_columns), "left").select(*truth.columns, status)
 
 
-def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
-    """One row per pair: best rank, then highest score, then fingerprint.
+def unique_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
+    """``PAIR_ID`` and ``eo``, the preferred ER row of the pair with its fingerprint.
 
-    Equal fingerprints are settled by the column values, so the survivor never
-    depends on row order. The minimum is combined on the map side: however many
-    rows a pair has, each task sends on at most one.
+    Best rank first, then highest score, then fingerprint; equal fingerprints
+    are settled by the column values, so the survivor never depends on row
+    order. The minimum is combined on the map side: however many rows a pair
+    has, each task sends on at most one.
     """
-    added = {} if FINGERPRINT in er.columns else {FINGERPRINT: row_fingerprint(config.columns)}
-    rows = er.withColumns(added)
+    rows = er.withColumn(FINGERPRINT, row_fingerprint(config.columns))
     preference = F.struct(
         F.col("er_rank").isNull().alias("unranked"),
         F.col("er_rank").alias("rank"),
@@ -71,33 +68,36 @@ def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
         with_pair_id(rows, config)
         .groupBy(*PAIR_ID)
         .agg(F.min(preference).alias("best"))
-        .select(*PAIR_ID, "best.row.*")
+        .select(*PAIR_ID, F.col("best.row").alias("eo"))
     )
 
 
+def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
+    """One row per pair, in the columns of ``er`` and the fingerprint."""
+    return unique_pairs(er, config).select("eo.*")
+
+
 def truth_profile(truth: DataFrame, config: ValidationConfig) -> DataFrame:
-    """Per pair: does any truth row say Matched, and how many rows are there?
+    """Per pair: how many truth rows say Matched, and how many do not?
 
-    Two fixed-width aggregates with map-side combine over keys and scores only.
+    Two counters with map-side combine over keys and scores only. Every user
+    of the profile needs both, so their plans share one exchange.
     """
+    matched = F.col("match_status_manual") == MATCHED
     return (
         with_pair_id(truth, config)
         .groupBy(*PAIR_ID)
-        .agg(
-            F.max(F.col("match_status_manual") == MATCHED).alias("_any_matched"),
-            F.count(F.lit(1)).alias("_rows"),
-        )
+        .agg(F.count_if(matched).alias("_yes_rows"), F.count_if(~matched).alias("_no_rows"))
     )
 
 
-def with_error_matrix(er: DataFrame, profile: DataFrame, config: ValidationConfig) -> DataFrame:
-    """Classify each (unique) ER pair against the truth verdict of its pair.
+def with_error_matrix(unique: DataFrame, profile: DataFrame, config: ValidationConfig) -> DataFrame:
+    """Classify each unique ER pair against the truth verdict of its pair.
 
     Where truth rows of one pair disagree, one Matched is enough. Pairs with a
     NULL key never meet the truth here. Both inputs are already partitioned by
     the pair, so the join moves no rows.
     """
-    truth_status = F.when(F.col("_any_matched"), MATCHED).when(~F.col("_any_matched"), NOT_MATCHED)
-    matrix = F.when(F.col("_kn") == 0, error_matrix(F.col("match_status_er"), truth_status))
-    return er.join(profile, PAIR_ID, "left").select(*er.columns, matrix.alias("error_matrix"))
-
+    truth_status = F.when(F.col("_yes_rows") > 0, MATCHED).when(F.col("_no_rows") > 0, NOT_MATCHED)
+    matrix = F.when(F.col("_kn") == 0, error_matrix(F.col("eo.match_status_er"), truth_status))
+    return unique.join(profile, PAIR_ID, "left").select(*unique.columns, matrix.alias("error_matrix"))

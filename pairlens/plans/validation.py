@@ -10,20 +10,21 @@ from ..config import ValidationConfig
 from ..operators.columns import fill_blanks
 from ..operators.pairing import PAIR_ID, heavy_pairs, join_sides, with_pair_id
 from ..operators.records import (
-    COPIES,
+    RECORD_CLASSES,
     classify_records,
-    distinct_rows,
+    flat_records,
     result_columns,
+    truth_rows,
     with_codes,
     with_explanations,
 )
 from ..operators.verdict import (
-    dedup_pairs,
     er_verdicts,
     exception_frame,
     flagged_exceptions,
     truth_profile,
     truth_verdicts,
+    unique_pairs,
     with_error_matrix,
 )
 from ..schema import conform
@@ -68,35 +69,41 @@ class Validator:
         return None if pairs is None else flagged_exceptions(pairs, self.config)
 
     # -- stages -----------------------------------------------------------
+    def _score(self, er: DataFrame, profile: DataFrame) -> DataFrame:
+        unique = unique_pairs(er_verdicts(er, self.config), self.config)
+        return with_error_matrix(unique, profile, self.config)
+
     def scored_pairs(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Unique ER pairs with their verdict, fingerprint and error matrix."""
-        er, truth = self.er_input(er_df), self.truth_input(truth_df)
+        truth = self.truth_input(truth_df)
         profile = truth_profile(truth_verdicts(truth, self.config, self._flagged(truth)), self.config)
-        return self._score(er, profile).drop("_ka", "_kb", "_kn")
-
-    def _score(self, er: DataFrame, profile: DataFrame) -> DataFrame:
-        unique = dedup_pairs(er_verdicts(er, self.config), self.config)
-        return with_error_matrix(unique, profile, self.config)
+        return self._score(self.er_input(er_df), profile).select("eo.*", "error_matrix")
 
     def records(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Every record of either side once per counterpart, classified and coded.
 
-        Columns carry their side's suffix; ``record_class`` tells match,
+        The sides are structs ``eo`` and ``tf``; ``record_class`` tells match,
         mismatch, extra and missing records apart.
         """
         config = self.config
-        er, truth = self.er_input(er_df), self.truth_input(truth_df)
+        truth = self.truth_input(truth_df)
         flagged = self._flagged(truth)
         profile = truth_profile(truth_verdicts(truth, config, flagged), config)
-        rows = truth_verdicts(distinct_rows(truth), config, flagged)
         joined = join_sides(
-            self._score(er, profile),
-            with_pair_id(rows, config),
+            self._score(self.er_input(er_df), profile),
+            truth_rows(truth, config, flagged),
             heavy_pairs(profile, config),
             config,
         )
         return with_codes(classify_records(joined, config), config)
 
+    def records_of(self, record_class: str, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
+        """The records of one class, sides unpacked into suffixed columns."""
+        if record_class not in RECORD_CLASSES:
+            raise ValueError(f"record class must be one of {RECORD_CLASSES}")
+        records = self.records(er_df, truth_df).where(F.col("record_class") == record_class)
+        return flat_records(records)
+
     def explain(self, records: DataFrame) -> DataFrame:
         """Decode the codes of ``records`` and project the final columns."""
         return with_explanations(records, self.config).select(*result_columns(self.config, self.batch_id))
@@ -119,22 +126,21 @@ class Validator:
 
         Class counts include repeated truth rows, as joining the raw truth would.
         """
-        classes = ("match", "mismatch", "extra", "missing")
-        repeats = F.coalesce(F.col(COPIES + "_tf"), F.lit(1))
+        repeats = F.coalesce(F.col("copies"), F.lit(1))
         rows = F.count(F.lit(1)).alias("rows")
 
         source = with_pair_id(self.er_input(er_df), self.config).select(*PAIR_ID).distinct()
         by_class = self.records(er_df, truth_df).agg(
             *[
                 F.coalesce(F.sum(F.when(F.col("record_class") == c, repeats)), F.lit(0)).alias(c)
-                for c in classes
+                for c in RECORD_CLASSES
             ]
         )
         return (
             source.agg(rows)
             .select(F.lit("source").alias("metric"), "rows")
             .unionByName(self.truth_input(truth_df).agg(rows).select(F.lit("target").alias("metric"), "rows"))
-            .unionByName(by_class.unpivot([], list(classes), "metric", "rows"))
+            .unionByName(by_class.unpivot([], list(RECORD_CLASSES), "metric", "rows"))
         )
 
 
