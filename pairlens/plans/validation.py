@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import ValidationConfig
+from ..functions.rules import error_matrix
 from ..operators.columns import fill_blanks
 from ..operators.pairing import PAIR_ID, heavy_pairs, join_sides, with_pair_id
 from ..operators.records import (
@@ -79,6 +80,30 @@ class Validator:
         profile = truth_profile(truth_verdicts(truth, self.config, self._flagged(truth)), self.config)
         return self._score(self.er_input(er_df), profile).select("eo.*", "error_matrix")
 
+    def verdict_pairs(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
+        """Each unique ER pair with the verdict of every distinct truth row it has.
+
+        A left join on both keys by plain equality: pairs without truth rows,
+        or with a NULL key, appear once and without a truth verdict.
+        """
+        config = self.config.but(compat=False)
+        truth = self.truth_input(truth_df).dropna(subset=list(config.key_columns))
+        flagged = self._flagged(truth)
+        profile = truth_profile(truth_verdicts(truth, config, flagged), config)
+        unique = unique_pairs(er_verdicts(self.er_input(er_df), config), config)
+        joined = join_sides(
+            unique.withColumn("error_matrix", F.lit(None).cast("string")),
+            truth_rows(truth, config, flagged),
+            heavy_pairs(profile, config),
+            config,
+        )
+        er_status, truth_status = F.col("eo.match_status_er"), F.col("tf.match_status_manual")
+        return joined.where(F.col("eo").isNotNull()).select(
+            "eo.*",
+            truth_status.alias("match_status_manual"),
+            error_matrix(er_status, truth_status).alias("error_matrix"),
+        )
+
     def records(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Every record of either side once per counterpart, classified and coded.
 
