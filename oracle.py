@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fixture_sql import BATCH_ID, with_clause
+from fixture_sql import BATCH_ID, CTES, with_clause
 from pairlens.config import (
     COMPAT_LABELS,
     COMPAT_UNMATCHED_ZEROS,
@@ -58,7 +58,10 @@ def bit(name: str, compat: bool) -> str:
 
 def sides(er: str = "er_output", truth: str = "truth", compat: bool = False, exceptions: bool = False,
           normalize: bool = False) -> str:
-    """CTEs up to ``ers`` (unique ER rows, scored) and ``trs`` (distinct truth rows)."""
+    """CTEs up to ``ers`` (unique ER rows, scored) and ``trs`` (distinct truth rows).
+
+    ``er`` and ``truth`` name derived tables or any other relations DuckDB knows.
+    """
     names = [er, truth] + (["exceptions"] if exceptions else [])
     strings = [c for c in PAIR_COLUMNS if c != "er_rank" and not c.endswith("_score")]
 
@@ -75,7 +78,8 @@ def sides(er: str = "er_output", truth: str = "truth", compat: bool = False, exc
         else STATUS
     )
     ties = ", ".join(f"{c} NULLS FIRST" for c in PAIR_COLUMNS)
-    return f"""{with_clause(*names)},
+    derived = [n for n in names if n in CTES]
+    return f"""{with_clause(*derived) + "," if derived else "WITH"}
 er_in AS (SELECT {clean()} FROM {er}),
 tr_in AS (SELECT {clean(("human_review",))} FROM {truth}),
 er_ranked AS (SELECT *, {STATUS} AS match_status_er, {MD5} AS h FROM er_in),
