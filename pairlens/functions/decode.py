@@ -21,24 +21,32 @@ def zero_count(code: Column) -> Column:
     return F.length(code) - F.length(F.replace(code, F.lit("0"), F.lit("")))
 
 
-def _checked(code: Column, labels: Sequence[str], result: Column) -> Column:
-    """``result``, or an error when a zero bit lies beyond the last label."""
+def _checked(code: Column, labels: Sequence[str], result: Column, if_no_zero: Column) -> Column:
+    """``result``, or an error when a zero bit lies beyond the last label.
+
+    Codes without a zero, which are most of them, take the short way out.
+    """
     beyond = F.substring(code, len(labels) + 1, 2**31 - 1).contains("0")
-    return F.when(code.isNull(), F.lit(None)).when(
-        beyond, F.raise_error(F.lit(f"mismatch code has a zero beyond its {len(labels)} labels"))
-    ).otherwise(result)
+    message = F.lit(f"mismatch code has a zero beyond its {len(labels)} labels")
+    return (
+        F.when(code.isNull(), F.lit(None))
+        .when(~code.contains("0"), if_no_zero)
+        .when(beyond, F.raise_error(message))
+        .otherwise(result)
+    )
 
 
 def mismatching_columns(code: Column, labels: Sequence[str]) -> Column:
     """array<string> of the labels whose bit is zero, in bit order."""
     named = F.array(*[F.when(_bit(code, i) == "0", label) for i, label in enumerate(labels)])
-    return _checked(code, labels, F.filter(named, lambda label: label.isNotNull()))
+    no_label = F.array().cast("array<string>")
+    return _checked(code, labels, F.filter(named, lambda label: label.isNotNull()), no_label)
 
 
 def mismatching_columns_text(code: Column, labels: Sequence[str]) -> Column:
     """The same list as comma-separated text, without building an array."""
     named = [F.when(_bit(code, i) == "0", label) for i, label in enumerate(labels)]
-    return _checked(code, labels, F.concat_ws(",", *named))
+    return _checked(code, labels, F.concat_ws(",", *named), F.lit(""))
 
 
 def mismatch_deviation(code: Column, labels: Sequence[str]) -> Column:
@@ -47,7 +55,7 @@ def mismatch_deviation(code: Column, labels: Sequence[str]) -> Column:
     Divides before multiplying: the other order rounds some shares differently.
     """
     share = (zero_count(code) / F.lit(len(labels))) * F.lit(100)
-    return _checked(code, labels, share.cast("int"))
+    return _checked(code, labels, share.cast("int"), F.lit(0))
 
 
 def code_status(code: Column) -> Column:

@@ -55,26 +55,23 @@ def unique_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
     order. The minimum is combined on the map side: however many rows a pair
     has, each task sends on at most one.
     """
-    rows = er.withColumn(FINGERPRINT, row_fingerprint(config.columns))
+    # The fingerprint leads the row, so comparing rows compares it first.
+    row = F.struct(row_fingerprint(config.columns).alias(FINGERPRINT), *er.columns)
+    packed = with_pair_id(er, config).select(*PAIR_ID, row.alias("eo"))
+    rank, score = F.col("eo.er_rank"), F.col("eo.er_score")
     preference = F.struct(
-        F.col("er_rank").isNull().alias("unranked"),
-        F.col("er_rank").alias("rank"),
-        F.col("er_score").isNull().alias("unscored"),
-        (-F.col("er_score")).alias("score"),
-        F.col(FINGERPRINT).alias("fingerprint"),
-        F.struct(*rows.columns).alias("row"),
-    )
-    return (
-        with_pair_id(rows, config)
-        .groupBy(*PAIR_ID)
-        .agg(F.min(preference).alias("best"))
-        .select(*PAIR_ID, F.col("best.row").alias("eo"))
+        rank.isNull().alias("unranked"),
+        rank.alias("rank"),
+        score.isNull().alias("unscored"),
+        (-score).alias("score"),
+        "eo",
     )
+    return packed.groupBy(*PAIR_ID).agg(F.min(preference)["eo"].alias("eo"))
 
 
 def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
     """One row per pair, in the columns of ``er`` and the fingerprint."""
-    return unique_pairs(er, config).select("eo.*")
+    return unique_pairs(er, config).select(*[f"eo.{c}" for c in (*er.columns, FINGERPRINT)])
 
 
 def truth_profile(truth: DataFrame, config: ValidationConfig) -> DataFrame:
