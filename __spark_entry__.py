@@ -24,7 +24,7 @@ from pairlens.functions import (  # noqa: E402
     shares_token,
 )
 from pairlens.operators.columns import fill_blanks, mark_side, strip_sides  # noqa: E402
-from pairlens.operators.records import combine, flat_records  # noqa: E402
+from pairlens.operators.records import combine  # noqa: E402
 from pairlens.operators.verdict import dedup_pairs  # noqa: E402
 from pairlens.sources import er_scan, fingerprinted_table, register_views, truth_scan  # noqa: E402
 
@@ -91,6 +91,14 @@ def truth_exception_flip(spark, sf_dir):
     return truth.select(*KEYS, "match_status_manual", "human_review")
 
 
+def truth_exception_flip_long(spark, sf_dir):
+    """As many exceptions as pairs: joined by shuffle, the hot pair split."""
+    config = DEFAULT.but(max_broadcast_exceptions=0, **SPLITTING)
+    exceptions = fixture(spark, sf_dir, "long_exceptions")
+    truth = truth_scan(_skewed(spark, sf_dir)[1], config, exceptions)
+    return truth.select(*KEYS, "er_score", "match_status_manual", "human_review")
+
+
 def er_dedup(spark, sf_dir):
     return dedup_pairs(er_scan(_inputs(spark, sf_dir, er="er_candidates")[0], DEFAULT), DEFAULT)
 
@@ -174,18 +182,23 @@ def _class_query(record_class: str) -> Query:
 
 
 def union_distinct(spark, sf_dir):
-    config = DEFAULT.but(**SPLITTING)
-    records = Validator(config, BATCH_ID).records(*_skewed(spark, sf_dir))
-    parts = [
-        flat_records(records.where(F.col("record_class") == c)).select(
-            F.col("source_primary_key_eo").alias("source_primary_key"),
-            "validation_status",
-            "mismatches_code",
-            "extra_or_missing_flag",
-        )
-        for c in ("match", "mismatch", "extra", "missing")
-    ]
-    return combine(*parts)
+    """The distinct pairs and verdicts of both sides, united by column name."""
+    er, truth = _skewed(spark, sf_dir)
+    er_verdict = er_scan(er, DEFAULT).select(*KEYS, F.col("match_status_er").alias("verdict"))
+    truth_verdict = truth_scan(truth, DEFAULT).select(F.col("match_status_manual").alias("verdict"), *KEYS)
+    return combine(er_verdict, truth_verdict)
+
+
+def record_union(spark, sf_dir):
+    """All four record classes at once, as the full outer join delivers them."""
+    records = Validator(DEFAULT.but(**SPLITTING), BATCH_ID).records(*_skewed(spark, sf_dir))
+    return records.select(
+        F.col("eo.source_primary_key").alias("source_primary_key"),
+        "record_class",
+        "validation_status",
+        "mismatches_code",
+        "extra_or_missing_flag",
+    ).distinct()
 
 
 def mismatching_columns(spark, sf_dir):
@@ -267,6 +280,7 @@ def queries() -> dict[str, Query]:
         "er_match_status": er_match_status,
         "truth_match_status": truth_match_status,
         "truth_exception_flip": truth_exception_flip,
+        "truth_exception_flip_long": truth_exception_flip_long,
         "er_dedup": er_dedup,
         "verdict_left_join": verdict_left_join,
         "verdict_left_join_skewed": verdict_left_join_skewed,
@@ -286,6 +300,7 @@ def queries() -> dict[str, Query]:
         "extra_records": _class_query("extra"),
         "missing_records": _class_query("missing"),
         "union_distinct": union_distinct,
+        "record_union": record_union,
         "mismatching_columns": mismatching_columns,
         "mismatch_deviation": deviation,
         "mismatch_deviation_compat": deviation_compat,

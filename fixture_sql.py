@@ -66,6 +66,9 @@ EXCEPTIONS = (
     f"({', '.join(repr(s) for s in EXCEPTION_SOURCES)})"
 )
 
+# Every pair the skewed ER output names, the hot one included.
+LONG_EXCEPTIONS = "SELECT source_primary_key, target_primary_key FROM skewed_er"
+
 # Several candidates per pair: every line of an order scores its pair anew.
 ER_CANDIDATES = """
 SELECT {cols} FROM base JOIN lineitem ON l_orderkey = k
@@ -117,6 +120,7 @@ CTES = {
     "er_candidates": ER_CANDIDATES,
     "skewed_truth": SKEWED_TRUTH,
     "skewed_er": SKEWED_ER,
+    "long_exceptions": LONG_EXCEPTIONS,
 }
 _NEEDS = {
     "base": (),
@@ -126,6 +130,7 @@ _NEEDS = {
     "er_candidates": ("base",),
     "skewed_truth": ("base",),
     "skewed_er": ("base",),
+    "long_exceptions": ("base", "skewed_er"),
 }
 
 

@@ -193,6 +193,9 @@ def statements() -> dict[str, str]:
         "truth_exception_flip": f"{with_clause('truth', 'exceptions')} SELECT {S}, {T}, "
         f"CASE WHEN ({S}, {T}) IN (SELECT ({S}, {T}) FROM exceptions) THEN {FLIPPED} ELSE {STATUS} END "
         "AS match_status_manual, human_review FROM truth",
+        "truth_exception_flip_long": f"{with_clause('skewed_truth', 'long_exceptions')} SELECT t.{S}, t.{T}, er_score, "
+        f"CASE WHEN x.{S} IS NOT NULL THEN {FLIPPED} ELSE {STATUS} END AS match_status_manual, human_review "
+        f"FROM skewed_truth t LEFT JOIN (SELECT DISTINCT * FROM long_exceptions) x ON t.{S} = x.{S} AND t.{T} = x.{T}",
         "er_dedup": f"{sides(er='er_candidates')} SELECT {cols}, match_status_er, h AS src_tgt_md5_hash_column FROM er_first",
         "verdict_left_join": f"{sides()} SELECT e.{S}, e.{T}, e.match_status_er, t.match_status_manual, "
         f"{matrix('e.match_status_er', 't.match_status_manual')} AS error_matrix "
@@ -217,7 +220,9 @@ def statements() -> dict[str, str]:
         "mismatch_records": _of_class("mismatch"),
         "extra_records": _of_class("extra"),
         "missing_records": _of_class("missing"),
-        "union_distinct": f"{joined(**SKEWED)} SELECT DISTINCT e_{S} AS {S}, validation_status, mismatches_code, "
+        "union_distinct": f"{with_clause('skewed_er', 'skewed_truth')} SELECT {S}, {T}, {STATUS} AS verdict FROM skewed_er "
+        f"UNION SELECT {S}, {T}, {STATUS} FROM skewed_truth",
+        "record_union": f"{joined(**SKEWED)} SELECT DISTINCT e_{S} AS {S}, {CLASS} AS record_class, validation_status, mismatches_code, "
         "extra_or_missing_flag FROM j",
         "mismatching_columns": f"{explained()} SELECT mismatches_code, mismatches_columns FROM result",
         "mismatch_deviation": f"{explained()} SELECT mismatches_code, mismatch_deviation FROM result",

@@ -107,7 +107,8 @@ class ValidationConfig:
     ``compat`` reproduces the original tool's quirks; see README, "Two modes".
     ``hot_pair_rows`` is how many truth rows of one pair a single join task
     should handle; pairs with more are split. ``max_hot_pairs`` bounds the list
-    of split pairs, which is broadcast.
+    of split pairs, which is broadcast. Exception pairs are broadcast up to
+    ``max_broadcast_exceptions`` and joined by shuffle beyond.
     """
 
     columns: tuple[str, ...] = PAIR_COLUMNS
@@ -123,6 +124,7 @@ class ValidationConfig:
     with_code_status: bool = False
     hot_pair_rows: int = 1_000_000
     max_hot_pairs: int = 50_000
+    max_broadcast_exceptions: int = 100_000
 
     def __post_init__(self) -> None:
         if len(self.key_columns) != 2:

@@ -11,6 +11,8 @@ the ER output, ``tf`` for the truth) and is unpacked in the last projection only
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import ValidationConfig
@@ -64,6 +66,20 @@ def heavy_pairs(profile: DataFrame, config: ValidationConfig) -> DataFrame:
     )
 
 
+def spread_over_slots(unique: DataFrame, heavy: DataFrame, ids: Iterable[str]) -> DataFrame:
+    """Repeat each row once per slot of its pair; adds ``_slot`` and ``_splits``."""
+    last = F.coalesce(F.col("_splits"), F.lit(1)) - 1
+    listed = unique.join(F.broadcast(heavy), list(ids), "left")
+    return listed.withColumn("_slot", F.explode(F.sequence(F.lit(0), last)))
+
+
+def with_row_slot(rows: DataFrame, heavy: DataFrame, ids: Iterable[str], hashed: Iterable[str]) -> DataFrame:
+    """Give each row one slot of its pair, by a hash of the row; adds ``_slot``."""
+    slots = F.coalesce(F.col("_splits"), F.lit(1))
+    listed = rows.join(F.broadcast(heavy), list(ids), "left")
+    return listed.withColumn("_slot", F.pmod(F.xxhash64(*hashed), slots).cast("int")).drop("_splits")
+
+
 def join_sides(er: DataFrame, truth: DataFrame, heavy: DataFrame, config: ValidationConfig) -> DataFrame:
     """Full outer join of unique ER rows and truth rows.
 
@@ -72,22 +88,15 @@ def join_sides(er: DataFrame, truth: DataFrame, heavy: DataFrame, config: Valida
     has no row for a pair is NULL.
     """
     ids = pairing_id(config)
-    slots = F.coalesce(F.col("_splits"), F.lit(1))
-    heavy = F.broadcast(heavy)
-
-    def on_side(df: DataFrame, slot: Column, side: str) -> DataFrame:
-        keys = [F.col(c).alias(f"{c}_{side}") for c in ids]
-        return df.withColumns(ids).join(heavy, list(ids), "left").select(*keys, slot.alias(f"_slot_{side}"), *df.columns, "_splits")
-
-    left = on_side(er, F.explode(F.sequence(F.lit(0), slots - 1)), "eo").drop(*PAIR_ID)
-    row_slot = F.pmod(F.xxhash64("tf"), slots).cast("int")
-    right = on_side(truth, row_slot, "tf").drop(*PAIR_ID, "_splits")
-
-    same = [F.col(f"{c}_eo") == F.col(f"{c}_tf") for c in (*ids, "_slot")]
+    on = [*ids, "_slot"]
+    left = spread_over_slots(er.withColumns(ids), heavy, ids)
+    right = with_row_slot(truth.withColumns(ids), heavy, ids, ["tf"])
+    left = left.select(*[F.col(c).alias(f"{c}_eo") for c in on], "eo", "error_matrix", "_splits")
+    right = right.select(*[F.col(c).alias(f"{c}_tf") for c in on], "tf", "copies")
     # A split pair has truth rows, so its ER row in a slot without any is surplus.
     surplus = F.col("_splits").isNotNull() & F.col("_slot_tf").isNull()
     return (
-        left.join(right, same, "full_outer")
+        left.join(right, [F.col(f"{c}_eo") == F.col(f"{c}_tf") for c in on], "full_outer")
         .where(~surplus)
         .select("eo", "error_matrix", "tf", "copies")
     )

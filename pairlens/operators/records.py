@@ -21,7 +21,7 @@ from ..functions.decode import (
 from ..functions.keys import dashed_text
 from .columns import ER_SIDE, TRUTH_SIDE
 from .pairing import PAIR_ID, with_pair_id
-from .verdict import FINGERPRINT, truth_verdicts
+from .verdict import FINGERPRINT, ExceptionPairs, truth_verdicts
 
 RECORD_CLASSES = ("match", "mismatch", "extra", "missing")
 
@@ -46,7 +46,7 @@ def _in_both() -> Column:
     return _in_er() & _in_truth()
 
 
-def truth_rows(truth: DataFrame, config: ValidationConfig, flagged: DataFrame | None) -> DataFrame:
+def truth_rows(truth: DataFrame, config: ValidationConfig, exceptions: ExceptionPairs | None) -> DataFrame:
     """``PAIR_ID``, ``tf`` and ``copies``: distinct truth rows, how often each occurs.
 
     ER rows are unique per pair, so making the truth distinct here gives the
@@ -54,7 +54,7 @@ def truth_rows(truth: DataFrame, config: ValidationConfig, flagged: DataFrame |
     Copies are combined on the map side.
     """
     distinct = truth.groupBy(*truth.columns).agg(F.count(F.lit(1)).alias("copies"))
-    scored = truth_verdicts(distinct, config, flagged)
+    scored = truth_verdicts(distinct, config, exceptions)
     tf = F.struct(*truth.columns, "match_status_manual").alias("tf")
     return with_pair_id(scored, config).select(*PAIR_ID, tf, "copies")
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import MATCHED, NOT_MATCHED, ValidationConfig
 from ..functions.keys import row_fingerprint
-from ..functions.rules import error_matrix, match_status
-from .pairing import PAIR_ID, with_pair_id
-
-# An exception list up to this many pairs is broadcast, a longer one shuffled.
-MAX_BROADCAST_EXCEPTIONS = 100_000
+from ..functions.rules import error_matrix, match_status, meets_rule
+from .pairing import PAIR_ID, heavy_pairs, spread_over_slots, with_pair_id, with_row_slot
 
 FINGERPRINT = "src_tgt_md5_hash_column"
 
@@ -19,32 +18,57 @@ def er_verdicts(er: DataFrame, config: ValidationConfig) -> DataFrame:
     return er.withColumn("match_status_er", match_status(config.rule))
 
 
-def exception_frame(df: DataFrame, config: ValidationConfig) -> DataFrame | None:
-    """The configured exception pairs as a DataFrame, or None when there are none."""
-    if not config.exceptions:
-        return None
-    names = ", ".join(f"{c} string" for c in config.key_columns)
-    return df.sparkSession.createDataFrame(list(config.exceptions), names)
+class ExceptionPairs(NamedTuple):
+    """Pairs whose truth verdict is flipped: ``PAIR_ID`` and ``_flipped``, unique."""
+
+    pairs: DataFrame
+    short: bool
+
+    def joinable(self) -> DataFrame:
+        return F.broadcast(self.pairs) if self.short else self.pairs
 
 
-def flagged_exceptions(exceptions: DataFrame, config: ValidationConfig) -> DataFrame:
-    """Distinct exception pairs with a marker column, broadcast when short.
+def exception_pairs(
+    like: DataFrame, config: ValidationConfig, given: DataFrame | None = None
+) -> ExceptionPairs | None:
+    """The ``given`` exception pairs, else the configured ones, else None.
 
-    The length check reads at most ``MAX_BROADCAST_EXCEPTIONS + 1`` pairs.
+    Only a list of proven length is broadcast. Counting a DataFrame reads at
+    most ``max_broadcast_exceptions + 1`` of its rows.
     """
-    pairs = exceptions.select(*config.key_columns).distinct().withColumn("_flipped", F.lit(True))
-    short = exceptions.limit(MAX_BROADCAST_EXCEPTIONS + 1).count() <= MAX_BROADCAST_EXCEPTIONS
-    return F.broadcast(pairs) if short else pairs
+    bound = config.max_broadcast_exceptions
+    if given is not None:
+        length = given.limit(bound + 1).count()
+    elif config.exceptions:
+        names = ", ".join(f"{c} string" for c in config.key_columns)
+        given = like.sparkSession.createDataFrame(list(config.exceptions), names)
+        length = len(config.exceptions)
+    else:
+        return None
+    keyed = given.select(*config.key_columns).dropna().distinct()
+    pairs = with_pair_id(keyed, config).select(*PAIR_ID, F.lit(True).alias("_flipped"))
+    return ExceptionPairs(pairs, length <= bound)
 
 
 def truth_verdicts(
-    truth: DataFrame, config: ValidationConfig, flagged: DataFrame | None = None
+    truth: DataFrame, config: ValidationConfig, exceptions: ExceptionPairs | None = None
 ) -> DataFrame:
-    """Add ``match_status_manual``, flipped for the pairs in ``flagged``."""
-    if flagged is None:
+    """Add ``match_status_manual``, flipped for the exception pairs.
+
+    A list too long to broadcast is joined by shuffle, hot pairs split.
+    """
+    if exceptions is None:
         return truth.withColumn("match_status_manual", match_status(config.rule))
+    keyed = with_pair_id(truth, config)
+    if exceptions.short:
+        joined = keyed.join(exceptions.joinable(), PAIR_ID, "left")
+    else:
+        by_pair = config.but(compat=False)
+        heavy = heavy_pairs(truth_profile(truth, by_pair), by_pair)
+        rows = with_row_slot(keyed, heavy, PAIR_ID, truth.columns)
+        joined = rows.join(spread_over_slots(exceptions.pairs, heavy, PAIR_ID), [*PAIR_ID, "_slot"], "left")
     status = match_status(config.rule, F.col("_flipped")).alias("match_status_manual")
-    return truth.join(flagged, list(config.key_columns), "left").select(*truth.columns, status)
+    return joined.select(*truth.columns, status)
 
 
 def unique_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
@@ -74,17 +98,29 @@ def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
     return unique_pairs(er, config).select(*[f"eo.{c}" for c in (*er.columns, FINGERPRINT)])
 
 
-def truth_profile(truth: DataFrame, config: ValidationConfig) -> DataFrame:
+def truth_profile(
+    truth: DataFrame, config: ValidationConfig, exceptions: ExceptionPairs | None = None
+) -> DataFrame:
     """Per pair: how many truth rows say Matched, and how many do not?
 
     Two counters with map-side combine over keys and scores only. Every user
-    of the profile needs both, so their plans share one exchange.
+    of the profile needs both, so their plans share one exchange. Exceptions
+    concern whole pairs, so they swap the two counters afterwards.
     """
-    matched = F.col("match_status_manual") == MATCHED
-    return (
+    met = F.coalesce(meets_rule(config.rule), F.lit(False))
+    yes, no = F.col("_yes_rows"), F.col("_no_rows")
+    profile = (
         with_pair_id(truth, config)
         .groupBy(*PAIR_ID)
-        .agg(F.count_if(matched).alias("_yes_rows"), F.count_if(~matched).alias("_no_rows"))
+        .agg(F.count_if(met).alias("_yes_rows"), F.count_if(~met).alias("_no_rows"))
+    )
+    if exceptions is None:
+        return profile
+    flipped = F.col("_flipped").isNotNull()
+    return profile.join(exceptions.joinable(), PAIR_ID, "left").select(
+        *PAIR_ID,
+        F.when(flipped, no).otherwise(yes).alias("_yes_rows"),
+        F.when(flipped, yes).otherwise(no).alias("_no_rows"),
     )
 
 

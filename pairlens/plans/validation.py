@@ -20,11 +20,10 @@ from ..operators.records import (
     with_explanations,
 )
 from ..operators.verdict import (
+    ExceptionPairs,
     er_verdicts,
-    exception_frame,
-    flagged_exceptions,
+    exception_pairs,
     truth_profile,
-    truth_verdicts,
     unique_pairs,
     with_error_matrix,
 )
@@ -65,9 +64,8 @@ class Validator:
     def _cleaned(self, df: DataFrame) -> DataFrame:
         return fill_blanks(df) if self.config.normalize_blanks else df
 
-    def _flagged(self, truth: DataFrame) -> DataFrame | None:
-        pairs = self._exceptions if self._exceptions is not None else exception_frame(truth, self.config)
-        return None if pairs is None else flagged_exceptions(pairs, self.config)
+    def _exception_pairs(self, truth: DataFrame) -> ExceptionPairs | None:
+        return exception_pairs(truth, self.config, self._exceptions)
 
     # -- stages -----------------------------------------------------------
     def _score(self, er: DataFrame, profile: DataFrame) -> DataFrame:
@@ -77,7 +75,7 @@ class Validator:
     def scored_pairs(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Unique ER pairs with their verdict, fingerprint and error matrix."""
         truth = self.truth_input(truth_df)
-        profile = truth_profile(truth_verdicts(truth, self.config, self._flagged(truth)), self.config)
+        profile = truth_profile(truth, self.config, self._exception_pairs(truth))
         return self._score(self.er_input(er_df), profile).select("eo.*", "error_matrix")
 
     def verdict_pairs(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
@@ -88,12 +86,12 @@ class Validator:
         """
         config = self.config.but(compat=False)
         truth = self.truth_input(truth_df).dropna(subset=list(config.key_columns))
-        flagged = self._flagged(truth)
-        profile = truth_profile(truth_verdicts(truth, config, flagged), config)
+        exceptions = self._exception_pairs(truth)
+        profile = truth_profile(truth, config, exceptions)
         unique = unique_pairs(er_verdicts(self.er_input(er_df), config), config)
         joined = join_sides(
             unique.withColumn("error_matrix", F.lit(None).cast("string")),
-            truth_rows(truth, config, flagged),
+            truth_rows(truth, config, exceptions),
             heavy_pairs(profile, config),
             config,
         )
@@ -112,11 +110,11 @@ class Validator:
         """
         config = self.config
         truth = self.truth_input(truth_df)
-        flagged = self._flagged(truth)
-        profile = truth_profile(truth_verdicts(truth, config, flagged), config)
+        exceptions = self._exception_pairs(truth)
+        profile = truth_profile(truth, config, exceptions)
         joined = join_sides(
             self._score(self.er_input(er_df), profile),
-            truth_rows(truth, config, flagged),
+            truth_rows(truth, config, exceptions),
             heavy_pairs(profile, config),
             config,
         )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ValidationConfig
 from ..operators.columns import with_key_and_fingerprint
-from ..operators.verdict import er_verdicts, exception_frame, flagged_exceptions, truth_verdicts
+from ..operators.verdict import er_verdicts, exception_pairs, truth_verdicts
 from ..schema import conform
 
 
@@ -27,10 +27,7 @@ def truth_scan(
 ) -> DataFrame:
     """The selected columns of a truth table with ``match_status_manual`` and ``human_review``."""
     truth = conform(df, config, "human_review")
-    if exceptions is None:
-        exceptions = exception_frame(truth, config)
-    flagged = None if exceptions is None else flagged_exceptions(exceptions, config)
-    scored = truth_verdicts(truth, config, flagged)
+    scored = truth_verdicts(truth, config, exception_pairs(truth, config, exceptions))
     return scored.select(*config.columns, "match_status_manual", "human_review")
 
 

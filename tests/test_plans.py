@@ -74,11 +74,10 @@ def test_hot_pairs_are_split(spark, tables):
 def test_split_pair_is_spread_over_slots(spark, tables):
     """The largest pairs are listed, each with its row count over the limit per slot."""
     from pairlens.operators.pairing import PAIR_ID, heavy_pairs
-    from pairlens.operators.verdict import truth_profile, truth_verdicts
+    from pairlens.operators.verdict import truth_profile
 
     config = ValidationConfig(hot_pair_rows=5, max_hot_pairs=3)
-    truth = truth_verdicts(tables[1], config)
-    heavy = heavy_pairs(truth_profile(truth, config), config).collect()
+    heavy = heavy_pairs(truth_profile(tables[1], config), config).collect()
     per_pair = {tuple(r[:2]): r[2] for r in tables[1].groupBy("source_primary_key", "target_primary_key").count().collect()}
     hot = max(per_pair.values())
     assert len(heavy) <= 3 and max(r._splits for r in heavy) == -(-hot // 5)
