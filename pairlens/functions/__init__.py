@@ -6,6 +6,7 @@ from .compare import (
     mismatch_code,
     name_tokens,
     same_value,
+    same_values,
     shares_token,
 )
 from .decode import (
@@ -39,6 +40,7 @@ __all__ = [
     "pair_key",
     "row_fingerprint",
     "same_value",
+    "same_values",
     "shares_token",
     "zero_count",
 ]

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from ..config import MATCH, MISMATCH
+from .keys import quoted
 
 
 def fingerprint_status(left: Column, right: Column) -> Column:
@@ -19,6 +20,11 @@ def same_value(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def same_values(left: str, right: str, name: str) -> Column:
+    """Null-safe equality of the same field of two structs."""
+    return F.expr(f"{quoted(left)}.{quoted(name)} <=> {quoted(right)}.{quoted(name)}")
+
+
 def name_tokens(name: Column, compat: bool = False) -> Column:
     """Words of a name.
 

@@ -9,9 +9,19 @@ from pyspark.sql import Column, functions as F
 from ..config import NOT_HASHED
 
 
+def quoted(name: str) -> str:
+    """A column name, possibly of a struct field, as SQL text."""
+    return ".".join(f"`{part}`" for part in name.split("."))
+
+
 def dashed_text(columns: Iterable[str]) -> Column:
-    """The values as text joined by '-', with NULL read as the empty string."""
-    return F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    """The values as text joined by '-', with NULL read as the empty string.
+
+    One SQL expression: a call into the JVM per column would cost more than
+    validating a small table.
+    """
+    values = ", ".join(f"coalesce(cast({quoted(c)} AS string), '')" for c in columns)
+    return F.expr(f"concat_ws('-', {values})")
 
 
 def pair_key(key_columns: Iterable[str]) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import MATCH, MISMATCH, ValidationConfig
-from ..functions.compare import fingerprint_status, mismatch_code, same_value, shares_token
+from ..functions.compare import fingerprint_status, mismatch_code, same_values, shares_token
 from ..functions.decode import (
     code_status,
     mismatch_deviation,
@@ -87,7 +87,7 @@ def agreements(config: ValidationConfig) -> list[Column]:
     return [
         shares_token(_eo(c), _tf(c), config.compat)
         if c in config.token_columns
-        else same_value(_eo(c), _tf(c))
+        else same_values("eo", "tf", c)
         for c in config.columns
     ]
 
@@ -137,27 +137,27 @@ def combine(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def result_columns(config: ValidationConfig, batch_id: str) -> list[Column]:
+def result_columns(config: ValidationConfig, batch_id: str) -> list[Column | str]:
     """Final projection: ER-side values, the truth verdict, the explanation."""
 
-    def value(name: str) -> Column:
+    def value(name: str) -> Column | str:
         if name in config.key_columns and not config.compat:
             return F.when(_in_er(), _eo(name)).otherwise(_tf(name)).alias(name)
-        return _eo(name).alias(name)
+        return f"eo.{name}"
 
     return [
         *map(value, config.columns),
-        _eo("match_status_er").alias("match_status_er"),
-        F.col("error_matrix"),
-        _eo(FINGERPRINT).alias(FINGERPRINT),
-        _tf("match_status_manual").alias("match_status_manual"),
-        _tf("human_review").alias("human_review"),
-        F.col("validation_status"),
-        F.col("mismatches_code"),
-        F.col("extra_or_missing_flag"),
-        F.col("mismatches_columns"),
-        F.col("mismatch_deviation"),
-        F.col("mismatch_type"),
+        "eo.match_status_er",
+        "error_matrix",
+        f"eo.{FINGERPRINT}",
+        "tf.match_status_manual",
+        "tf.human_review",
+        "validation_status",
+        "mismatches_code",
+        "extra_or_missing_flag",
+        "mismatches_columns",
+        "mismatch_deviation",
+        "mismatch_type",
         F.lit(batch_id).alias("batch_id"),
-        *([F.col("code_status")] if config.with_code_status else []),
+        *(["code_status"] if config.with_code_status else []),
     ]

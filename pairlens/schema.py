@@ -34,7 +34,7 @@ def conform(df: DataFrame, config: ValidationConfig, *extra: str) -> DataFrame:
     have = {f.name: f.dataType for f in df.schema.fields}
     return df.select(
         *[
-            F.col(c) if have[c] == _DECLARED.get(c, have[c]) else F.col(c).cast(_DECLARED[c]).alias(c)
+            c if have[c] == _DECLARED.get(c, have[c]) else F.col(c).cast(_DECLARED[c]).alias(c)
             for c in wanted
         ]
     )
