@@ -28,6 +28,11 @@ from pairlens.operators.records import combine  # noqa: E402
 from pairlens.operators.verdict import dedup_pairs  # noqa: E402
 from pairlens.sources import er_scan, fingerprinted_table, register_views, truth_scan  # noqa: E402
 
+try:  # the text operators are an optional part
+    from pairlens.llm import queries as llm
+except ImportError:
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 DEFAULT = ValidationConfig()
@@ -276,6 +281,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return _validation_queries() | (llm.queries() if llm else {})
+
+
+def _validation_queries() -> dict[str, Query]:
     return {
         "er_match_status": er_match_status,
         "truth_match_status": truth_match_status,
@@ -319,4 +328,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | (llm.oracle_sql() if llm else {})
