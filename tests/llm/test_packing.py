@@ -1,0 +1,85 @@
+"""Packing: the search against a plain scan of all bins, and what must hold of any packing."""
+
+import random
+from collections import Counter, defaultdict
+
+from pairlens.llm.packing import best_fit, pack
+
+
+def plain_best_fit(items, capacity):
+    bins, chosen = [], []
+    for size, source, cluster in items:
+        fit = [
+            (left, i)
+            for i, (left, sources, clusters) in enumerate(bins)
+            if left >= size and (source is None or source not in sources) and (cluster is None or cluster not in clusters)
+        ]
+        if not fit:
+            bins.append([capacity, set(), set()])
+            fit = [(capacity, len(bins) - 1)]
+        i = min(fit)[1]
+        bins[i][0] -= size
+        bins[i][1].add(source)
+        bins[i][2].add(cluster)
+        chosen.append(i)
+    return chosen
+
+
+def test_search_finds_the_tightest_compatible_bin():
+    rng = random.Random(3)
+    for trial in range(60):
+        capacity = rng.choice([5, 20, 100])
+        items = [
+            (rng.randint(1, capacity), rng.choice([None, "a", "a", *"bcdefg"]), rng.choice([None, *range(20)]))
+            for _ in range(rng.randrange(1, 150))
+        ]
+        items.sort(key=lambda x: -x[0])
+        assert best_fit(items, capacity) == plain_best_fit(items, capacity), trial
+
+
+def holds(rows, docs, capacity):
+    """docs: {doc_id: (words, source, cluster)}"""
+    bins, words, pieces = defaultdict(list), Counter(), defaultdict(list)
+    for r in rows:
+        words[r.doc_id] += r.n_words
+        pieces[r.doc_id].append((r.start_word, r.n_words))
+        if r.bin_id is not None:
+            bins[r.bin_id].append(r)
+    assert {d: n for d, (n, _, _) in docs.items()} == dict(words)
+    for parts in pieces.values():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+    for own in bins.values():
+        assert sum(r.n_words for r in own) <= capacity
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        for part in (1, 2):
+            keys = [docs[r.doc_id][part] for r in own if docs[r.doc_id][part] is not None]
+            assert len(keys) == len(set(keys))
+    return bins
+
+
+def test_all_documents_are_packed(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = {r.doc_id: (len(r.text.split()), r.source, " ".join(r.text.split())) for r in docs.collect()}
+    for options in ({}, {"shard_rows": 40, "capacity": 300}):
+        bins = holds(pack(docs, **options).collect(), known, options.get("capacity", 2048))
+        assert options or len(bins) < len(known)
+
+
+def test_nulls_long_texts_and_repeated_rows(spark):
+    rows = [(1, None, "a", 0), (2, "", "a", 0), (3, "w " * 25, None, 0), (4, "w " * 25, None, 0), (5, "x y", "a", 0), (6, "z", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    known = {r[0]: (len((r[1] or "").split()), r[2], " ".join((r[1] or "").split())) for r in rows}
+    got = pack(docs, capacity=10).collect()
+    holds(got, known, 10)
+    assert {r.doc_id for r in got if r.bin_id is None} == {1, 2}
+    same = spark.createDataFrame([(2**60 + 1, "a b", "s")] * 3 + [(None, "q", "t")], "doc_id long, text string, source string")
+    got = pack(same, capacity=10).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0] + [2**60 + 1] * 3
+    assert len({r.bin_id for r in got}) == 3
+
+
+def test_empty_table(spark):
+    assert pack(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
