@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .rows import whole_text
-from .shingles import mix, ngrams, words
+from .shingles import Words, mix, ngrams, slices, words
 
 BITS, BLOCKS = 128, 16
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -144,7 +144,11 @@ class Index:
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item, similarity, start, distance) of a batch of texts."""
-        hashed = words(texts)
+        for first, part in slices(texts):
+            for row, *found in self._scan(words(part)):
+                yield (first + row, *found)
+
+    def _scan(self, hashed: Words) -> Iterator[tuple[int, int, float, int, int]]:
         for k in self.known:
             grams = ngrams(hashed.hashes, k)  # also across texts; those are set aside below
             hits = self.hits(grams, k)

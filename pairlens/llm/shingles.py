@@ -7,6 +7,7 @@ sums, so that no Python object is made per word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ _LOWER[65:91] += 32
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[str, np.ndarray] = {}
+#: Bytes whose prefix sums are held at once.
+CHUNK = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,13 +77,31 @@ def words(column: pa.Array) -> Words:
     first[inner] = letters[inner]  # a word ends with its text
     last[inner - 1] = letters[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    hashes = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + CHUNK, CHUNK))
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if low < high:
+            base = starts[low]
+            part = _LOWER[data[base : ends[high - 1]]].astype(np.uint64) + np.uint64(1)
+            up, down = _powers(len(part))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=sums[1:])
+            own = starts[low:high] - base
+            hashes[low:high] = mix((sums[ends[low:high] - base] - sums[own]) * down[own])
     return Words(hashes, np.searchsorted(starts, offsets))
 
 
+def slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, part) of an array of texts, in parts of about ``most_bytes``; a longer text is a part of its own."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else []
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(at, at[low] + most_bytes, "right")) - 1)
+        yield low, column.slice(low, high - low)
+        low = high
+
+
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive words."""
     if len(hashes) < n:
