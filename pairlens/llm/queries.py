@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, near_dedup, packing, quality, token_counts, toxicity, warc
+from . import decontamination, exact_dedup, html_text, near_dedup, packing, quality, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.copy_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,16 +51,24 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_best_fit_packing,
         op3_toxicity,
         op4_minhash_near_dedup,
         op5_exact_dedup,
+        op6_html_text,
         op7_decontamination,
         op8_warc,
         op9_quality,
         op10_token_counts,
+        pipeline,
     )
     return {query.__name__: query for query in each}
 
