@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlens.llm import decontamination, exact_dedup, near_dedup, packing, quality
-from pairlens.llm.store import stored
+from pairlens.llm.store import small_batches, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +33,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 

@@ -184,34 +184,85 @@ def _open_lists(lists: DataFrame) -> DataFrame:
 
 
 def _all_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of different components in one list, long lists dealt into blocks of about ``BLOCK`` nodes."""
+    """Pairs of different components in one list, long lists dealt into blocks of about ``BLOCK`` nodes.
+
+    A task holds two blocks at a time and hands out the pairs that may be linked.
+    """
     blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
     dealt = lists.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", "posting"), blocks).cast("int")})
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("size", "label", "sketch", "prefix", "block")]
-    left = dealt.select("posting", F.col("node").alias("a"), *own("a"), every.alias("block_b"))
-    right = dealt.select("posting", F.col("node").alias("b"), *own("b"), every.alias("block_a"))
-    met = left.join(right, ["posting", "block_a", "block_b"])
-    new = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _similar_size()
-    # Each pair comes from the first list that holds both, and from no other.
-    here = F.array_intersect("prefix_a", "prefix_b")[0] == F.col("posting")
-    return met.where(new & _may_be_linked() & here).select("a", "b")
-
-
-def _may_be_linked() -> Column:
-    """Do at least ``FINE_MATCHES`` of the four-bit values of two sketches agree."""
-    differing = F.lit(0)
-    for i in range(FINE // 16):
-        bits = F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])
-        any_bit = bits.bitwiseOR(F.shiftright(bits, 1)).bitwiseOR(F.shiftright(bits, 2)).bitwiseOR(F.shiftright(bits, 3))
-        differing = differing + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-    return differing <= FINE - FINE_MATCHES
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "posting", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *[c for c in _MEMBER if c != "posting"]
+    )
+    met = met.repartition("posting", "low", "high").sortWithinPartitions("posting", "low", "high")
+    return met.mapInArrow(_compare_blocks, "a binary, b binary")
+
+
+_MEMBER = ("posting", "block", "node", "size", "label", "sketch", "prefix")
+_ONES = np.uint64(0x1111111111111111)
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with one (posting, low, high), compared as they end."""
+    held, key = [], None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            pairs = _may_be_linked(pa.Table.from_batches(held).combine_chunks(), key[0], key[1] != key[2], key[1])
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("posting", "low", "high")], axis=1)
+        ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
+        start = 0
+        for end in ends:
+            if key != (now := tuple(keys[start].tolist())):
+                yield from done()
+                held, key = [], now
+            held.append(batch.slice(start, end - start))
+            start = end
+    yield from done()
+
+
+def _may_be_linked(rows: pa.Table, posting: int, apart: bool, low: int) -> list[tuple[bytes, bytes]]:
+    """Pairs of two blocks (or of one) in different components, of similar size, with ``FINE_MATCHES`` equal four-bit
+    values, in the first list that holds both."""
+    labels = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    if len(labels) < 2 or labels.max() == 0:
+        return []
+    sizes, blocks = rows["size"].to_numpy(), rows["block"].to_numpy()
+    sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(labels), -1)
+    left, right = (np.flatnonzero(blocks == low), np.flatnonzero(blocks != low)) if apart else (np.arange(len(labels)),) * 2
+    out, nodes, prefixes = [], rows["node"], rows["prefix"]
+    step = max(1, (1 << 16) // max(1, len(right)))
+    for at in range(0, len(left), step):
+        x = left[at : at + step]
+        new = (labels[x][:, None] != labels[right]) & (100 * np.minimum(sizes[x][:, None], sizes[right]) >= 75 * np.maximum(sizes[x][:, None], sizes[right]))
+        if not apart:
+            new &= x[:, None] < right
+        i, j = np.nonzero(new)
+        i, j = x[i], right[j]
+        differing = np.zeros(len(i), np.int64)
+        for word in range(sketches.shape[1]):
+            bits = sketches[i, word] ^ sketches[j, word]
+            bits |= bits >> np.uint64(2)
+            bits |= bits >> np.uint64(1)
+            differing += np.bitwise_count(bits & _ONES)
+            if word % 8 == 7:  # those beyond the bound go early
+                stay = differing <= FINE - FINE_MATCHES
+                i, j, differing = i[stay], j[stay], differing[stay]
+        for m, n in zip(i.tolist(), j.tolist()):
+            other = set(prefixes[n].as_py())
+            if next(p for p in prefixes[m].as_py() if p in other) == posting:
+                a, b = nodes[m].as_py(), nodes[n].as_py()
+                out.append((a, b) if a < b else (b, a))
+    return out
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sketches = [fine_sketch(np.frombuffer(s.as_buffer(), np.uint64)).view(np.int64) for s in batch.column("shingles")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sketches, pa.list_(pa.int64()))], ["node", "sketch"])
+        sketches = [fine_sketch(np.frombuffer(s.as_buffer(), np.uint64)).tobytes() for s in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sketches, pa.binary())], ["node", "sketch"])
 
 
 def _with_sketches(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,7 +270,7 @@ def _with_sketches(lists: DataFrame, sets: DataFrame) -> DataFrame:
     prefixes = lists.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "posting"))).alias("own"))  # at most PREFIX
     prefixes = prefixes.select("node", F.col("own.posting").alias("prefix"))
     needed = stored(sets.join(prefixes, "node").select("node", "prefix", "shingles"), "sketched")
-    sketches = needed.select("node", "shingles").mapInArrow(_sketched, "node binary, sketch array<long>")
+    sketches = needed.select("node", "shingles").mapInArrow(_sketched, "node binary, sketch binary")
     return lists.join(sketches, "node").join(needed.select("node", "prefix"), "node")
 
 
