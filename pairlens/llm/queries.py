@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, html_text, near_dedup, packing, quality, token_counts, toxicity, warc
+from . import decontamination, exact_dedup, html_text, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .store import small_batches
 
 
@@ -19,6 +19,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
 def op3_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -62,6 +66,7 @@ def pipeline(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_best_fit_packing,
+        op2_suffix_dedup,
         op3_toxicity,
         op4_minhash_near_dedup,
         op5_exact_dedup,
