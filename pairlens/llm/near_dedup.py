@@ -13,15 +13,15 @@ nodes whose first 33 postings are theirs alone are done.
 Skip: links only matter between different components. In every list all nodes
 are first compared with one of them, and the components of the confirmed links
 are found; nodes of one component are then skipped, and in later steps only
-nodes of different components are compared: twice with a hub that each list draws
+nodes of different components are compared: with a hub that each list draws
 for itself, so that a node meets as many hubs as it has lists, then all that
 are left, long lists in blocks, each pair in the first list that holds both, and
-only if 351 of 512 further coordinates agree, kept as four bits each. A linked pair
+only if 726 of 1024 further coordinates agree, kept as four bits each. A linked pair
 in two components is missed with a probability of 1e-5 at similarity 0.75 and less
 above it, and large groups of copies do not meet pair by pair.
 
-Compared pairs are counted over the whole signature, those with 32 agreements
-are confirmed on the full sets of 64-bit shingle hashes by 100 * common >= 75 *
+Pairs with a hub are counted over the whole signature, and those with 32 agreements, as
+those of the last step, are confirmed on the full sets of 64-bit shingle hashes by 100 * common >= 75 *
 union. Nodes, signatures, sets and links are written tables.
 
 Defined cases: a text without words, null included, has no shingles, is linked
@@ -49,8 +49,8 @@ COORDINATES, MATCHES = 64, 32
 PREFIX = COORDINATES - MATCHES + 1
 BLOCK = 2000
 #: Further coordinates, for sketches of four bits each, and how many must agree: a pair of
-#: similarity 0.75 has 392 on average and fewer than 351 with a probability of 1e-5.
-FINE, FINE_MATCHES = 512, 351
+#: similarity 0.75 has 784 on average and fewer than 726 with a probability of 1e-5.
+FINE, FINE_MATCHES = 1024, 726
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _FINE_FACTORS = mix(np.arange(1001, 1001 + FINE, dtype=np.uint64)) | np.uint64(1)
 _SIGNED = "absent boolean, value long, text_key long, n_shingles long, node binary, signature array<long>"
@@ -154,15 +154,16 @@ def _prefix_lists(nodes: DataFrame) -> DataFrame:
     return lists
 
 
-def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b), and those of them that are links: enough agreements, then the full sets."""
+def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, tested: DataFrame | None, sketched: bool) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b), and those of them that are links: enough agreements, unless sketches have shown so, then the full sets."""
     pairs = pairs.distinct()
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
     left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x"))
     right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-    likely = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= MATCHES).select("a", "b")
+    agreeing = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= MATCHES).select("a", "b")
+    likely = pairs if sketched else agreeing
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     links = likely.join(left, "a").join(right, "b").mapInArrow(_confirm, "a binary, b binary")
@@ -295,12 +296,11 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Dat
     steps = (
         lambda x: _hub_pairs(x, F.col("node")),
         lambda x: _hub_pairs(x, F.xxhash64("node", "posting")),
-        lambda x: _hub_pairs(x, F.xxhash64("posting", "node")),
         lambda x: _all_pairs(_with_sketches(x, sets)),
     )
     for step in steps:
         current = stored(_open_lists(_labelled(lists, labels)), "open")
-        pairs, found = _confirmed(step(current), signatures, sets, tested)
+        pairs, found = _confirmed(step(current), signatures, sets, tested, step is steps[-1])
         tested = pairs if tested is None else stored(tested.union(pairs), "tested")
         links = found if links is None else links.union(found)
         labels = components(links)
