@@ -2,9 +2,9 @@
 
 The driver's data holds no pair tables, so an ER output and a truth table are
 derived by SQL that Spark and DuckDB both run. Every order becomes a candidate
-pair. The CASE and WHERE conditions below are what makes the two sides differ
-(extra and missing records, changed columns and scores); all source tables are
-read whole.
+pair on either side, joined with one part; parts are taken in turn, so every
+part is used. The CASE conditions below are what makes the two sides differ (changed
+keys, columns and scores); all source tables are read whole.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ SELECT o.o_orderkey AS k,
  cast((o.o_orderkey*19)%41 AS double)/100 AS address_line_score, cast((o.o_orderkey*23)%19 AS double)/100 AS state_score,
  cast((o.o_orderkey*29)%43 AS double)/100 AS postal_code_score,
  CASE WHEN o.o_orderkey%29=0 THEN NULL ELSE cast(o.o_orderkey%6 AS double)/100 END AS suffix_score
-FROM orders o JOIN customer c ON o.o_custkey=c.c_custkey JOIN nation n ON c.c_nationkey=n.n_nationkey
- JOIN region r ON n.n_regionkey=r.r_regionkey JOIN part p ON p.p_partkey=o.o_orderkey%200
+FROM (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS o_partkey FROM orders) o
+ JOIN customer c ON o.o_custkey=c.c_custkey JOIN nation n ON c.c_nationkey=n.n_nationkey
+ JOIN region r ON n.n_regionkey=r.r_regionkey JOIN part p ON p.p_partkey=o.o_partkey
 """
 
 
@@ -46,9 +47,12 @@ def _columns(replaced: dict[str, str] | None = None, prefix: str = "") -> str:
     return ", ".join(f"{replaced[c]} AS {c}" if c in replaced else prefix + c for c in PAIR_COLUMNS)
 
 
-ER_OUTPUT = f"SELECT {_columns()} FROM base WHERE k%13<>0"
+# Both sides hold every order; a changed key makes a record one-sided.
+ER_CHANGES = {"source_primary_key": "CASE WHEN k%13=0 THEN 'N'||source_primary_key ELSE source_primary_key END"}
+ER_OUTPUT = f"SELECT {_columns(ER_CHANGES)} FROM base"
 
 TRUTH_CHANGES = {
+    "source_primary_key": "CASE WHEN k%11=0 THEN 'M'||source_primary_key ELSE source_primary_key END",
     "target_entity_id": "CASE WHEN k%7=0 THEN 'X'||target_entity_id ELSE target_entity_id END",
     "source_city": "CASE WHEN k%9=0 THEN lower(source_city) ELSE source_city END",
     "source_last_name": "CASE WHEN k%8=0 THEN target_last_name ELSE source_last_name END",
@@ -58,7 +62,7 @@ TRUTH_CHANGES = {
 }
 TRUTH = (
     f"SELECT {_columns(TRUTH_CHANGES)}, CASE WHEN k%2=0 THEN 'Y' ELSE 'N' END AS human_review "
-    "FROM base WHERE k%11<>0"
+    "FROM base"
 )
 
 EXCEPTIONS = (

@@ -18,7 +18,7 @@ from ..functions.decode import (
     mismatch_type,
     mismatching_columns_text,
 )
-from ..functions.keys import dashed_text
+from ..functions.keys import dashed_text, hashed_columns
 from .columns import ER_SIDE, TRUTH_SIDE
 from .pairing import PAIR_ID, with_pair_id
 from .verdict import FINGERPRINT, ExceptionPairs, truth_verdicts
@@ -64,7 +64,7 @@ def classify_records(pairs: DataFrame, config: ValidationConfig) -> DataFrame:
 
     Classes: match, mismatch, extra (ER output only), missing (truth only).
     """
-    truth_print = F.when(_in_truth(), F.md5(dashed_text(f"tf.{c}" for c in config.columns)))
+    truth_print = F.when(_in_truth(), F.md5(dashed_text(f"tf.{c}" for c in hashed_columns(config.columns))))
     status = F.col("validation_status")
     record_class = (
         F.when(~_in_truth(), "extra")

@@ -45,7 +45,7 @@ def exception_pairs(
         length = len(config.exceptions)
     else:
         return None
-    keyed = given.select(*config.key_columns).dropna().distinct()
+    keyed = given.select(*[F.col(c).cast("string").alias(c) for c in config.key_columns]).dropna().distinct()
     pairs = with_pair_id(keyed, config).select(*PAIR_ID, F.lit(True).alias("_flipped"))
     return ExceptionPairs(pairs, length <= bound)
 

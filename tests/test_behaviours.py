@@ -3,6 +3,8 @@
 import pytest
 
 from frames import COLUMNS, COMPAT, er_frame, one, row, run, truth_frame
+from pyspark.sql import functions as F
+
 from pairlens import ValidationConfig, Validator
 from pairlens.config import COMPAT_EXCEPTIONS
 
@@ -279,3 +281,45 @@ def test_run_counts(spark, config):
         "missing": 2,
     }
     assert set(counts(spark, [], [], config).values()) == {0}
+
+
+def _small_sides(spark):
+    from fixture_sql import fixture
+
+    return fixture(spark, "/root/testdata/sf0.001", "er_output"), fixture(spark, "/root/testdata/sf0.001", "truth")
+
+
+def test_unhashed_columns_count_on_neither_side(spark):
+    er, truth = _small_sides(spark)
+    matches = lambda config, e, t: Validator(config).run(e, t).where("validation_status = 'Match'").count()
+    config = ValidationConfig()
+    wider = config.but(columns=(*config.columns, "error_matrix"))
+    plain = matches(config, er, truth)
+    marked = [f.withColumn("error_matrix", F.lit("TP")) for f in (er, truth)]
+    assert plain > 0 and matches(wider, *marked) == plain
+
+
+def test_inputs_in_any_case_and_review_among_columns(spark):
+    from pairlens.schema import conform
+
+    _, truth = _small_sides(spark)
+    upper = truth.select([F.col(c).alias(c.upper()) for c in truth.columns])
+    config = ValidationConfig()
+    named = config.but(columns=(*config.columns, "human_review"))
+    got = conform(upper, named, "human_review")
+    assert got.columns == [*config.columns, "human_review"]
+
+
+def test_a_rank_that_is_no_integer_is_refused(spark):
+    from pairlens.schema import conform
+
+    er, _ = _small_sides(spark)
+    with pytest.raises(Exception, match="er_rank"):
+        conform(er.withColumn("er_rank", F.lit(1.9)), ValidationConfig()).collect()
+    assert conform(er.withColumn("er_rank", F.lit(1.0)), ValidationConfig()).count() == er.count()
+
+
+def test_exceptions_with_number_keys(spark):
+    er, truth = _small_sides(spark)
+    listed = spark.createDataFrame([(1, 2)], "source_primary_key int, target_primary_key int")
+    assert Validator(ValidationConfig(), exceptions=listed).run(er, truth).count() > 0
