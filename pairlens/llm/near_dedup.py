@@ -20,9 +20,11 @@ only if 726 of 1024 further coordinates agree, kept as four bits each. A linked
 in two components is missed with a probability of 1e-5 at similarity 0.75 and less
 above it, and large groups of copies do not meet pair by pair.
 
-Pairs with a hub are counted over the whole signature, and those with 32 agreements, as
-those of the last step, are confirmed on the full sets of 64-bit shingle hashes by 100 * common >= 75 *
-union. Nodes, signatures, sets and links are written tables.
+Pairs with a hub are counted over the whole signature, and those with 32 agreements
+are confirmed on the full sets of 64-bit shingle hashes by 100 * common >= 75 * union. In the last step
+the sets of the nodes that a pair of blocks leaves come to one task, once each however many pairs they are in, and pairs
+of components that links of this task have already united are not compared again. Blocks are dealt by
+nodes and by shingles, so their sets have a size bound. Nodes, signatures, sets and links are written tables.
 
 Defined cases: a text without words, null included, has no shingles, is linked
 with nothing and its own component; fewer than five words are one shingle; null ids are
@@ -47,7 +49,8 @@ from .store import discard, stored
 
 COORDINATES, MATCHES = 64, 32
 PREFIX = COORDINATES - MATCHES + 1
-BLOCK = 2000
+#: Nodes of a block, and shingles for each of them on average.
+BLOCK, BLOCK_SHINGLES = 2000, 1000
 #: Further coordinates, for sketches of four bits each, and how many must agree: a pair of
 #: similarity 0.75 has 784 on average and fewer than 726 with a probability of 1e-5.
 FINE, FINE_MATCHES = 1024, 726
@@ -120,14 +123,18 @@ def _collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _similar(left: np.ndarray, right: np.ndarray) -> bool:
+    """Do two sorted sets share three quarters of their union?"""
+    at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+    common = int((right[at] == left).sum())
+    return 100 * common >= 75 * (len(left) + len(right) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
         for x, y in zip(batch.column("x"), batch.column("y")):
-            left, right = (np.frombuffer(side.as_buffer(), np.uint64) for side in (x, y))
-            at = np.minimum(np.searchsorted(right, left), len(right) - 1)
-            common = int((right[at] == left).sum())
-            linked.append(100 * common >= 75 * (len(left) + len(right) - common))
+            linked.append(_similar(*(np.frombuffer(side.as_buffer(), np.uint64) for side in (x, y))))
         mask = pa.array(linked, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -148,22 +155,21 @@ def _prefix_lists(nodes: DataFrame) -> DataFrame:
     room = F.lit(PREFIX - COORDINATES) + F.size("own")  # postings that no other node has come first
     first = ranked.where(room > 0).select("node", "n_shingles", F.explode(F.slice("own", F.lit(1), room)).alias("p"))
     first = stored(first.select("p.posting", "node", F.col("n_shingles").alias("size")), "postings")
-    several = first.groupBy("posting").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    several = first.groupBy("posting").agg(F.count(F.lit(1)).alias("held"), F.sum("size").alias("weight")).where("held > 1")
     lists = stored(first.join(several, "posting"), "lists")
     discard(first)
     return lists
 
 
-def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, tested: DataFrame | None, sketched: bool) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b), and those of them that are links: enough agreements, unless sketches have shown so, then the full sets."""
+def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b), and those of them that are links: enough agreements, then the full sets."""
     pairs = pairs.distinct()
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
     left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x"))
     right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-    agreeing = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= MATCHES).select("a", "b")
-    likely = pairs if sketched else agreeing
+    likely = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= MATCHES).select("a", "b")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     links = likely.join(left, "a").join(right, "b").mapInArrow(_confirm, "a binary, b binary")
@@ -184,49 +190,91 @@ def _open_lists(lists: DataFrame) -> DataFrame:
     return lists.join(several.select("posting"), "posting", "left_semi")
 
 
-def _all_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of different components in one list, long lists dealt into blocks of about ``BLOCK`` nodes.
+def _block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of one list, long lists dealt into blocks.
 
-    A task holds two blocks at a time and hands out the pairs that may be linked.
+    A task holds two blocks at a time: first their sketches, which leave the nodes that
+    may have links and with which others, then the sets of these nodes.
     """
-    blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
-    dealt = lists.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", "posting"), blocks).cast("int")})
+    blocks = F.ceil(F.greatest(F.col("held"), F.col("weight") / BLOCK_SHINGLES) / BLOCK).cast("int")
+    dealt = _with_sketches(lists, sets).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", "posting"), blocks).cast("int")})
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "posting", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *[c for c in _MEMBER if c != "posting"]
     )
-    met = met.repartition("posting", "low", "high").sortWithinPartitions("posting", "low", "high")
-    return met.mapInArrow(_compare_blocks, "a binary, b binary")
+    likely = stored(_by_blocks(met).mapInArrow(_compare_blocks, _LIKELY), "likely")
+    links = stored(_by_blocks(likely.join(sets, "node")).mapInArrow(_link_blocks, "a binary, b binary"), "links")
+    discard(likely)
+    return links
+
 
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_BLOCKS).sortWithinPartitions(*_BLOCKS)
 
+
+_BLOCKS = ("posting", "low", "high")
+_LIKELY = "posting long, low int, high int, node binary, label binary, others array<binary>"
 _MEMBER = ("posting", "block", "node", "size", "label", "sketch", "prefix")
 _ONES = np.uint64(0x1111111111111111)
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with one (posting, low, high), compared as they end."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """The rows of each pair of blocks, which come together."""
     held, key = [], None
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if held:
-            pairs = _may_be_linked(pa.Table.from_batches(held).combine_chunks(), key[0], key[1] != key[2], key[1])
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
-
     for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("posting", "low", "high")], axis=1)
+        keys = np.stack([batch.column(c).to_numpy() for c in _BLOCKS], axis=1)
         ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
         start = 0
         for end in ends:
             if key != (now := tuple(keys[start].tolist())):
-                yield from done()
+                if held:
+                    yield key, pa.Table.from_batches(held).combine_chunks()
                 held, key = [], now
             held.append(batch.slice(start, end - start))
             start = end
-    yield from done()
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()
 
 
-def _may_be_linked(rows: pa.Table, posting: int, apart: bool, low: int) -> list[tuple[bytes, bytes]]:
-    """Pairs of two blocks (or of one) in different components, of similar size, with ``FINE_MATCHES`` equal four-bit
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of each pair of blocks that may have links, each with those of its partners that it names."""
+    for key, rows in _runs(batches):
+        partners: dict[int, list[int]] = {}
+        for m, n in _may_be_linked(rows, key[0], key[1] != key[2], key[1]):
+            partners.setdefault(m, []).append(n)
+            partners.setdefault(n, [])
+        if partners:
+            at = pa.array(list(partners), pa.int64())
+            nodes = rows["node"].combine_chunks()
+            sizes = np.cumsum([0, *map(len, partners.values())])
+            others = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), nodes.take(pa.array([n for of in partners.values() for n in of], pa.int64())))
+            whose = [pa.array(np.full(len(at), k), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*whose, nodes.take(at), rows["label"].combine_chunks().take(at), others], [c.split()[0] for c in _LIKELY.split(", ")])
+
+
+def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each pair of blocks, as many as unite its components."""
+    for _, rows in _runs(batches):
+        nodes, labels = rows["node"].to_pylist(), rows["label"].to_pylist()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows["shingles"].combine_chunks()]
+        place, parent, links = {node: i for i, node in enumerate(nodes)}, {label: label for label in labels}, []
+
+        def root(label: bytes) -> bytes:
+            while parent[label] != label:
+                parent[label] = label = parent[parent[label]]
+            return label
+
+        for i, others in enumerate(rows["others"]):
+            for j in (place[n] for n in others.as_py()):
+                x, y = root(labels[i]), root(labels[j])
+                if x != y and _similar(sets[i], sets[j]):
+                    parent[x] = y
+                    links.append((nodes[i], nodes[j]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _may_be_linked(rows: pa.Table, posting: int, apart: bool, low: int) -> list[tuple[int, int]]:
+    """Pairs of rows of two blocks (or of one) in different components, of similar size, with ``FINE_MATCHES`` equal four-bit
     values, in the first list that holds both."""
     labels = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
     if len(labels) < 2 or labels.max() == 0:
@@ -234,7 +282,7 @@ def _may_be_linked(rows: pa.Table, posting: int, apart: bool, low: int) -> list[
     sizes, blocks = rows["size"].to_numpy(), rows["block"].to_numpy()
     sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(labels), -1)
     left, right = (np.flatnonzero(blocks == low), np.flatnonzero(blocks != low)) if apart else (np.arange(len(labels)),) * 2
-    out, nodes, prefixes = [], rows["node"], rows["prefix"]
+    out, prefixes = [], rows["prefix"]
     step = max(1, (1 << 16) // max(1, len(right)))
     for at in range(0, len(left), step):
         x = left[at : at + step]
@@ -255,8 +303,7 @@ def _may_be_linked(rows: pa.Table, posting: int, apart: bool, low: int) -> list[
         for m, n in zip(i.tolist(), j.tolist()):
             other = set(prefixes[n].as_py())
             if next(p for p in prefixes[m].as_py() if p in other) == posting:
-                a, b = nodes[m].as_py(), nodes[n].as_py()
-                out.append((a, b) if a < b else (b, a))
+                out.append((m, n))
     return out
 
 
@@ -293,19 +340,16 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Dat
     sets = stored(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "sets")
 
     labels, tested, links = None, None, None
-    steps = (
-        lambda x: _hub_pairs(x, F.col("node")),
-        lambda x: _hub_pairs(x, F.xxhash64("node", "posting")),
-        lambda x: _all_pairs(_with_sketches(x, sets)),
-    )
-    for step in steps:
+    for order in (F.col("node"), F.xxhash64("node", "posting")):
         current = stored(_open_lists(_labelled(lists, labels)), "open")
-        pairs, found = _confirmed(step(current), signatures, sets, tested, step is steps[-1])
+        pairs, found = _confirmed(_hub_pairs(current, order), signatures, sets, tested)
         tested = pairs if tested is None else stored(tested.union(pairs), "tested")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = components(found if links is None else links.union(found))
         links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         discard(current)
+    current = stored(_open_lists(_labelled(lists, labels)), "open")
+    labels = components(links.union(_block_links(current, sets)))
+    discard(current)
     discard(lists, signatures, sets)
     return labels
 
