@@ -24,7 +24,7 @@ from pairlens.functions import (  # noqa: E402
     shares_token,
 )
 from pairlens.operators.columns import fill_blanks, mark_side, strip_sides  # noqa: E402
-from pairlens.operators.records import combine  # noqa: E402
+from pairlens.operators.records import RECORD_CLASSES, combine, flat_records  # noqa: E402
 from pairlens.operators.verdict import dedup_pairs  # noqa: E402
 from pairlens.sources import er_scan, fingerprinted_table, register_views, truth_scan  # noqa: E402
 
@@ -78,6 +78,11 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).where(F.col("eo").isNotNull() & F.col("tf").isNotNull())
 
 
+def _keys() -> list:
+    """The keys of a record, from the side that has it."""
+    return [F.coalesce(f"eo.{k}", f"tf.{k}").alias(k) for k in KEYS]
+
+
 def _eo_keys() -> list:
     return [F.col(f"eo.{k}").alias(k) for k in KEYS]
 
@@ -114,7 +119,10 @@ def verdict_left_join(spark, sf_dir):
 
 
 def verdict_left_join_skewed(spark, sf_dir):
-    pairs = Validator(DEFAULT.but(**SPLITTING)).verdict_pairs(*_skewed(spark, sf_dir))
+    """A third of the truth under one pair; ER rows unique, since pairs hot on both sides multiply."""
+    er, truth = _skewed(spark, sf_dir)
+    unique = dedup_pairs(er_scan(er, DEFAULT), DEFAULT).select(*DEFAULT.columns)
+    pairs = Validator(DEFAULT.but(**SPLITTING)).verdict_pairs(unique, truth)
     return pairs.select(*KEYS, "match_status_er", "match_status_manual", "error_matrix")
 
 
@@ -187,51 +195,44 @@ def _class_query(record_class: str) -> Query:
 
 
 def union_distinct(spark, sf_dir):
-    """The distinct pairs and verdicts of both sides, united by column name."""
-    er, truth = _skewed(spark, sf_dir)
-    er_verdict = er_scan(er, DEFAULT).select(*KEYS, F.col("match_status_er").alias("verdict"))
-    truth_verdict = truth_scan(truth, DEFAULT).select(F.col("match_status_manual").alias("verdict"), *KEYS)
-    return combine(er_verdict, truth_verdict)
+    """The four record classes, each by its own join, united by column name without equal rows."""
+    validator, sides = Validator(DEFAULT.but(**SPLITTING), BATCH_ID), _skewed(spark, sf_dir)
+    united = combine(*[validator.records_of(c, *sides) for c in RECORD_CLASSES])
+    return united.select(*RECORD, "record_class")
 
 
 def record_union(spark, sf_dir):
     """All four record classes at once, as the full outer join delivers them."""
     records = Validator(DEFAULT.but(**SPLITTING), BATCH_ID).records(*_skewed(spark, sf_dir))
-    return records.select(
-        F.col("eo.source_primary_key").alias("source_primary_key"),
-        "record_class",
-        "validation_status",
-        "mismatches_code",
-        "extra_or_missing_flag",
-    ).distinct()
+    return flat_records(records).select(*RECORD, "record_class")
 
 
 def mismatching_columns(spark, sf_dir):
     code = F.col("mismatches_code")
     named = mismatching_columns_text(code, DEFAULT.bit_labels)
-    return _records(spark, sf_dir).select(code, named.alias("mismatches_columns"))
+    return _records(spark, sf_dir).select(*_keys(), code, named.alias("mismatches_columns"))
 
 
 def deviation(spark, sf_dir):
     code = F.col("mismatches_code")
     share = mismatch_deviation(code, DEFAULT.bit_labels)
-    return _records(spark, sf_dir).select(code, share.alias("mismatch_deviation"))
+    return _records(spark, sf_dir).select(*_keys(), code, share.alias("mismatch_deviation"))
 
 
 def deviation_compat(spark, sf_dir):
     result = Validator(COMPAT, BATCH_ID).run(*_inputs(spark, sf_dir))
-    return result.select("mismatches_code", "mismatch_deviation")
+    return result.select(*KEYS, "mismatches_code", "mismatch_deviation")
 
 
 def status_of_code(spark, sf_dir):
     code = F.col("mismatches_code")
-    return _records(spark, sf_dir).select(code, code_status(code).alias("code_status"))
+    return _records(spark, sf_dir).select(*_keys(), code, code_status(code).alias("code_status"))
 
 
 def type_of_mismatch(spark, sf_dir):
     code, flag = F.col("mismatches_code"), F.col("extra_or_missing_flag")
     category = mismatch_type(code, flag, DEFAULT.bit_labels)
-    return _records(spark, sf_dir).select(code, flag, category.alias("mismatch_type"))
+    return _records(spark, sf_dir).select(*_keys(), code, flag, category.alias("mismatch_type"))
 
 
 def suffix_strip(spark, sf_dir):

@@ -199,10 +199,10 @@ def statements() -> dict[str, str]:
         "er_dedup": f"{sides(er='er_candidates')} SELECT {cols}, match_status_er, h AS src_tgt_md5_hash_column FROM er_first",
         "verdict_left_join": f"{sides()} SELECT e.{S}, e.{T}, e.match_status_er, t.match_status_manual, "
         f"{matrix('e.match_status_er', 't.match_status_manual')} AS error_matrix "
-        f"FROM er_first e LEFT JOIN trs t ON e.{S} = t.{S} AND e.{T} = t.{T}",
+        f"FROM er_ranked e LEFT JOIN (SELECT *, {STATUS} AS match_status_manual FROM tr_in) t ON e.{S} = t.{S} AND e.{T} = t.{T}",
         "verdict_left_join_skewed": f"{sides(**SKEWED)} SELECT e.{S}, e.{T}, e.match_status_er, t.match_status_manual, "
         f"{matrix('e.match_status_er', 't.match_status_manual')} AS error_matrix "
-        f"FROM er_first e LEFT JOIN trs t ON e.{S} = t.{S} AND e.{T} = t.{T}",
+        f"FROM er_first e LEFT JOIN (SELECT *, {STATUS} AS match_status_manual FROM tr_in) t ON e.{S} = t.{S} AND e.{T} = t.{T}",
         "error_matrix": f"{sides(exceptions=True)} SELECT {S}, {T}, match_status_er, error_matrix FROM ers",
         "error_matrix_skewed": f"{sides(**SKEWED)} SELECT {S}, {T}, match_status_er, error_matrix FROM ers",
         "pair_key": f"{with_clause('er_output')} SELECT {S}, {T}, {KEY} AS key_columns FROM er_output",
@@ -220,15 +220,13 @@ def statements() -> dict[str, str]:
         "mismatch_records": _of_class("mismatch"),
         "extra_records": _of_class("extra"),
         "missing_records": _of_class("missing"),
-        "union_distinct": f"{with_clause('skewed_er', 'skewed_truth')} SELECT {S}, {T}, {STATUS} AS verdict FROM skewed_er "
-        f"UNION SELECT {S}, {T}, {STATUS} FROM skewed_truth",
-        "record_union": f"{joined(**SKEWED)} SELECT DISTINCT e_{S} AS {S}, {CLASS} AS record_class, validation_status, mismatches_code, "
-        "extra_or_missing_flag FROM j",
-        "mismatching_columns": f"{explained()} SELECT mismatches_code, mismatches_columns FROM result",
-        "mismatch_deviation": f"{explained()} SELECT mismatches_code, mismatch_deviation FROM result",
-        "mismatch_deviation_compat": f"{explained(compat=True)} SELECT mismatches_code, mismatch_deviation FROM result",
-        "code_status": f"{joined()} SELECT mismatches_code, CASE WHEN zeros > 0 THEN 'Mismatch' ELSE 'Match' END AS code_status FROM j",
-        "mismatch_type": f"{explained()} SELECT mismatches_code, extra_or_missing_flag, mismatch_type FROM result",
+        "union_distinct": f"{joined(**SKEWED)} SELECT {RECORD}, {CLASS} AS record_class FROM j",
+        "record_union": f"{joined(**SKEWED)} SELECT {RECORD}, {CLASS} AS record_class FROM j",
+        "mismatching_columns": f"{explained()} SELECT {S}, {T}, mismatches_code, mismatches_columns FROM result",
+        "mismatch_deviation": f"{explained()} SELECT {S}, {T}, mismatches_code, mismatch_deviation FROM result",
+        "mismatch_deviation_compat": f"{explained(compat=True)} SELECT {S}, {T}, mismatches_code, mismatch_deviation FROM result",
+        "code_status": f"{joined()} SELECT coalesce(e_{S}, t_{S}) AS {S}, coalesce(e_{T}, t_{T}) AS {T}, mismatches_code, CASE WHEN zeros > 0 THEN 'Mismatch' ELSE 'Match' END AS code_status FROM j",
+        "mismatch_type": f"{explained()} SELECT {S}, {T}, mismatches_code, extra_or_missing_flag, mismatch_type FROM result",
         "suffix_strip": f"{joined()} SELECT {', '.join(f'e_{c} AS {c}' for c in PAIR_COLUMNS)} FROM j WHERE {CLASS} = 'match'",
         "report_view": f"{explained(exceptions=True)} SELECT {', '.join(REPORT_COLUMNS)} FROM result",
         "run_counts": f"{joined(**SKEWED)}, copied AS (SELECT {cols}, human_review, count(*) AS n FROM tr_in GROUP BY ALL), "

@@ -80,8 +80,17 @@ def with_row_slot(rows: DataFrame, heavy: DataFrame, ids: Iterable[str], hashed:
     return listed.withColumn("_slot", F.pmod(F.xxhash64(*hashed), slots).cast("int")).drop("_splits")
 
 
-def join_sides(er: DataFrame, truth: DataFrame, heavy: DataFrame, config: ValidationConfig) -> DataFrame:
-    """Full outer join of unique ER rows and truth rows.
+def without_counterpart(rows: DataFrame, others: DataFrame, config: ValidationConfig) -> DataFrame:
+    """The ``rows`` (with ``PAIR_ID``) whose pair the input ``others`` lacks; of that, the distinct keys are read."""
+    ids = pairing_id(config)
+    known = with_pair_id(others, config).select(*[e.alias(n) for n, e in ids.items()]).distinct()
+    return rows.withColumns(ids).join(known, list(ids), "left_anti")
+
+
+def join_sides(
+    er: DataFrame, truth: DataFrame, heavy: DataFrame, config: ValidationConfig, how: str = "full_outer"
+) -> DataFrame:
+    """Join of ER rows and truth rows by pair, a full outer one by default.
 
     Both inputs carry ``PAIR_ID`` next to their own columns (``er``: eo,
     error_matrix; ``truth``: tf, copies), which the result keeps. A side that
@@ -96,7 +105,7 @@ def join_sides(er: DataFrame, truth: DataFrame, heavy: DataFrame, config: Valida
     # A split pair has truth rows, so its ER row in a slot without any is surplus.
     surplus = F.col("_splits").isNotNull() & F.col("_slot_tf").isNull()
     return (
-        left.join(right, [F.col(f"{c}_eo") == F.col(f"{c}_tf") for c in on], "full_outer")
+        left.join(right, [F.col(f"{c}_eo") == F.col(f"{c}_tf") for c in on], how)
         .where(~surplus)
         .select("eo", "error_matrix", "tf", "copies")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import ValidationConfig
 from ..functions.rules import error_matrix
 from ..operators.columns import fill_blanks
-from ..operators.pairing import PAIR_ID, heavy_pairs, join_sides, with_pair_id
+from ..operators.pairing import PAIR_ID, heavy_pairs, join_sides, with_pair_id, without_counterpart
 from ..operators.records import (
     RECORD_CLASSES,
     classify_records,
@@ -79,24 +79,25 @@ class Validator:
         return self._score(self.er_input(er_df), profile).select("eo.*", "error_matrix")
 
     def verdict_pairs(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
-        """Each unique ER pair with the verdict of every distinct truth row it has.
+        """Every ER row with the verdict of every truth row of its pair.
 
-        A left join on both keys by plain equality: pairs without truth rows,
-        or with a NULL key, appear once and without a truth verdict.
+        A left join on both keys by plain equality, repeated rows of either side
+        included: ER rows without truth rows, or with a NULL key, appear once and
+        without a truth verdict. Copies of a truth row travel as one row with their
+        number; pairs hot in the truth are split. A pair hot on both sides multiplies.
         """
         config = self.config.but(compat=False)
         truth = self.truth_input(truth_df).dropna(subset=list(config.key_columns))
         exceptions = self._exception_pairs(truth)
         profile = truth_profile(truth, config, exceptions)
-        unique = unique_pairs(er_verdicts(self.er_input(er_df), config), config)
-        joined = join_sides(
-            unique.withColumn("error_matrix", F.lit(None).cast("string")),
-            truth_rows(truth, config, exceptions),
-            heavy_pairs(profile, config),
-            config,
+        er = er_verdicts(self.er_input(er_df), config)
+        packed = with_pair_id(er, config).select(
+            *PAIR_ID, F.struct(*er.columns).alias("eo"), F.lit(None).cast("string").alias("error_matrix")
         )
+        joined = join_sides(packed, truth_rows(truth, config, exceptions), heavy_pairs(profile, config), config, "left")
+        repeats = F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)))
         er_status, truth_status = F.col("eo.match_status_er"), F.col("tf.match_status_manual")
-        return joined.where(F.col("eo").isNotNull()).select(
+        return joined.withColumn("copy", F.explode(repeats)).select(
             "eo.*",
             truth_status.alias("match_status_manual"),
             error_matrix(er_status, truth_status).alias("error_matrix"),
@@ -121,11 +122,30 @@ class Validator:
         return with_codes(classify_records(joined, config), config)
 
     def records_of(self, record_class: str, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
-        """The records of one class, sides unpacked into suffixed columns."""
+        """The records of one class, sides unpacked into suffixed columns.
+
+        Extra and missing records are an anti join with the keys of the other
+        side, matches and mismatches an inner join.
+        """
         if record_class not in RECORD_CLASSES:
             raise ValueError(f"record class must be one of {RECORD_CLASSES}")
-        records = self.records(er_df, truth_df).where(F.col("record_class") == record_class)
-        return flat_records(records)
+        config, er, truth = self.config, self.er_input(er_df), self.truth_input(truth_df)
+        exceptions = self._exception_pairs(truth)
+        unique = unique_pairs(er_verdicts(er, config), config)
+        rows = truth_rows(truth, config, exceptions)
+        no_matrix = F.lit(None).cast("string").alias("error_matrix")
+        if record_class == "extra":
+            no_truth = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("tf", "copies")]
+            pairs = without_counterpart(unique, truth, config).select("eo", no_matrix, *no_truth)
+        elif record_class == "missing":
+            no_er = F.lit(None).cast(unique.schema["eo"].dataType).alias("eo")
+            pairs = without_counterpart(rows, er, config).select(no_er, no_matrix, "tf", "copies")
+        else:
+            profile = truth_profile(truth, config, exceptions)
+            scored = with_error_matrix(unique, profile, config)
+            pairs = join_sides(scored, rows, heavy_pairs(profile, config), config, "inner")
+        records = with_codes(classify_records(pairs, config), config)
+        return flat_records(records.where(F.col("record_class") == record_class))
 
     def explain(self, records: DataFrame) -> DataFrame:
         """Decode the codes of ``records`` and project the final columns."""
