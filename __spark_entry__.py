@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 import oracle  # noqa: E402
 from fixture_sql import BATCH_ID, fixture  # noqa: E402
 from pairlens import ValidationConfig, Validator, tune  # noqa: E402
+from pairlens.config import RULE_COLUMNS  # noqa: E402
 from pairlens.functions import (  # noqa: E402
     agreement_bit,
     code_status,
@@ -266,6 +267,12 @@ def validate_blanks_normalized(spark, sf_dir):
     return Validator(config, BATCH_ID).run(*_inputs(spark, sf_dir))
 
 
+def validate_narrow(spark, sf_dir):
+    """Without rank and scores among the compared columns; the verdicts still read them."""
+    config = DEFAULT.but(columns=tuple(c for c in DEFAULT.columns if c not in RULE_COLUMNS), **SPLITTING)
+    return Validator(config, BATCH_ID).run(*_skewed(spark, sf_dir))
+
+
 def validate_skewed(spark, sf_dir):
     return Validator(DEFAULT.but(**SPLITTING), BATCH_ID).run(*_skewed(spark, sf_dir))
 
@@ -323,6 +330,7 @@ def _validation_queries() -> dict[str, Query]:
         "validate_full_compat": validate_full_compat,
         "validate_candidates": validate_candidates,
         "validate_blanks_normalized": validate_blanks_normalized,
+        "validate_narrow": validate_narrow,
         "validate_skewed": validate_skewed,
         "validate_skewed_compat": validate_skewed_compat,
     }

@@ -57,7 +57,7 @@ def bit(name: str, compat: bool) -> str:
 
 
 def sides(er: str = "er_output", truth: str = "truth", compat: bool = False, exceptions: bool = False,
-          normalize: bool = False) -> str:
+          normalize: bool = False, columns=PAIR_COLUMNS) -> str:
     """CTEs up to ``ers`` (unique ER rows, scored) and ``trs`` (distinct truth rows).
 
     ``er`` and ``truth`` name derived tables or any other relations DuckDB knows.
@@ -77,35 +77,36 @@ def sides(er: str = "er_output", truth: str = "truth", compat: bool = False, exc
         if exceptions
         else STATUS
     )
-    ties = ", ".join(f"{c} NULLS FIRST" for c in PAIR_COLUMNS)
+    ties = ", ".join(f"{c} NULLS FIRST" for c in (*columns, "match_status_er"))
+    md5 = f"md5({text(columns)})"
     derived = [n for n in names if n in CTES]
     return f"""{with_clause(*derived) + "," if derived else "WITH"}
 er_in AS (SELECT {clean()} FROM {er}),
 tr_in AS (SELECT {clean(("human_review",))} FROM {truth}),
-er_ranked AS (SELECT *, {STATUS} AS match_status_er, {MD5} AS h FROM er_in),
+er_ranked AS (SELECT *, {STATUS} AS match_status_er, {md5} AS h FROM er_in),
 er_first AS (SELECT * FROM er_ranked QUALIFY row_number() OVER (PARTITION BY {S}, {T}
   ORDER BY er_rank NULLS LAST, er_score DESC NULLS LAST, h, {ties}) = 1),
-trs AS (SELECT DISTINCT *, {flip} AS match_status_manual, {MD5} AS h FROM tr_in),
+trs AS (SELECT DISTINCT {", ".join(columns)}, human_review, {flip} AS match_status_manual, {md5} AS h FROM tr_in),
 per_pair AS (SELECT {S}, {T}, CASE WHEN bool_or(match_status_manual = 'Matched') THEN 'Matched' ELSE 'NOT Matched' END AS verdict
   FROM trs GROUP BY {S}, {T}),
 ers AS (SELECT e.*, {matrix("e.match_status_er", "p.verdict")} AS error_matrix
   FROM er_first e LEFT JOIN per_pair p ON e.{S} = p.{S} AND e.{T} = p.{T})"""
 
 
-def joined(compat: bool = False, **options) -> str:
+def joined(compat: bool = False, columns=PAIR_COLUMNS, **options) -> str:
     """CTEs up to ``j``: the full outer join with code, flag and status."""
-    e_cols = ", ".join(f"e.{c} AS e_{c}" for c in (*PAIR_COLUMNS, "match_status_er", "error_matrix", "h"))
-    t_cols = ", ".join(f"t.{c} AS t_{c}" for c in (*PAIR_COLUMNS, "human_review", "match_status_manual", "h"))
+    e_cols = ", ".join(f"e.{c} AS e_{c}" for c in (*columns, "match_status_er", "error_matrix", "h"))
+    t_cols = ", ".join(f"t.{c} AS t_{c}" for c in (*columns, "human_review", "match_status_manual", "h"))
     on = (
         "e.kt = t.kt"
         if compat
         else f"e.{S} IS NOT DISTINCT FROM t.{S} AND e.{T} IS NOT DISTINCT FROM t.{T}"
     )
-    code = "||".join(f"({bit(c, compat)})" for c in PAIR_COLUMNS)
-    zeros = "0" * (COMPAT_UNMATCHED_ZEROS if compat else len(PAIR_COLUMNS))
+    code = "||".join(f"({bit(c, compat)})" for c in columns)
+    zeros = "0" * (COMPAT_UNMATCHED_ZEROS if compat else len(columns))
     missing = f"t_{S} IS NOT NULL" if compat else "in_t AND NOT in_e"
     lost = f"in_e AND in_t AND validation_status = 'Mismatch' AND (e_{S} IS NULL OR t_{S} IS NULL)" if compat else "false"
-    return f"""{sides(compat=compat, **options)},
+    return f"""{sides(compat=compat, columns=columns, **options)},
 j0 AS (SELECT {e_cols}, {t_cols}, e.p IS NOT NULL AS in_e, t.p IS NOT NULL AS in_t
   FROM (SELECT *, {KEY} AS kt, 1 AS p FROM ers) e FULL OUTER JOIN (SELECT *, {KEY} AS kt, 1 AS p FROM trs) t ON {on}),
 j1 AS (SELECT *, CASE WHEN e_h = t_h THEN 'Match' ELSE 'Mismatch' END AS validation_status,
@@ -114,19 +115,19 @@ j1 AS (SELECT *, CASE WHEN e_h = t_h THEN 'Match' ELSE 'Mismatch' END AS validat
 j AS (SELECT *, length(mismatches_code) - length(replace(mismatches_code,'0','')) AS zeros FROM j1 WHERE NOT ({lost}))"""
 
 
-def explained(compat: bool = False, labels=None, **options) -> str:
+def explained(compat: bool = False, labels=None, columns=PAIR_COLUMNS, **options) -> str:
     """CTEs up to ``result``: the final columns."""
-    labels = labels or (COMPAT_LABELS if compat else PAIR_COLUMNS)
+    labels = labels or (COMPAT_LABELS if compat else columns)
     named = ", ".join(f"CASE WHEN substr(mismatches_code,{i + 1},1) = '0' THEN '{c}' END" for i, c in enumerate(labels))
-    at = PAIR_COLUMNS.index("target_entity_id") + 1
+    at = columns.index("target_entity_id") + 1
 
     def value(c):
         if c in (S, T) and not compat:
             return f"CASE WHEN in_e THEN e_{c} ELSE t_{c} END AS {c}"
         return f"e_{c} AS {c}"
 
-    return f"""{joined(compat=compat, **options)},
-result AS (SELECT {", ".join(map(value, PAIR_COLUMNS))}, e_match_status_er AS match_status_er,
+    return f"""{joined(compat=compat, columns=columns, **options)},
+result AS (SELECT {", ".join(map(value, columns))}, e_match_status_er AS match_status_er,
   e_error_matrix AS error_matrix, e_h AS src_tgt_md5_hash_column, t_match_status_manual AS match_status_manual,
   t_human_review AS human_review, validation_status, mismatches_code, extra_or_missing_flag,
   concat_ws(',', {named}) AS mismatches_columns,
@@ -154,6 +155,7 @@ PAIR = f"e_{S} AS {S}, e_{T} AS {T}"
 PAIRED = "FROM j WHERE in_e AND in_t"
 CLASS = """CASE WHEN NOT in_t THEN 'extra' WHEN NOT in_e THEN 'missing' WHEN validation_status = 'Match' THEN 'match'
  ELSE 'mismatch' END"""
+NARROW = tuple(c for c in PAIR_COLUMNS if c != "er_rank" and not c.endswith("_score"))
 SKEWED = {"er": "skewed_er", "truth": "skewed_truth"}
 
 
@@ -235,6 +237,7 @@ def statements() -> dict[str, str]:
         "validate_full_compat": f"{explained(compat=True, exceptions=True)} SELECT {FINAL} FROM result",
         "validate_candidates": f"{explained(er='er_candidates')} SELECT {FINAL} FROM result",
         "validate_blanks_normalized": f"{explained(normalize=True)} SELECT {FINAL} FROM result",
+        "validate_narrow": f"{explained(columns=NARROW, **SKEWED)} SELECT * FROM result",
         "validate_skewed": f"{explained(**SKEWED)} SELECT {FINAL} FROM result",
         "validate_skewed_compat": f"{explained(compat=True, labels=PAIR_COLUMNS, **SKEWED)} SELECT {FINAL} FROM result",
     }

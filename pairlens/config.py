@@ -83,6 +83,21 @@ MISMATCH = "Mismatch"
 # ---------------------------------------------------------------------------
 
 
+#: What the verdict rule and the choice among repeated pairs read.
+RULE_COLUMNS = (
+    "er_score",
+    "er_rank",
+    "first_name_score",
+    "last_name_score",
+    "middle_name_score",
+    "city_score",
+    "address_line_score",
+    "state_score",
+    "postal_code_score",
+    "suffix_score",
+)
+
+
 @dataclass(frozen=True)
 class MatchRule:
     """Thresholds of the verdict rule."""
@@ -162,6 +177,11 @@ class ValidationConfig:
     def bit_labels(self) -> tuple[str, ...]:
         return self.columns if self.labels is None else self.labels
 
+    @property
+    def helper_columns(self) -> tuple[str, ...]:
+        """Read from the inputs for the verdicts only: in no fingerprint, bit or result."""
+        return tuple(c for c in RULE_COLUMNS if c not in self.columns)
+
     @property
     def unmatched_zeros(self) -> int:
         return COMPAT_UNMATCHED_ZEROS if self.compat else len(self.columns)

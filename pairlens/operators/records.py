@@ -21,7 +21,7 @@ from ..functions.decode import (
 from ..functions.keys import dashed_text, hashed_columns
 from .columns import ER_SIDE, TRUTH_SIDE
 from .pairing import PAIR_ID, with_pair_id
-from .verdict import FINGERPRINT, ExceptionPairs, truth_verdicts
+from .verdict import FINGERPRINT, ExceptionPairs, shown_columns, truth_verdicts
 
 RECORD_CLASSES = ("match", "mismatch", "extra", "missing")
 
@@ -51,11 +51,15 @@ def truth_rows(truth: DataFrame, config: ValidationConfig, exceptions: Exception
 
     ER rows are unique per pair, so making the truth distinct here gives the
     same rows as making the joined result distinct, over half the columns.
-    Copies are combined on the map side.
+    Copies are combined on the map side. Where the verdict reads columns that are
+    not shown, rows are distinct by what is shown and the verdict.
     """
-    distinct = truth.groupBy(*truth.columns).agg(F.count(F.lit(1)).alias("copies"))
-    scored = truth_verdicts(distinct, config, exceptions)
-    tf = F.struct(*truth.columns, "match_status_manual").alias("tf")
+    shown, copies = shown_columns(truth, config), F.count(F.lit(1)).alias("copies")
+    if config.helper_columns:
+        scored = truth_verdicts(truth, config, exceptions).groupBy(*shown, "match_status_manual").agg(copies)
+    else:
+        scored = truth_verdicts(truth.groupBy(*shown).agg(copies), config, exceptions)
+    tf = F.struct(*shown, "match_status_manual").alias("tf")
     return with_pair_id(scored, config).select(*PAIR_ID, tf, "copies")
 
 
@@ -151,7 +155,7 @@ def result_columns(config: ValidationConfig, batch_id: str) -> list[Column | str
         "error_matrix",
         f"eo.{FINGERPRINT}",
         "tf.match_status_manual",
-        "tf.human_review",
+        *(["tf.human_review"] if "human_review" not in config.columns else []),
         "validation_status",
         "mismatches_code",
         "extra_or_missing_flag",

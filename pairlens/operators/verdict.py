@@ -18,6 +18,10 @@ def er_verdicts(er: DataFrame, config: ValidationConfig) -> DataFrame:
     return er.withColumn("match_status_er", match_status(config.rule))
 
 
+def shown_columns(df: DataFrame, config: ValidationConfig) -> list[str]:
+    return [c for c in df.columns if c not in config.helper_columns]
+
+
 class ExceptionPairs(NamedTuple):
     """Pairs whose truth verdict is flipped: ``PAIR_ID`` and ``_flipped``, unique."""
 
@@ -80,9 +84,9 @@ def unique_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
     has, each task sends on at most one.
     """
     # The fingerprint leads the row, so comparing rows compares it first.
-    row = F.struct(row_fingerprint(config.columns).alias(FINGERPRINT), *er.columns)
-    packed = with_pair_id(er, config).select(*PAIR_ID, row.alias("eo"))
-    rank, score = F.col("eo.er_rank"), F.col("eo.er_score")
+    row = F.struct(row_fingerprint(config.columns).alias(FINGERPRINT), *shown_columns(er, config))
+    packed = with_pair_id(er, config).select(*PAIR_ID, row.alias("eo"), "er_rank", "er_score")
+    rank, score = F.col("er_rank"), F.col("er_score")
     preference = F.struct(
         rank.isNull().alias("unranked"),
         rank.alias("rank"),
@@ -94,8 +98,8 @@ def unique_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
 
 
 def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
-    """One row per pair, in the columns of ``er`` and the fingerprint."""
-    return unique_pairs(er, config).select(*[f"eo.{c}" for c in (*er.columns, FINGERPRINT)])
+    """One row per pair, in the shown columns of ``er`` and the fingerprint; reads ``er_rank`` and ``er_score``."""
+    return unique_pairs(er, config).select(*[f"eo.{c}" for c in (*shown_columns(er, config), FINGERPRINT)])
 
 
 def truth_profile(

@@ -23,6 +23,7 @@ from ..operators.verdict import (
     ExceptionPairs,
     er_verdicts,
     exception_pairs,
+    shown_columns,
     truth_profile,
     unique_pairs,
     with_error_matrix,
@@ -92,7 +93,7 @@ class Validator:
         profile = truth_profile(truth, config, exceptions)
         er = er_verdicts(self.er_input(er_df), config)
         packed = with_pair_id(er, config).select(
-            *PAIR_ID, F.struct(*er.columns).alias("eo"), F.lit(None).cast("string").alias("error_matrix")
+            *PAIR_ID, F.struct(*shown_columns(er, config)).alias("eo"), F.lit(None).cast("string").alias("error_matrix")
         )
         joined = join_sides(packed, truth_rows(truth, config, exceptions), heavy_pairs(profile, config), config, "left")
         repeats = F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)))

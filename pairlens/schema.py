@@ -50,12 +50,12 @@ def _declared(name: str, source: str, have: T.DataType) -> Column:
 
 
 def conform(df: DataFrame, config: ValidationConfig, *extra: str) -> DataFrame:
-    """Project the configured columns (and ``extra``), each in its declared type.
+    """Project the configured columns, ``extra`` and what the verdicts read, each in its declared type.
 
     One fixed type per column keeps the text behind the fingerprints equal on
     both sides. Columns outside the declared schema keep the type they have.
     """
-    wanted = list(dict.fromkeys((*config.columns, *extra)))
+    wanted = list(dict.fromkeys((*config.columns, *extra, *config.helper_columns)))
     source = _spelling(df, wanted)
     have = {f.name: f.dataType for f in df.schema.fields}
     return df.select(*[_declared(c, source[c], have[source[c]]) for c in wanted])

@@ -19,7 +19,7 @@ def read_table(spark: SparkSession, name: str, format: str | None = None, **opti
 
 def er_scan(df: DataFrame, config: ValidationConfig) -> DataFrame:
     """The selected columns of an ER output with ``match_status_er``."""
-    return er_verdicts(conform(df, config), config)
+    return er_verdicts(conform(df, config), config).drop(*config.helper_columns)
 
 
 def truth_scan(

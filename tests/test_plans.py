@@ -7,6 +7,7 @@ import pytest
 
 from frames import COMPAT, er_frame, truth_frame
 from pairlens import ValidationConfig, Validator, tune
+from pairlens.operators.records import flat_records
 from test_random import random_rows
 
 NODE = re.compile(r"^[\s:+\-*|]*(?:\*?\(\d+\) )?(\w+)")
@@ -86,6 +87,30 @@ def test_split_pair_is_spread_over_slots(spark, tables):
     assert sorted((r._splits for r in heavy), reverse=True) == [-(-n // 5) for n in largest]
 
 
+def flat(df):
+    return sorted(str(r.asDict()) for r in df.collect())
+
+
+@pytest.mark.parametrize("config", [ValidationConfig(hot_pair_rows=2), COMPAT.but(labels=ValidationConfig().columns, hot_pair_rows=2)])
+def test_one_join_for_each_class(spark, tables, config):
+    """The classes by their own joins are those of the full outer join."""
+    validator = Validator(config, "b")
+    every = flat_records(validator.records(*tables))
+    for name, kind in {"extra": "LeftAnti", "missing": "LeftAnti", "match": "Inner", "mismatch": "Inner"}.items():
+        found = validator.records_of(name, *tables)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert f"Join {kind}" in plan and "FullOuter" not in plan
+        assert flat(found) == flat(every.where(every.record_class == name).select(*found.columns))
+
+
+def test_plain_verdict_join_keeps_repeated_rows(spark, tables):
+    er, truth = tables
+    keys = ["source_primary_key", "target_primary_key"]
+    for left, right in ((er.union(er), truth), (er, truth.union(truth))):
+        pairs = Validator(ValidationConfig(hot_pair_rows=2)).verdict_pairs(left, right)
+        assert pairs.count() == left.join(right, keys, "left").count()
+
+
 def test_repartitioned_input_changes_nothing(spark, tables):
     er, truth = tables
     config = ValidationConfig(hot_pair_rows=3)
