@@ -103,8 +103,8 @@ def truth_exception_flip(spark, sf_dir):
 
 
 def truth_exception_flip_long(spark, sf_dir):
-    """As many exceptions as pairs: joined by shuffle, the hot pair split."""
-    config = DEFAULT.but(max_broadcast_exceptions=0, **SPLITTING)
+    """As many exceptions as pairs, the hot pair split."""
+    config = DEFAULT.but(**SPLITTING)
     exceptions = fixture(spark, sf_dir, "long_exceptions")
     truth = truth_scan(_skewed(spark, sf_dir)[1], config, exceptions)
     return truth.select(*KEYS, "er_score", "match_status_manual", "human_review")
@@ -254,6 +254,12 @@ def validate_full(spark, sf_dir):
     return Validator(DEFAULT, BATCH_ID, _exceptions(spark, sf_dir)).run(*_inputs(spark, sf_dir))
 
 
+def validate_tables(spark, sf_dir):
+    """The run by table names, here those of two views."""
+    register_views(*_inputs(spark, sf_dir))
+    return Validator(DEFAULT, BATCH_ID).run_tables(spark, "source_data_view", "target_data_view")
+
+
 def validate_full_compat(spark, sf_dir):
     return Validator(COMPAT, BATCH_ID, _exceptions(spark, sf_dir)).run(*_inputs(spark, sf_dir))
 
@@ -327,6 +333,7 @@ def _validation_queries() -> dict[str, Query]:
         "report_view": report_view,
         "run_counts": run_counts,
         "validate_full": validate_full,
+        "validate_tables": validate_tables,
         "validate_full_compat": validate_full_compat,
         "validate_candidates": validate_candidates,
         "validate_blanks_normalized": validate_blanks_normalized,

@@ -234,6 +234,7 @@ def statements() -> dict[str, str]:
         "run_counts": f"{joined(**SKEWED)}, copied AS (SELECT {cols}, human_review, count(*) AS n FROM tr_in GROUP BY ALL), "
         f"weighed AS (SELECT {CLASS} AS class, coalesce(w.n, 1) AS copies FROM j LEFT JOIN copied w ON j.in_t AND {weigh_on}) {counts}",
         "validate_full": f"{explained(exceptions=True)} SELECT {FINAL} FROM result",
+        "validate_tables": f"{explained()} SELECT {FINAL} FROM result",
         "validate_full_compat": f"{explained(compat=True, exceptions=True)} SELECT {FINAL} FROM result",
         "validate_candidates": f"{explained(er='er_candidates')} SELECT {FINAL} FROM result",
         "validate_blanks_normalized": f"{explained(normalize=True)} SELECT {FINAL} FROM result",

@@ -121,9 +121,8 @@ class ValidationConfig:
 
     ``compat`` reproduces the original tool's quirks; see README, "Two modes".
     ``hot_pair_rows`` is how many truth rows of one pair a single join task
-    should handle; pairs with more are split. ``max_hot_pairs`` bounds the list
-    of split pairs, which is broadcast. Exception pairs are broadcast up to
-    ``max_broadcast_exceptions`` and joined by shuffle beyond.
+    should handle; all pairs with more are split. Their list is broadcast and has
+    less than one entry in ``hot_pair_rows`` truth rows: keep it large on large tables.
     """
 
     columns: tuple[str, ...] = PAIR_COLUMNS
@@ -138,8 +137,6 @@ class ValidationConfig:
     normalize_blanks: bool = False
     with_code_status: bool = False
     hot_pair_rows: int = 1_000_000
-    max_hot_pairs: int = 50_000
-    max_broadcast_exceptions: int = 100_000
 
     def __post_init__(self) -> None:
         if len(self.key_columns) != 2:
@@ -153,8 +150,8 @@ class ValidationConfig:
             raise ValueError(f"not among the selected columns: {missing}")
         if len(set(self.columns)) != len(self.columns):
             raise ValueError("selected columns repeat")
-        if self.hot_pair_rows < 1 or self.max_hot_pairs < 1:
-            raise ValueError("hot_pair_rows and max_hot_pairs must be positive")
+        if self.hot_pair_rows < 1:
+            raise ValueError("hot_pair_rows must be positive")
 
     @classmethod
     def compatible(cls, **changes) -> ValidationConfig:

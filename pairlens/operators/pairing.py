@@ -49,21 +49,18 @@ def pairing_id(config: ValidationConfig) -> dict[str, Column]:
 def heavy_pairs(profile: DataFrame, config: ValidationConfig) -> DataFrame:
     """The pairs to split and into how many slots, from a truth profile.
 
-    At most ``max_hot_pairs`` rows, the largest pairs first, so it is safe to
-    broadcast. Pairs that miss the list are joined whole: each of them holds
-    less than one part in ``max_hot_pairs`` of the truth.
+    Every pair above ``hot_pair_rows`` is listed. Each entry stands for more than
+    that many truth rows, so a list has less than one entry in ``hot_pair_rows``
+    rows: a few megabytes for a million million rows at the default, which is what
+    makes it safe to broadcast.
     """
     ids = pairing_id(config)
     rows = F.col("_yes_rows") + F.col("_no_rows")
     load = profile.select(*[e.alias(n) for n, e in ids.items()], rows.alias("_rows"))
     if config.compat:
         load = load.groupBy(*ids).agg(F.sum("_rows").alias("_rows"))
-    return (
-        load.where(F.col("_rows") > config.hot_pair_rows)
-        .orderBy(F.desc("_rows"), *ids)
-        .limit(config.max_hot_pairs)
-        .select(*ids, F.ceil(F.col("_rows") / config.hot_pair_rows).cast("int").alias("_splits"))
-    )
+    splits = F.ceil(F.col("_rows") / config.hot_pair_rows).cast("int").alias("_splits")
+    return load.where(F.col("_rows") > config.hot_pair_rows).select(*ids, splits)
 
 
 def spread_over_slots(unique: DataFrame, heavy: DataFrame, ids: Iterable[str]) -> DataFrame:

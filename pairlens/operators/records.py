@@ -21,7 +21,7 @@ from ..functions.decode import (
 from ..functions.keys import dashed_text, hashed_columns
 from .columns import ER_SIDE, TRUTH_SIDE
 from .pairing import PAIR_ID, with_pair_id
-from .verdict import FINGERPRINT, ExceptionPairs, shown_columns, truth_verdicts
+from .verdict import FINGERPRINT, shown_columns, truth_verdicts
 
 RECORD_CLASSES = ("match", "mismatch", "extra", "missing")
 
@@ -46,7 +46,7 @@ def _in_both() -> Column:
     return _in_er() & _in_truth()
 
 
-def truth_rows(truth: DataFrame, config: ValidationConfig, exceptions: ExceptionPairs | None) -> DataFrame:
+def truth_rows(truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None) -> DataFrame:
     """``PAIR_ID``, ``tf`` and ``copies``: distinct truth rows, how often each occurs.
 
     ER rows are unique per pair, so making the truth distinct here gives the

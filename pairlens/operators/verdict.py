@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import MATCHED, NOT_MATCHED, ValidationConfig
@@ -22,55 +20,35 @@ def shown_columns(df: DataFrame, config: ValidationConfig) -> list[str]:
     return [c for c in df.columns if c not in config.helper_columns]
 
 
-class ExceptionPairs(NamedTuple):
-    """Pairs whose truth verdict is flipped: ``PAIR_ID`` and ``_flipped``, unique."""
-
-    pairs: DataFrame
-    short: bool
-
-    def joinable(self) -> DataFrame:
-        return F.broadcast(self.pairs) if self.short else self.pairs
-
-
-def exception_pairs(
-    like: DataFrame, config: ValidationConfig, given: DataFrame | None = None
-) -> ExceptionPairs | None:
+def exception_pairs(like: DataFrame, config: ValidationConfig, given: DataFrame | None = None) -> DataFrame | None:
     """The ``given`` exception pairs, else the configured ones, else None.
 
-    Only a list of proven length is broadcast. Counting a DataFrame reads at
-    most ``max_broadcast_exceptions + 1`` of its rows.
+    Pairs whose truth verdict is flipped: ``PAIR_ID`` and ``_flipped``, unique. Nothing is
+    hinted: Spark broadcasts the list if its size, known or measured, allows.
     """
-    bound = config.max_broadcast_exceptions
-    if given is not None:
-        length = given.limit(bound + 1).count()
-    elif config.exceptions:
+    if given is None:
+        if not config.exceptions:
+            return None
         names = ", ".join(f"{c} string" for c in config.key_columns)
         given = like.sparkSession.createDataFrame(list(config.exceptions), names)
-        length = len(config.exceptions)
-    else:
-        return None
     keyed = given.select(*[F.col(c).cast("string").alias(c) for c in config.key_columns]).dropna().distinct()
-    pairs = with_pair_id(keyed, config).select(*PAIR_ID, F.lit(True).alias("_flipped"))
-    return ExceptionPairs(pairs, length <= bound)
+    return with_pair_id(keyed, config).select(*PAIR_ID, F.lit(True).alias("_flipped"))
 
 
 def truth_verdicts(
-    truth: DataFrame, config: ValidationConfig, exceptions: ExceptionPairs | None = None
+    truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None
 ) -> DataFrame:
     """Add ``match_status_manual``, flipped for the exception pairs.
 
-    A list too long to broadcast is joined by shuffle, hot pairs split.
+    Exceptions are unique, so the join adds no rows. Where it shuffles, hot pairs are
+    split as everywhere.
     """
     if exceptions is None:
         return truth.withColumn("match_status_manual", match_status(config.rule))
-    keyed = with_pair_id(truth, config)
-    if exceptions.short:
-        joined = keyed.join(exceptions.joinable(), PAIR_ID, "left")
-    else:
-        by_pair = config.but(compat=False)
-        heavy = heavy_pairs(truth_profile(truth, by_pair), by_pair)
-        rows = with_row_slot(keyed, heavy, PAIR_ID, truth.columns)
-        joined = rows.join(spread_over_slots(exceptions.pairs, heavy, PAIR_ID), [*PAIR_ID, "_slot"], "left")
+    by_pair = config.but(compat=False)
+    heavy = heavy_pairs(truth_profile(truth, by_pair), by_pair)
+    rows = with_row_slot(with_pair_id(truth, config), heavy, PAIR_ID, truth.columns)
+    joined = rows.join(spread_over_slots(exceptions, heavy, PAIR_ID), [*PAIR_ID, "_slot"], "left")
     status = match_status(config.rule, F.col("_flipped")).alias("match_status_manual")
     return joined.select(*truth.columns, status)
 
@@ -103,7 +81,7 @@ def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
 
 
 def truth_profile(
-    truth: DataFrame, config: ValidationConfig, exceptions: ExceptionPairs | None = None
+    truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None
 ) -> DataFrame:
     """Per pair: how many truth rows say Matched, and how many do not?
 
@@ -121,7 +99,7 @@ def truth_profile(
     if exceptions is None:
         return profile
     flipped = F.col("_flipped").isNotNull()
-    return profile.join(exceptions.joinable(), PAIR_ID, "left").select(
+    return profile.join(exceptions, PAIR_ID, "left").select(
         *PAIR_ID,
         F.when(flipped, no).otherwise(yes).alias("_yes_rows"),
         F.when(flipped, yes).otherwise(no).alias("_no_rows"),

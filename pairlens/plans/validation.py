@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import ValidationConfig
 from ..functions.rules import error_matrix
 from ..operators.columns import fill_blanks
+from ..operators.counts import pair_counts
 from ..operators.pairing import PAIR_ID, heavy_pairs, join_sides, with_pair_id, without_counterpart
 from ..operators.records import (
     RECORD_CLASSES,
@@ -20,7 +21,6 @@ from ..operators.records import (
     with_explanations,
 )
 from ..operators.verdict import (
-    ExceptionPairs,
     er_verdicts,
     exception_pairs,
     shown_columns,
@@ -40,8 +40,7 @@ def new_batch_id() -> str:
 class Validator:
     """Compares an ER output with a truth table.
 
-    Nothing here runs a job except ``save`` (and the bounded length check of a
-    list of exception pairs). ``exceptions`` may be a DataFrame holding the two
+    Nothing here runs a job except ``save``. ``exceptions`` may be a DataFrame holding the two
     key columns; it replaces the pairs of the configuration.
     """
 
@@ -65,7 +64,7 @@ class Validator:
     def _cleaned(self, df: DataFrame) -> DataFrame:
         return fill_blanks(df) if self.config.normalize_blanks else df
 
-    def _exception_pairs(self, truth: DataFrame) -> ExceptionPairs | None:
+    def _exception_pairs(self, truth: DataFrame) -> DataFrame | None:
         return exception_pairs(truth, self.config, self._exceptions)
 
     # -- stages -----------------------------------------------------------
@@ -168,24 +167,13 @@ class Validator:
     def counts(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Rows (metric, rows): source, target, match, mismatch, extra, missing.
 
-        Class counts include repeated truth rows, as joining the raw truth would.
+        Class counts include repeated truth rows, as joining the raw truth would. No
+        records are built: ER pairs meet the row counts of their pair, then the truth
+        rows of equal fingerprint, both combined on the map side.
         """
-        repeats = F.coalesce(F.col("copies"), F.lit(1))
-        rows = F.count(F.lit(1)).alias("rows")
-
-        source = with_pair_id(self.er_input(er_df), self.config).select(*PAIR_ID).distinct()
-        by_class = self.records(er_df, truth_df).agg(
-            *[
-                F.coalesce(F.sum(F.when(F.col("record_class") == c, repeats)), F.lit(0)).alias(c)
-                for c in RECORD_CLASSES
-            ]
-        )
-        return (
-            source.agg(rows)
-            .select(F.lit("source").alias("metric"), "rows")
-            .unionByName(self.truth_input(truth_df).agg(rows).select(F.lit("target").alias("metric"), "rows"))
-            .unionByName(by_class.unpivot([], list(RECORD_CLASSES), "metric", "rows"))
-        )
+        counted = pair_counts(self.er_input(er_df), self.truth_input(truth_df), self.config)
+        names = ["source", "target", *RECORD_CLASSES]
+        return counted.select(*names).unpivot([], names, "metric", "rows")
 
 
 def validate(

@@ -39,6 +39,6 @@ def fingerprinted_table(spark: SparkSession, name: str, key_columns: list[str])
 def register_views(
     er: DataFrame, truth: DataFrame, er_view: str = "source_data_view", truth_view: str = "target_data_view"
 ) -> None:
-    """Offer both scored sides to SQL users under session view names."""
+    """Offer the two tables to SQL users, as they are given, under session view names."""
     er.createOrReplaceTempView(er_view)
     truth.createOrReplaceTempView(truth_view)

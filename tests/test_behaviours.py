@@ -194,8 +194,7 @@ def test_exception_frame_replaces_the_configured_pairs(spark):
     frame = spark.createDataFrame([("s1", "t1")] * 3, "source_primary_key string, target_primary_key string")
     config = DEFAULT.but(exceptions=(("s9", "t9"),))
     assert one(spark, [row()], [row()], config, exceptions=frame)["error_matrix"] == "FP"
-    # The same pairs beyond the broadcast bound go through a shuffled join, split or not.
-    config = config.but(max_broadcast_exceptions=0)
+    # With the hot pair split or not.
     truth = [row(human_review=str(i)) for i in range(9)] + [row(source_primary_key="s2")]
     for rows in (1, 2, 100):
         result = run(spark, [row()], truth, config.but(hot_pair_rows=rows), exceptions=frame)
