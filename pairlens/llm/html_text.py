@@ -3,10 +3,12 @@
 The pages of one host are merged: nodes at the same place, that is with the same
 path of tags, classes and ids, are one node of the site's tree. A node's
 importance is ``CONTENT_WEIGHT`` parts entropy of its content and the rest entropy of its
-presentation (the sequence of child tags), both over the pages of the host and in
+presentation (the sequence of child tags), both over the distinct pages of the host and in
 units of the logarithm of their number: 0 if all pages show the same there, 1 if
-each shows something else. Branches below ``min_importance`` that ``min_pages``
-pages have are cut out of each page. Elements that say what they are
+each shows something else. Pages with the same texts at the same places are one distinct page. A
+branch below ``min_importance`` that ``min_pages`` distinct pages have is cut out of the pages whose look there
+(presentation and content) is that of ``min_pages`` distinct pages; a page that shows something else there keeps
+it, and a page of which nothing would stay is left uncut. Elements that say what they are
 (navigation, footers, forms, advertisements, reader comments and so on, by tag,
 class, id or role) are cut without statistics. What stays is the article element, else the
 main element, else the body. Only containers and elements with a class or id are
@@ -19,8 +21,8 @@ joined without hint.
 Blocks are decoded, blanks inside are one space, and blocks are joined by an empty
 line in page order. Defined cases: null or empty html gives an empty text; a null url
 is a host of its own; broken markup is read as far as it goes (unclosed elements end
-with their parent, stray end tags are ignored); a page whose whole body is a form
-is read without cutting forms. Repeated rows come out repeated; extra columns are
+with their parent, stray end tags are ignored); a page with no text outside forms
+is read, counted and judged without cutting forms. Repeated rows come out repeated; extra columns are
 not read. An empty table gives an empty result.
 """
 
@@ -29,7 +31,8 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -65,30 +68,42 @@ _JUDGED = frozenset("div section ul ol dl table tbody tr td fieldset figure deta
 CONTENT_WEIGHT = 0.9
 
 
+def _joined(pieces: Iterable[str]) -> str:
+    return " ".join("".join(pieces).split())
+
+
+def _digest(parts: Iterable[str]) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
+
+
+class Element(NamedTuple):
+    above: tuple[int, ...]  # judged places around it
+    judged: tuple[int, ...]  # the same and its own, if it may be judged
+    look: str
+    article: bool
+    main: bool
+
+
 class Page:
-    """One page read once. ``blocks``: (text, in article, in main); ``nodes``: place -> [child tags, text] of what may be judged."""
-
-    def __init__(self, source: str, cut: frozenset[int] = frozenset(), nodes: bool = False, forms: bool = False):
-        self.blocks: list[tuple[str, bool, bool]] = []
-        self.nodes: dict[int, list[list[str]]] = defaultdict(lambda: [[], []])
-        self.has_article = self.has_main = False
-        self._cut, self._want, self._forms = cut, nodes, forms
-        self._stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = []  # tag, place, cut, article, main, judged places
-        self._text: list[str] = []
+    """One page read once. ``elements`` that are not cut, and ``blocks``: (pieces of text with their element, in article, in main)."""
+
+    def __init__(self, source: str, forms: bool = False):
+        self.elements = [Element((), (), "", False, False)]
+        self.blocks: list[tuple[list[tuple[int, str]], bool, bool]] = []
+        self._forms = forms
+        self._stack: list[tuple[str, int, int, bool]] = []  # tag, element, place, cut
+        self._text: list[tuple[int, str]] = []
         self._read(source)
 
-    def _top(self) -> tuple:
-        return self._stack[-1] if self._stack else ("", 0, False, False, False, ())
+    def _top(self) -> tuple[str, int, int, bool]:
+        return self._stack[-1] if self._stack else ("", 0, 0, False)
 
     def _flush(self) -> None:
         if self._text:
-            block = " ".join("".join(self._text).split())
-            self._text = []
-            if block:
-                _, _, _, article, main, judged = self._top()
-                self.blocks.append((block, article, main))
-                for place in judged:
-                    self.nodes[place][1].append(block)
+            pieces, self._text = self._text, []
+            if not all(piece.isspace() for _, piece in pieces):
+                element = self.elements[self._top()[1]]
+                self.blocks.append((pieces, element.article, element.main))
 
     def _read(self, source: str) -> None:
         at = 0
@@ -112,13 +127,14 @@ class Page:
         self._flush()
 
     def _add(self, text: str) -> None:
-        if text and not self._top()[2]:
-            self._text.append(html.unescape(text))
+        _, element, _, cut = self._top()
+        if text and not cut:
+            self._text.append((element, html.unescape(text)))
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in ("br", "wbr"):
-            if tag == "br" and not self._top()[2]:
-                self._text.append(" ")
+            if tag == "br":
+                self._add(" ")
             return
         if tag in _BLOCK:
             self._flush()
@@ -129,7 +145,8 @@ class Page:
             self._end_open({"nav"})
         if tag in _VOID:
             return
-        _, place, cut, article, main, judged = self._top()
+        _, element, place, cut = self._top()
+        _, judged, _, article, main = self.elements[element]
         names = {}
         if attributes:
             names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMED.finditer(attributes)}
@@ -142,17 +159,16 @@ class Page:
         look = " ".join(_PART.findall(f"{tag} {names.get('class', '')} {names.get('id', '')}"))
         place = xxhash.xxh64_intdigest(look, seed=place & 0xFFFFFFFFFFFFFFFF) >> 1
         if not cut:
-            for above in judged:
-                self.nodes[above][0].append(look)
-            if self._want and tag not in _NEVER_BY_NAME and (tag in _JUDGED or "class" in names or "id" in names):
+            above = judged
+            if tag not in _NEVER_BY_NAME and (tag in _JUDGED or "class" in names or "id" in names):
                 judged = (*judged, place)
-                self.nodes[place]
-            cut = place in self._cut
             if tag == "article" or names.get("itemprop") == "articlebody":
-                self.has_article = article = True
+                article = True
             elif tag == "main" or names.get("role") == "main":
-                self.has_main = main = True
-        self._stack.append((tag, place, cut, article, main, judged))
+                main = True
+            element = len(self.elements)
+            self.elements.append(Element(above, judged, look, article, main))
+        self._stack.append((tag, element, place, cut))
 
     def _end_p(self) -> None:
         for i in range(len(self._stack) - 1, -1, -1):
@@ -180,19 +196,56 @@ class Page:
             if tag not in _BLOCK and self._stack[i][0] in _BLOCK:
                 return  # a stray inline end tag does not end blocks
 
-    def text(self) -> str:
-        if self.has_article and any(a for _, a, _ in self.blocks):
-            kept = [b for b, a, _ in self.blocks if a]
-        elif self.has_main and any(m for _, _, m in self.blocks):
-            kept = [b for b, _, m in self.blocks if m]
-        else:
-            kept = [b for b, _, _ in self.blocks]
-        return "\n\n".join(kept)
+    def looks(self) -> dict[int, tuple[int, int]]:
+        """place -> hashes of its presentation and content on this page, for what may be judged."""
+        nodes: dict[int, tuple[list[str], list[str]]] = {p: ([], []) for e in self.elements for p in e.judged}
+        for element in self.elements[1:]:
+            for place in element.above:
+                nodes[place][0].append(element.look)
+        for pieces, _, _ in self.blocks:
+            held: dict[tuple[int, ...], list[str]] = defaultdict(list)  # an inline element has its own pieces only
+            for at, piece in pieces:
+                held[self.elements[at].judged].append(piece)
+            whole = _joined(piece for _, piece in pieces)
+            for place in dict.fromkeys(p for judged in held for p in judged):
+                own = whole if all(place in judged for judged in held) else _joined(x for at, x in pieces if place in self.elements[at].judged)
+                if own:
+                    nodes[place][1].append(own)
+        return {place: (_digest(tags), _digest(texts)) for place, (tags, texts) in nodes.items()}
+
+    def digest(self, looks: dict[int, tuple[int, int]]) -> int:
+        """The same for pages that show the same texts at the same places."""
+        return _digest([*(_joined(piece for _, piece in pieces) for pieces, _, _ in self.blocks), repr(sorted(looks.items()))])
+
+    def text(self, cut: set[int] | frozenset[int] = frozenset()) -> str:
+        """The main text without the places of ``cut``."""
+        kept = []
+        for pieces, article, main in self.blocks:
+            block = _joined(piece for at, piece in pieces if not cut or cut.isdisjoint(self.elements[at].judged))
+            if block:
+                kept.append((block, article, main))
+        if any(a for _, a, _ in kept):
+            kept = [x for x in kept if x[1]]
+        elif any(m for _, _, m in kept):
+            kept = [x for x in kept if x[2]]
+        return "\n\n".join(block for block, _, _ in kept)
+
+
+def _page(source: str) -> Page:
+    page = Page(source)
+    return page if page.blocks or "<form" not in source.lower() else Page(source, forms=True)
+
 
+def main_text(source: str, repeated: frozenset[int] = frozenset()) -> str:
+    """The main text without the looks of ``repeated``; with them if nothing else is left."""
+    page = _page(source)
+    cut = {place for place, look in page.looks().items() if _key(place, *look) in repeated} if repeated else set()
+    return page.text(cut) or page.text()
 
-def main_text(source: str, cut: frozenset[int] = frozenset()) -> str:
-    found = Page(source, cut).text()
-    return found if found or "<form" not in source.lower() else Page(source, cut, forms=True).text()
+
+def _key(place, style, content):
+    """One number for a look: place, presentation and content."""
+    return place ^ style ^ (content >> 1)
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
@@ -206,18 +259,17 @@ def _with_host(pages: DataFrame) -> DataFrame:
 
 
 def _looks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Places of each page that may be judged, with hashes of their presentation and content."""
+    """Places of each page that may be judged, with hashes of the page and of their presentation and content."""
     for frame in batches:
         out: dict[tuple, int] = defaultdict(int)
         for host, source in zip(frame.host, frame.html):
-            for place, (tags, texts) in Page(source, nodes=True).nodes.items():
-                digest = lambda parts: xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
-                out[host, place, digest(tags), digest(texts)] += 1
+            page = _page(source)
+            looks = page.looks()
+            digest = page.digest(looks)
+            for place, (style, content) in looks.items():
+                out[host, digest, place, style, content] += 1
         if out:
-            keys = list(out)
-            yield pd.DataFrame(
-                {"host": [k[0] for k in keys], "place": [k[1] for k in keys], "style": [k[2] for k in keys], "content": [k[3] for k in keys], "n": list(out.values())}
-            )
+            yield pd.DataFrame([(*key, n) for key, n in out.items()], columns=["host", "page", "place", "style", "content", "n"])
 
 
 def _entropy(looks: DataFrame, what: str) -> DataFrame:
@@ -228,21 +280,40 @@ def _entropy(looks: DataFrame, what: str) -> DataFrame:
     return sums.select("host", "place", "pages", share.alias(what))
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """host, place, pages, importance of every node of the site style trees that may be judged."""
+def _page_looks(pages: DataFrame) -> DataFrame:
     rows = _with_host(pages).select("host", "html")
-    looks = rows.mapInPandas(_looks, "host string, place long, style long, content long, n long")
-    looks = looks.groupBy("host", "place", "style", "content").agg(F.sum("n").alias("n"))
-    both = _entropy(looks, "style").join(_entropy(looks, "content").drop("pages"), ["host", "place"])
+    return rows.mapInPandas(_looks, "host string, page long, place long, style long, content long, n long")
+
+
+def _look_counts(looks: DataFrame) -> DataFrame:
+    return looks.groupBy("host", "place", "style", "content").agg(F.sum("n").alias("n"))
+
+
+def _importance(counts: DataFrame) -> DataFrame:
+    both = _entropy(counts, "style").join(_entropy(counts, "content").drop("pages"), ["host", "place"])
     weighed = CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("style")
     return both.select("host", "place", "pages", weighed.alias("importance"))
 
 
+def importance(pages: DataFrame) -> DataFrame:
+    """host, place, pages, importance of every node of the site style trees that may be judged. Every row of ``pages`` counts."""
+    return _importance(_look_counts(_page_looks(pages)))
+
+
+def repeated_looks(pages: DataFrame, min_importance: float = 0.1, min_pages: int = 8) -> DataFrame:
+    """host, look: what ``extract`` cuts where a page shows it, from the distinct pages of each host."""
+    distinct = _page_looks(pages).groupBy("host", "page", "place", "style", "content").agg(F.lit(1).alias("n"))
+    counts = _look_counts(distinct)
+    low = _importance(counts).where((F.col("importance") < min_importance) & (F.col("pages") >= min_pages))
+    shown = counts.where(F.col("n") >= min_pages).join(low.select("host", "place"), ["host", "place"])
+    look = F.col("place").bitwiseXOR(F.col("style")).bitwiseXOR(F.shiftright("content", 1))
+    return shown.select("host", look.alias("look"))
+
+
 def extract(pages: DataFrame, min_importance: float = 0.1, min_pages: int = 8) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points)."""
-    low = importance(pages).where((F.col("importance") < min_importance) & (F.col("pages") >= min_pages))
-    # A host's list is bounded by its distinct places that min_pages pages share.
-    lists = low.groupBy("host").agg(F.collect_list("place").alias("cut"))
+    # A host's list is bounded by its distinct looks that min_pages pages share.
+    lists = repeated_looks(pages, min_importance, min_pages).groupBy("host").agg(F.collect_list("look").alias("cut"))
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -78,3 +78,45 @@ def test_nulls_repeats_long_pages_and_empty_table(spark):
     got = sorted((r.page_id or 0, r.text[:5], r.n_chars) for r in extract(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, "", 0), (1, "x", 1), (1, "x", 1), (2, "w w w", 599_999)]
     assert extract(spark.createDataFrame([], schema)).collect() == []
+
+
+def texts_of(spark, pages, host="h"):
+    rows = [(i, f"http://{host}/{i}", page) for i, page in enumerate(pages)]
+    return [r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+STORY = "<div class=x><p>{0}</p></div><div class=story><p>story {0}</p></div>"
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    copy = STORY.format("same")
+    assert texts_of(spark, [copy] * 12) == ["same\n\nstory same"] * 12
+    assert texts_of(spark, [copy] * 60 + [STORY.format(i) for i in range(3)])[60:] == [f"{i}\n\nstory {i}" for i in range(3)]
+    # Copies do not keep a repeated branch either, and they lose it with the rest.
+    pages = [STORY.replace("{0}", "notice", 1).format(i) for i in range(12)]
+    assert texts_of(spark, pages + pages[:1] * 30) == [f"story {i}" for i in [*range(12), *[0] * 30]]
+
+
+def test_only_the_repeated_look_is_cut(spark):
+    body = "<div class=note>{}</div><div class=story><p>story {}</p></div>"
+    notes = ["<p>the notice</p>"] * 97 + ["<p>real words</p>", "<p>other words</p>", ""]
+    got = texts_of(spark, [body.format(note, i) for i, note in enumerate(notes)])
+    assert got[0] == "story 0" and got[97:] == ["real words\n\nstory 97", "other words\n\nstory 98", "story 99"]
+    notes = [""] * 97 + ["<p>real words</p>"] * 3
+    got = texts_of(spark, [body.format(note, i) for i, note in enumerate(notes)])
+    assert got[0] == "story 0" and got[97:] == [f"real words\n\nstory {i}" for i in range(97, 100)]
+
+
+def test_inline_elements_are_judged_by_their_own_words(spark):
+    body = "<p>by <span class=who>author {0}</span> <span class=tag>read more</span> today {0}</p>"
+    assert texts_of(spark, [body.format(i) for i in range(12)]) == [f"by author {i} today {i}" for i in range(12)]
+
+
+def test_a_page_of_repeated_looks_alone_stays(spark):
+    pages = [*(STORY.replace("{0}", "notice", 1).format(i) for i in range(30)), "<div class=x><p>notice</p></div>"]
+    assert texts_of(spark, pages) == [*(f"story {i}" for i in range(30)), "notice"]
+
+
+def test_pages_inside_forms_are_judged_alike(spark):
+    pages = [f"<div class=wrap><form><div class=x>notice</div><p>words {i}</p></form></div>" for i in range(12)]
+    assert texts_of(spark, pages) == [f"words {i}" for i in range(12)]
