@@ -5,13 +5,16 @@ text. Fingerprints have 128 bits over weighted 5-word shingles; an index
 over 16 blocks of 8 bits finds every fingerprint within ``radius`` bits, since
 one block must then differ in at most radius // 16 bits. Each candidate is
 verified by the weighted Jaccard similarity of the shingles, with weight
-1 + ln(items / items that have the shingle), as if one item had a shingle that
+1 + ln(items / items that have the shingle) over the whole benchmark, as if one item had a shingle that
 none has. Only windows that share a shingle with an item of their length are
 fingerprinted: without a common shingle the similarity is 0.
 
 The benchmark is read in blocks of at most ``block_items`` items, each block an index of
 bounded size that goes to all tasks; documents are scanned once per block,
-without any shuffle. Every window of every whole text is covered.
+without any shuffle. Every window of every whole text is covered. Items that have a shingle
+are counted over the whole benchmark first, in one aggregate. A shingle of one item weighs as
+much as one of none, so a window's weights need the shingles of two or more items only: that list goes
+to all tasks beside the block, 16 bytes a shingle, and a pair's similarity does not depend on its block.
 
 Defined cases: null or empty texts and items match nothing; items of fewer than
 five words are one shingle; null doc_ids stay null; items with equal text and items
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .rows import whole_text
-from .shingles import Words, mix, ngrams, slices, words
+from .shingles import Words, mix, ngrams, shingle_list, slices, words
 
 BITS, BLOCKS = 128, 16
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -46,22 +49,44 @@ def signs(shingles: np.ndarray) -> np.ndarray:
     return bits.astype(np.float64) * 2 - 1
 
 
+class Weights:
+    """Weights of shingles by the items of a whole benchmark that have them; ``shingles`` are those of two or more items."""
+
+    def __init__(self, items: int, shingles: np.ndarray, counts: np.ndarray):
+        order = np.argsort(shingles)
+        self.rarest = 1 + math.log(max(1, items))
+        self.shingles = shingles[order]
+        self.weights = 1 + np.log(items / counts[order])
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(shingles), self.rarest)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, self.weights[at], self.rarest)
+
+    def by_shingle(self, counts: Counter) -> dict[int, float]:
+        return dict(zip(counts, self.of(np.array(list(counts), np.uint64)).tolist()))
+
+
+def item_shingles(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
+    """Shingles of each text, with repeats; of an item of fewer than n words one, of none nothing."""
+    hashed = words(texts)
+    return [shingle_list(hashed.of(i), n) for i in range(len(texts))]
+
+
 class Index:
     """One block of items: [(item_id, text)]."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], radius: int, threshold: float, n: int = 5):
-        self.radius, self.threshold, self.n = radius, threshold, n
+    def __init__(self, items: list[tuple[int | None, str | None]], weights: Weights, radius: int, threshold: float, n: int = 5):
+        self.weights, self.radius, self.threshold, self.n = weights, radius, threshold, n
         hashed = words(pa.array([t or "" for _, t in items], pa.large_string()))
         lists = [hashed.of(i) for i in range(len(items))]
         self.ids = [i for (i, _), w in zip(items, lists) if len(w)]
         lists = [w for w in lists if len(w)]
         self.lengths = np.array([len(w) for w in lists], int)
-        shingled = [ngrams(w, min(n, len(w))) for w in lists]
-        frequency = Counter(x for s in shingled for x in set(s.tolist()))
-        self.rarest = 1 + math.log(max(1, len(lists)))
-        self.weight = {x: 1 + math.log(len(lists) / f) for x, f in frequency.items()}
+        shingled = [shingle_list(w, n) for w in lists]
         self.counts = [Counter(s.tolist()) for s in shingled]
-        self.totals = [sum(self.weight[x] * c for x, c in counts.items()) for counts in self.counts]
+        self.totals = [sum(w * counts[x] for x, w in weights.by_shingle(counts).items()) for counts in self.counts]
         prints = [self.fingerprints(s, len(s)) for s in shingled]
         self.prints = np.concatenate(prints) if prints else np.zeros((0, 16), np.uint8)
         # Shingles of items, by how many words they have and by the length of the item.
@@ -74,6 +99,9 @@ class Index:
         self.members = {m: np.flatnonzero(self.lengths == m) for m in set(self.lengths.tolist())}
         self.near = {m: self._near(self.prints[at]) for m, at in self.members.items()}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"weights": None}  # one broadcast for all blocks
+
     @staticmethod
     def _filter(own: np.ndarray) -> np.ndarray:
         table = np.zeros(1 << 20, bool)
@@ -85,20 +113,19 @@ class Index:
         distance = _POPCOUNT[np.arange(256, dtype=np.uint8)[None, :, None] ^ prints.T[:, None, :]]
         return distance <= self.radius // BLOCKS
 
-    def _weights(self, shingles: np.ndarray) -> np.ndarray:
-        return np.array([self.weight.get(x, self.rarest) for x in shingles.tolist()])
-
     def fingerprints(self, shingles: np.ndarray, width: int) -> np.ndarray:
         """SimHash of each ``width`` consecutive shingles, as 16 bytes."""
         sums = np.zeros((len(shingles) + 1, BITS))
-        np.cumsum(signs(shingles) * self._weights(shingles)[:, None], axis=0, out=sums[1:])
+        weights = np.rint(self.weights.of(shingles) * 2**20)  # whole numbers: sums are exact, wherever a run begins
+        np.cumsum(signs(shingles) * weights[:, None], axis=0, out=sums[1:])
         return np.packbits(sums[width:] - sums[:-width] > 0, axis=1)
 
     def similarity(self, shingles: np.ndarray, item: int) -> float:
         """Weighted Jaccard of a window's shingles and an item's."""
         window = Counter(shingles.tolist())
-        common = sum(self.weight[x] * min(c, self.counts[item].get(x, 0)) for x, c in window.items() if x in self.counts[item])
-        total = sum(self.weight.get(x, self.rarest) * c for x, c in window.items())
+        weight = self.weights.by_shingle(window)
+        common = sum(weight[x] * min(c, self.counts[item].get(x, 0)) for x, c in window.items() if x in self.counts[item])
+        total = sum(weight[x] * c for x, c in window.items())
         return common / (total + self.totals[item] - common)
 
     def hits(self, hashes: np.ndarray, k: int) -> np.ndarray:
@@ -162,28 +189,55 @@ class Index:
                     yield (row, *found)
 
 
-def _blocks(benchmark: DataFrame, block_items: int, radius: int, threshold: float) -> Iterator[Index]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+
+def benchmark_weights(benchmark: DataFrame) -> Weights:
+    """Weights over all items that have a word; counted in Spark, shingles of two or more items come to the driver."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in slices(batch.column(0)):
+                found = [np.unique(s).view(np.int64) for s in item_shingles(part) if len(s)]
+                for first in range(0, len(found), 100):
+                    some = found[first : first + 100]
+                    hashes = pa.array(np.concatenate(some), pa.int64())
+                    every = pa.concat_arrays([hashes, pa.nulls(len(some), pa.int64())])  # a null for each item
+                    yield pa.RecordBatch.from_arrays([every], ["shingle"])
+
+    counts = _items(benchmark).select(whole_text("text").alias("text")).mapInArrow(shingles, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    shared = counts.where(F.col("shingle").isNull() | (F.col("n") > 1)).toArrow()
+    hashes, n = shared.column("shingle").combine_chunks(), shared.column("n").to_numpy()
+    of_items = hashes.is_null().to_numpy(zero_copy_only=False)
+    keys = hashes.drop_null().to_numpy().astype(np.int64).view(np.uint64)
+    return Weights(int(n[of_items].sum()), keys, n[~of_items])
+
+
+def _blocks(benchmark: DataFrame, weights: Weights, block_items: int, radius: int, threshold: float) -> Iterator[Index]:
     held, n = [], 0
-    for row in items.orderBy("item_id", "text").toLocalIterator():
+    for row in _items(benchmark).orderBy("item_id", "text").toLocalIterator():
         held.append(tuple(row))
         n += 1
         if len(held) == block_items:
-            yield Index(held, radius, threshold)
+            yield Index(held, weights, radius, threshold)
             held = []
     if held or n == 0:
-        yield Index(held, radius, threshold)
+        yield Index(held, weights, radius, threshold)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int = 42, block_items: int = 4000) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, similarity, start_word, n_words, distance (of the best window)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
     found = None
-    for index in _blocks(benchmark, block_items, radius, threshold):
+    weights = benchmark_weights(benchmark)
+    weighed = docs.sparkSession.sparkContext.broadcast(weights)
+    for index in _blocks(benchmark, weights, block_items, radius, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
+            index.weights = weighed.value
             for batch in batches:
                 hits = list(index.scan(batch.column(1)))
                 yield pa.RecordBatch.from_arrays(
@@ -205,18 +259,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radi
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int = 42, block_items: int = 4000) -> DataFrame:
     """The rows of ``docs`` that match no item, with all their columns."""
-    for index in _blocks(benchmark, block_items, radius, threshold):
-        clean = _clean(docs.sparkSession.sparkContext.broadcast(index))
+    weights = benchmark_weights(benchmark)
+    weighed = docs.sparkSession.sparkContext.broadcast(weights)
+    for index in _blocks(benchmark, weights, block_items, radius, threshold):
+        clean = _clean(docs.sparkSession.sparkContext.broadcast(index), weighed)
         docs = docs.where(clean(whole_text("text")))
     return docs
 
 
-def _clean(shared):
+def _clean(shared, weighed):
     """Whether a text matches no item of the index; a decision beside the row keeps the other columns in the JVM."""
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        hit = {h[0] for h in shared.value.scan(pa.array(list(texts), pa.large_string()))}
+        index = shared.value
+        index.weights = weighed.value
+        hit = {h[0] for h in index.scan(pa.array(list(texts), pa.large_string()))}
         return pd.Series([i not in hit for i in range(len(texts))])
 
     return clean

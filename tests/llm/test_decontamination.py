@@ -97,3 +97,24 @@ def test_empty_tables(spark):
     docs, items = [(1, "a b c d e f")], [(1, "a b c d e f")]
     assert as_rows(matches(*frames(spark, [], items))) == {} == as_rows(matches(*frames(spark, docs, [])))
     assert drop_contaminated(*frames(spark, docs, [])).count() == 1
+
+
+def test_blocks_give_what_one_block_gives(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(50)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    heads = [say(12) for _ in range(3)]  # items of several blocks have shingles in common
+    items = [(i, " ".join(heads[i % 3] + say(rng.choice([3, 8, 20])))) for i in range(30)] + [(40, " ".join(say(3))), (41, None), (None, " ".join(heads[0]))]
+    docs = []
+    for i in range(150):
+        passage = edited(rng, rng.choice(items[:30])[1].split(), rng.choice([0.03, 0.06, 0.1]))
+        docs.append((i, " ".join(say(rng.randrange(15)) + passage + rng.choice(heads) + say(rng.randrange(15)))))
+    want = {k: (round(s, 9), at) for k, (s, at) in brute_force(docs, items).items()}
+    assert len(want) > 50
+    whole = matches(*frames(spark, docs, items)).collect()
+    assert as_rows(matches(*frames(spark, docs, items))) == want
+    for block_items in (1, 7):
+        got = matches(*frames(spark, docs, items), block_items=block_items).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, whole))
+    kept = {r.doc_id for r in drop_contaminated(*frames(spark, docs, items), block_items=7).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
