@@ -10,7 +10,8 @@ branch below ``min_importance`` that ``min_pages`` distinct pages have is cut ou
 (presentation and content) is that of ``min_pages`` distinct pages; a page that shows something else there keeps
 it, and a page of which nothing would stay is left uncut. Elements that say what they are
 (navigation, footers, forms, advertisements, reader comments and so on, by tag,
-class, id or role) are cut without statistics. What stays is the article element, else the
+whole class, id or role) are cut without statistics; by class, id or role only if they hold neither the longest
+article or main element nor more than half of the page's text, and if other text is left. What stays is the article element, else the
 main element, else the body. Only containers and elements with a class or id are
 judged by their importance; a bare paragraph or heading is never cut for being repeated.
 
@@ -21,7 +22,7 @@ joined without hint.
 Blocks are decoded, blanks inside are one space, and blocks are joined by an empty
 line in page order. Defined cases: null or empty html gives an empty text; a null url
 is a host of its own; broken markup is read as far as it goes (unclosed elements end
-with their parent, stray end tags are ignored); a page with no text outside forms
+with their parent, stray end tags are ignored); a page with no text outside forms and named elements
 is read, counted and judged without cutting forms. Repeated rows come out repeated; extra columns are
 not read. An empty table gives an empty result.
 """
@@ -61,6 +62,10 @@ _CUT_NAMES = frozenset(
     "signup search complementary contentinfo".split()
 )
 _SITE_NAMES = frozenset(["header", "masthead", "topbar"])
+_NAME_FORMS = frozenset(
+    "site main left right top bottom upper lower global primary secondary box block bar area list link links button buttons slot unit "
+    "wrapper container section posts articles stories x".split()
+)
 _NEVER_BY_NAME = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table body article main".split())
@@ -76,24 +81,62 @@ def _digest(parts: Iterable[str]) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
 
 
+def _is_name(token: str, inside: bool) -> bool:
+    """Does a whole class, id or role say that it is not main text: one of the names, or several, with words of place or form."""
+    parts = set(_PART.findall(token)) - _NAME_FORMS
+    return bool(parts) and (parts <= _CUT_NAMES or not inside and parts <= _CUT_NAMES | _SITE_NAMES)
+
+
 class Element(NamedTuple):
     above: tuple[int, ...]  # judged places around it
     judged: tuple[int, ...]  # the same and its own, if it may be judged
     look: str
     article: bool
     main: bool
+    parent: int
+    named: bool  # says that it is not main text
 
 
 class Page:
     """One page read once. ``elements`` that are not cut, and ``blocks``: (pieces of text with their element, in article, in main)."""
 
     def __init__(self, source: str, forms: bool = False):
-        self.elements = [Element((), (), "", False, False)]
+        self.elements = [Element((), (), "", False, False, 0, False)]
         self.blocks: list[tuple[list[tuple[int, str]], bool, bool]] = []
         self._forms = forms
         self._stack: list[tuple[str, int, int, bool]] = []  # tag, element, place, cut
         self._text: list[tuple[int, str]] = []
         self._read(source)
+        self.plain = bool(self.blocks)  # is there text that no name would cut
+        if any(e.named for e in self.elements):
+            self._cut_named()
+
+    def _cut_named(self) -> None:
+        """Drops named elements, but none that holds the longest article or main, or more than half of the text, or with others all text."""
+        n = len(self.elements)
+        size = [0] * n
+        for pieces, _, _ in self.blocks:
+            for at, piece in pieces:
+                size[at] += len(_joined([piece]))
+        for i in range(n - 1, 0, -1):
+            size[self.elements[i].parent] += size[i]
+        kept = [False] * n
+        for kind in ("article", "main"):
+            starts = [i for i, e in enumerate(self.elements) if getattr(e, kind) and not getattr(self.elements[e.parent], kind)]
+            at = max(starts, key=size.__getitem__, default=0)
+            while at:
+                kept[at], at = True, self.elements[at].parent
+        named, cut = [False] * n, [False] * n
+        for i, e in enumerate(self.elements):
+            own = e.named and not kept[i]
+            named[i] = own or named[e.parent]
+            cut[i] = own and 2 * size[i] <= size[0] or cut[e.parent]
+        self.plain = any(not named[at] and not piece.isspace() for pieces, _, _ in self.blocks for at, piece in pieces)
+        blocks = [([x for x in pieces if not cut[x[0]]], article, main) for pieces, article, main in self.blocks]
+        blocks = [block for block in blocks if not all(piece.isspace() for _, piece in block[0])]
+        if blocks:
+            self.blocks = blocks
+            self.elements = [e if not cut[i] else self.elements[0] for i, e in enumerate(self.elements)]
 
     def _top(self) -> tuple[str, int, int, bool]:
         return self._stack[-1] if self._stack else ("", 0, 0, False)
@@ -146,16 +189,14 @@ class Page:
         if tag in _VOID:
             return
         _, element, place, cut = self._top()
-        _, judged, _, article, main = self.elements[element]
+        _, judged, _, article, main, _, _ = self.elements[element]
         names = {}
         if attributes:
             names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMED.finditer(attributes)}
         inside = article or main
         if not cut:
-            parts = {p for v in names.values() for p in _PART.findall(v)}
             cut = tag in _CUT_TAGS and not (tag == "form" and self._forms) or tag in _SITE_TAGS and not inside
-            if tag not in _NEVER_BY_NAME:
-                cut = cut or not parts.isdisjoint(_CUT_NAMES) or not inside and not parts.isdisjoint(_SITE_NAMES)
+        named = tag not in _NEVER_BY_NAME and any(_is_name(x, inside) for v in names.values() for x in v.split())
         look = " ".join(_PART.findall(f"{tag} {names.get('class', '')} {names.get('id', '')}"))
         place = xxhash.xxh64_intdigest(look, seed=place & 0xFFFFFFFFFFFFFFFF) >> 1
         if not cut:
@@ -166,8 +207,8 @@ class Page:
                 article = True
             elif tag == "main" or names.get("role") == "main":
                 main = True
-            element = len(self.elements)
-            self.elements.append(Element(above, judged, look, article, main))
+            self.elements.append(Element(above, judged, look, article, main, element, named))
+            element = len(self.elements) - 1
         self._stack.append((tag, element, place, cut))
 
     def _end_p(self) -> None:
@@ -233,7 +274,7 @@ class Page:
 
 def _page(source: str) -> Page:
     page = Page(source)
-    return page if page.blocks or "<form" not in source.lower() else Page(source, forms=True)
+    return page if page.plain or "<form" not in source.lower() else Page(source, forms=True)
 
 
 def main_text(source: str, repeated: frozenset[int] = frozenset()) -> str:

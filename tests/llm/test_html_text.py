@@ -120,3 +120,23 @@ def test_a_page_of_repeated_looks_alone_stays(spark):
 def test_pages_inside_forms_are_judged_alike(spark):
     pages = [f"<div class=wrap><form><div class=x>notice</div><p>words {i}</p></form></div>" for i in range(12)]
     assert texts_of(spark, pages) == [f"words {i}" for i in range(12)]
+
+
+NAMED = {
+    '<div class="layout no-sidebar"><article><p>a</p></article></div>': "a",
+    '<div class="post comments-open"><p>a</p></div>': "a",
+    '<div class="ad-free content"><p>a</p></div><p>b</p>': "a\n\nb",
+    '<article><p>a</p><section id="search-results-study"><p>b</p></section></article>': "a\n\nb",
+    '<div class="sidebar"><article><p>a</p></article></div><p>longer outside</p>': "a",
+    '<div class="widget"><main><p>a</p></main></div><p>longer outside</p>': "a",
+    '<div class="search"><p>most of the words</p></div><p>few</p>': "most of the words\n\nfew",
+    '<div class="ad">x</div><div class="menu">y</div>': "x\n\ny",
+    '<article><p>long text</p></article><div class="related-posts"><article><p>other</p></article></div>': "long text",
+    '<p>long text</p><div class="left-sidebar">s</div><div class="share-buttons"><b>t</b></div>': "long text",
+    '<div class="ad">buy</div><form><p>all in a form</p></form>': "all in a form",
+}
+
+
+@pytest.mark.parametrize("source", NAMED)
+def test_names_cut_no_wrapper_of_the_text(source):
+    assert main_text(source) == NAMED[source]
