@@ -119,6 +119,12 @@ def verdict_left_join(spark, sf_dir):
     return pairs.select(*KEYS, "match_status_er", "match_status_manual", "error_matrix")
 
 
+def verdict_left_join_candidates(spark, sf_dir):
+    """Repeated ER rows, each kept."""
+    pairs = Validator(DEFAULT).verdict_pairs(*_inputs(spark, sf_dir, er="er_candidates"))
+    return pairs.select(*KEYS, "match_status_er", "match_status_manual", "error_matrix")
+
+
 def verdict_left_join_skewed(spark, sf_dir):
     """A third of the truth under one pair; ER rows unique, since pairs hot on both sides multiply."""
     er, truth = _skewed(spark, sf_dir)
@@ -306,6 +312,7 @@ def _validation_queries() -> dict[str, Query]:
         "truth_exception_flip_long": truth_exception_flip_long,
         "er_dedup": er_dedup,
         "verdict_left_join": verdict_left_join,
+        "verdict_left_join_candidates": verdict_left_join_candidates,
         "verdict_left_join_skewed": verdict_left_join_skewed,
         "error_matrix": error_matrix,
         "error_matrix_skewed": error_matrix_skewed,

@@ -202,6 +202,9 @@ def statements() -> dict[str, str]:
         "verdict_left_join": f"{sides()} SELECT e.{S}, e.{T}, e.match_status_er, t.match_status_manual, "
         f"{matrix('e.match_status_er', 't.match_status_manual')} AS error_matrix "
         f"FROM er_ranked e LEFT JOIN (SELECT *, {STATUS} AS match_status_manual FROM tr_in) t ON e.{S} = t.{S} AND e.{T} = t.{T}",
+        "verdict_left_join_candidates": f"{sides(er='er_candidates')} SELECT e.{S}, e.{T}, e.match_status_er, t.match_status_manual, "
+        f"{matrix('e.match_status_er', 't.match_status_manual')} AS error_matrix "
+        f"FROM er_ranked e LEFT JOIN (SELECT *, {STATUS} AS match_status_manual FROM tr_in) t ON e.{S} = t.{S} AND e.{T} = t.{T}",
         "verdict_left_join_skewed": f"{sides(**SKEWED)} SELECT e.{S}, e.{T}, e.match_status_er, t.match_status_manual, "
         f"{matrix('e.match_status_er', 't.match_status_manual')} AS error_matrix "
         f"FROM er_first e LEFT JOIN (SELECT *, {STATUS} AS match_status_manual FROM tr_in) t ON e.{S} = t.{S} AND e.{T} = t.{T}",

@@ -49,3 +49,9 @@ def test_entry_counts(spark):
         ("Mismatch", "Extra Record in ER Output"): 242,
         ("Mismatch", "Record Missing from ER Output"): 242,
     }
+
+
+def test_verdict_join_meets_repeated_er_rows(spark):
+    rows = contract.queries()["verdict_left_join_candidates"](spark, SF_DIR)
+    candidates = fixture(spark, SF_DIR, "er_candidates")
+    assert rows.count() >= candidates.count() > candidates.select(*contract.KEYS).distinct().count()
