@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, html_text, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import conversation_repair, decontamination, exact_dedup, html_text, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .store import small_batches
 
 
@@ -57,6 +57,11 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    rows = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_reports(rows)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -75,13 +80,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_warc,
         op9_quality,
         op10_token_counts,
+        op12_conversation_repair,
         pipeline,
     )
     return {query.__name__: query for query in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": OP4, "op5_exact_dedup": OP5}
+    return {"op4_minhash_near_dedup": OP4, "op5_exact_dedup": OP5, "op12_conversation_repair": OP12}
 
 
 OP5 = r"""
@@ -114,3 +120,63 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(re
   w.doc_id <= coalesce(min(reach.y), w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id, n.n
 """
+
+# The damage's crc32 is worked out bit by bit; the edits come from a recursion over the rows that keeps the least (cost, edits)
+# for each state 0 to 3 (nothing, system, user, assistant).
+OP12 = r"""
+WITH RECURSIVE k AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key FROM conversations
+), h AS (
+  SELECT *, xor(list_reduce([4294967295::bigint] || list_transform(string_split(key, ''), lambda x: ascii(x)::bigint),
+    lambda crc, b: list_reduce([xor(crc, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0],
+      lambda r, z: xor(r >> 1, 3988292384::bigint * (r & 1)))), 4294967295::bigint) % 20 AS kind FROM k
+), d AS (
+  SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS r(copy)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS i, left(role, 1) AS r,
+    rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS seen FROM d
+), f AS (
+  SELECT *, lag(r) OVER (PARTITION BY c ORDER BY i) AS before, CASE WHEN seen = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o
+), ins(q, p, cost, edits) AS (
+  VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+    (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I')
+), keeps(q, r, p) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), moves AS (
+  SELECT q, NULL AS r, q AS p, 3 AS cost, 'D' AS edit FROM (VALUES (0), (1), (2), (3)) t(q)
+  UNION ALL SELECT q, r, p, 0, 'K' FROM keeps
+  UNION ALL SELECT q, NULL, p, 2, 'R' FROM (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) t(q, p)
+), best(c, i, q, b) AS (
+  SELECT DISTINCT c, 0::bigint, 0, '000000000' FROM k
+  UNION ALL
+  SELECT best.c, f.i, m.p, min(printf('%09d', left(best.b, 9)::int + ins.cost + m.cost + CASE WHEN f.fault = 'truncated' AND m.edit <> 'D' THEN 1 ELSE 0 END)
+    || substr(best.b, 10) || ins.edits || m.edit)
+  FROM best JOIN f ON f.c = best.c AND f.i = best.i + 1 JOIN ins ON ins.q = best.q
+    JOIN moves m ON m.q = ins.p AND (m.r IS NULL OR m.r = f.r) AND (m.edit = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY best.c, f.i, m.p
+), n AS (SELECT c, max(i) AS n FROM best GROUP BY c),
+won AS (
+  SELECT best.c, min(printf('%09d', left(b, 9)::int + ins.cost) || substr(b, 10) || ins.edits) AS b
+  FROM best JOIN n ON n.c = best.c AND n.n = best.i JOIN ins ON ins.q = best.q AND ins.p IN (0, 3) GROUP BY best.c
+), edits AS (
+  SELECT c, pos, edit, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY pos) AS i
+  FROM (SELECT c, unnest(range(1, length(b) - 8)) AS pos, unnest(string_split(substr(b, 10), '')) AS edit FROM won WHERE length(b) > 9)
+), kept AS (
+  SELECT e.*, f.role, f.text, row_number() OVER (PARTITION BY e.c ORDER BY pos) AS place FROM edits e LEFT JOIN f ON f.c = e.c AND f.i = e.i WHERE edit <> 'D'
+), leads AS (SELECT c, max(CASE WHEN place = 1 AND edit = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) AS lead FROM kept GROUP BY c),
+texts AS (
+  SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS whole FROM kept JOIN leads USING (c) GROUP BY c
+), counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, left(b, 9)::bigint AS cost, substr(b, 10) AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM k) JOIN won USING (c) LEFT JOIN counts USING (c) LEFT JOIN texts USING (c)
+"""
