@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversation_repair, decontamination, exact_dedup, html_text, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import conversation_repair, decontamination, exact_dedup, html_text, lexical_search, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .store import small_batches
 
 
@@ -62,6 +62,10 @@ def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_reports(rows)
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -81,13 +85,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_quality,
         op10_token_counts,
         op12_conversation_repair,
+        op13_lexical_search,
         pipeline,
     )
     return {query.__name__: query for query in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": OP4, "op5_exact_dedup": OP5, "op12_conversation_repair": OP12}
+    return {
+        "op4_minhash_near_dedup": OP4,
+        "op5_exact_dedup": OP5,
+        "op12_conversation_repair": OP12,
+        "op13_lexical_search": OP13,
+    }
 
 
 OP5 = r"""
@@ -180,3 +190,25 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
   coalesce(illegal, 0) AS illegal, left(b, 9)::bigint AS cost, substr(b, 10) AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
 FROM (SELECT DISTINCT c, conv_id FROM k) JOIN won USING (c) LEFT JOIN counts USING (c) LEFT JOIN texts USING (c)
 """
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), q AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark
+), whole AS (SELECT count(*) FILTER (len(words) > 0) AS docs, sum(len(words))::bigint AS terms FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM tf, whole GROUP BY term, docs
+), asked AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(words) AS term FROM q) GROUP BY ALL),
+m AS (SELECT r, doc_id, 75 + (25 * len(words) * docs) // terms AS m FROM d, whole),
+scored AS (
+  SELECT i, m.r, m.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m ON m.r = tf.r GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::int AS rank FROM scored WHERE score > 0
+) JOIN q USING (i) WHERE rank <= 20
+"""
