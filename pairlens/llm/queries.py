@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversation_repair, decontamination, exact_dedup, html_text, lexical_search, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import conversation_repair, decontamination, exact_dedup, html_text, language_id, lexical_search, near_dedup, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from .rows import whole_text
 from .store import small_batches
 
 
@@ -57,6 +58,13 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(whole_text("doc_id")) % 5 == 0
+    model = language_id.train(docs, ~held_out)
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
 def op12_conversation_repair(spark, sf_dir):
     rows = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
     return conversation_repair.repair_reports(rows)
@@ -84,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_warc,
         op9_quality,
         op10_token_counts,
+        op11_language_id,
         op12_conversation_repair,
         op13_lexical_search,
         pipeline,

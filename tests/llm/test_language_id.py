@@ -1,0 +1,143 @@
+"""Language identification: gradients, held-out accuracy, whole texts, the defined cases."""
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from pairlens.llm import language_id as li
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def model_of(languages: int = 3, hidden: int = 5) -> li.Model:
+    rng = np.random.default_rng(languages)
+    return li.Model([f"l{i}" for i in range(languages)], li.new_weights(languages, rng, hidden))
+
+
+def by_hand(model: li.Model, data: bytes) -> np.ndarray:
+    """Probabilities position by position, in plain loops."""
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    hidden = len(w["f_state"])
+
+    def states(side: str, values: list[int]) -> list[np.ndarray]:
+        h, out = np.zeros(hidden), []
+        for b in values:
+            x, s = w[f"{side}_in"][b], w[f"{side}_state"]
+            z, r = (1 / (1 + np.exp(-(x[k : k + hidden] + h @ s[:, k : k + hidden]))) for k in (0, hidden))
+            c = np.tanh(x[2 * hidden :] + (r * h) @ s[:, 2 * hidden :])
+            h = z * h + (1 - z) * c
+            out.append(h)
+        return out
+
+    total, n = np.zeros(len(model.languages)), 0
+    for low in range(0, len(data), li.WINDOW):
+        part = list(data[low : low + li.WINDOW])
+        part += [256] * (li.WINDOW - len(part))
+        ahead, back = states("f", part), states("b", part[::-1])[::-1]
+        for b, f, g in zip(part, ahead, back):
+            if b < 256 and (b >= 128 or chr(b).isalpha()):
+                e = np.exp(np.concatenate([f, g]) @ w["out"] + w["bias"])
+                total, n = total + e / e.sum(), n + 1
+    return total / max(n, 1)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(0)
+    w = {k: v.astype(float) for k, v in li.new_weights(3, rng, 4).items()}
+    text, labels = rng.integers(250, 257, (6, 5)), rng.integers(0, 3, 5)
+    grads = li.gradients(w, text, labels)[1]
+    for name, values in w.items():
+        for _ in range(20):
+            at = tuple(int(rng.integers(250 if name.endswith("_in") and d == 0 else 0, n)) for d, n in enumerate(values.shape))
+            kept, losses = values[at], []
+            for step in (1e-5, -1e-5):
+                values[at] = kept + step
+                losses.append(li.gradients(w, text, labels)[0])
+            values[at] = kept
+            assert abs((losses[0] - losses[1]) / 2e-5 - grads[name][at]) < 1e-7
+
+
+def test_probabilities_against_plain_loops():
+    model = model_of()
+    texts = [b"", b"a", "é1, b".encode(), b"x" * li.WINDOW, bytes(range(1, 200)) * 3]
+    found = li.probabilities(model, texts)
+    for data, own in zip(texts, found):
+        assert np.allclose(own, by_hand(model, data), atol=1e-4)
+
+
+def test_every_byte_counts():
+    """Texts longer than a block of windows, in one and in several pieces, have the mean of all their parts."""
+    model, part = model_of(), b"ab c" * (li.WINDOW // 4)
+    long = part * (3 * li.BATCH) + b"zz"
+    mean = li.probabilities(model, [part])[0]
+    both = li.probabilities(model, [long, part, long])
+    assert np.allclose(both, mean, atol=1e-4)
+    other = b"zqx " * (li.WINDOW // 4)
+    half = li.probabilities(model, [part * (2 * li.BATCH) + other * (2 * li.BATCH)])[0]
+    assert np.allclose(half, (mean + li.probabilities(model, [other])[0]) / 2, atol=1e-4)
+
+
+def test_fit_learns_order_not_only_letters():
+    """Two languages of the same letters, which differ by what follows what."""
+    rng = np.random.default_rng(1)
+    words = {0: b"abc ", 1: b"acb "}
+    labels = rng.integers(0, 2, 400)
+    text = np.concatenate([li.windows((words[y] * 20)[i : i + li.WINDOW]) for y, i in zip(labels, rng.integers(0, 4, 400))])
+    model = li.fit(text, labels, ["x", "y"], epochs=12, rows=32)
+    found = li.probabilities(model, [b"abc " * 50, b"acb " * 50])
+    assert found[0, 0] > 0.9 and found[1, 1] > 0.9
+
+
+def test_held_out_accuracy(spark):
+    big = "/root/testdata/sf0.1"
+    rows = contract.queries()["op11_language_id"](spark, big)
+    assert rows.columns[0] == "doc_id" and {"held_out", "lang_pred", "score"} <= set(rows.columns)
+    docs = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang")
+    found = rows.join(docs, "doc_id").toPandas()
+    assert len(found) == docs.count()
+    assert (found.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in found.doc_id]).all()
+    held = found[found.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.99
+    assert ((found.score >= 0) & (found.score <= 1)).all()
+    assert held.score.mean() > 0.9
+
+
+def test_held_out_labels_are_not_read(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    changed = docs.withColumn("lang", F.when(held, "xx").otherwise(F.col("lang")))
+    options = {"sample_docs": 20, "epochs": 1}
+    one, two = li.train(docs, ~held, **options), li.train(changed, ~held, **options)
+    assert one.languages == two.languages and all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rows = [(i, "the thing of the " * 5, "en") for i in range(10)] + [(i, "für die der und ß " * 5, "de") for i in range(10, 20)]
+    rows += [(20, "the thing", None), (None, "die der und ß", "de")] + [(3, rows[3][1], "en")] * 5
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_defined_cases(spark, small):
+    model = li.train(small, F.lit(True), epochs=60, rows=16)
+    assert model.languages == ["de", "en"]
+    cases = [(1, None), (2, ""), (3, "12 ... !"), (None, "the thing of the thing"), (4, "der und ß " * 50_000), (4, "日本")]
+    rows = spark.createDataFrame([(*c, 7.0, "x") for c in cases], "doc_id long, text string, score double, data string")
+    found = [tuple(r) for r in li.predict(rows, model).collect()]
+    assert len(found) == len(cases)
+    assert sorted(r[0] for r in found if r[1:] == ("und", 0.0)) == [1, 2, 3]
+    assert {r[0]: r[1] for r in found if r[0] is None or (r[0] == 4 and r[2] > 0.9)} == {None: "en", 4: "de"}
+    assert all(0 <= r[2] <= 1 for r in found)
+    assert li.predict(rows.limit(0), model).collect() == []
+
+
+def test_nothing_to_learn_from(spark, small):
+    for docs in (small.limit(0), small.withColumn("lang", F.lit(None).cast("string"))):
+        model = li.train(docs, F.lit(True))
+        assert model.languages == []
+        assert {(r.lang_pred, r.score) for r in li.predict(small, model).collect()} == {("und", 0.0)}
+    texts = spark.createDataFrame([(1, None, "en"), (2, "", "de")], SCHEMA)
+    assert {r.lang_pred for r in li.predict(texts, li.train(texts, F.lit(True))).collect()} == {"und"}
