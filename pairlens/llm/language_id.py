@@ -29,6 +29,7 @@ from .rows import whole_text
 from .store import discard, stored
 
 WINDOW, BATCH = 64, 2048
+RANK_PARTS = 64
 HIDDEN = 8
 UNKNOWN = "und"
 _NO_BYTE = 256  # past the end of a text
@@ -249,10 +250,12 @@ def train(
         F.xxhash64(text).alias("x"),
         text.cast("binary").alias("data"),
     )
-    # Ranked without the texts, repeated rows once.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))
-    ranked = labelled.select("lang", "h", "x").distinct().withColumn("place", place)
-    chosen = stored(ranked.where(F.col("place") <= sample_docs).drop("place"), "language-sample")
+    # Ranked without the texts, repeated rows once; a common language first by parts, so that no task ranks all its rows.
+    ranked = labelled.select("lang", "h", "x").distinct().withColumn("part", F.pmod("x", F.lit(RANK_PARTS)))
+    for group in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("h", "x"))
+        ranked = ranked.withColumn("place", place).where(F.col("place") <= sample_docs)
+    chosen = stored(ranked.select("lang", "h", "x"), "language-sample")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
