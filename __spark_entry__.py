@@ -25,9 +25,10 @@ from pairlens.functions import (  # noqa: E402
     shares_token,
 )
 from pairlens.operators.columns import fill_blanks, mark_side, strip_sides  # noqa: E402
-from pairlens.operators.records import RECORD_CLASSES, combine, flat_records  # noqa: E402
+from pairlens.operators.records import flat_records  # noqa: E402
 from pairlens.operators.verdict import dedup_pairs  # noqa: E402
-from pairlens.sources import er_scan, fingerprinted_table, register_views, truth_scan  # noqa: E402
+from pairlens.session import shared_path  # noqa: E402
+from pairlens.sources import er_scan, fingerprinted_table, register_decoders, register_views, truth_scan  # noqa: E402
 
 try:  # the text operators are an optional part
     from pairlens.llm import queries as llm
@@ -133,6 +134,12 @@ def verdict_left_join_skewed(spark, sf_dir):
     return pairs.select(*KEYS, "match_status_er", "match_status_manual", "error_matrix")
 
 
+def verdict_left_join_hot(spark, sf_dir):
+    """A pair with many rows on both sides, split into a grid."""
+    pairs = Validator(DEFAULT.but(hot_pair_rows=20)).verdict_pairs(*_inputs(spark, sf_dir, "hot_er", "hot_truth"))
+    return pairs.select(*KEYS, "match_status_er", "match_status_manual", "error_matrix")
+
+
 def error_matrix(spark, sf_dir):
     validator = Validator(DEFAULT, exceptions=_exceptions(spark, sf_dir))
     scored = validator.scored_pairs(*_inputs(spark, sf_dir))
@@ -202,9 +209,8 @@ def _class_query(record_class: str) -> Query:
 
 
 def union_distinct(spark, sf_dir):
-    """The four record classes, each by its own join, united by column name without equal rows."""
-    validator, sides = Validator(DEFAULT.but(**SPLITTING), BATCH_ID), _skewed(spark, sf_dir)
-    united = combine(*[validator.records_of(c, *sides) for c in RECORD_CLASSES])
+    """The record classes, each by the join of its class, united by column name without equal rows."""
+    united = Validator(DEFAULT.but(**SPLITTING), BATCH_ID).united(*_skewed(spark, sf_dir))
     return united.select(*RECORD, "record_class")
 
 
@@ -242,6 +248,19 @@ def type_of_mismatch(spark, sf_dir):
     return _records(spark, sf_dir).select(*_keys(), code, flag, category.alias("mismatch_type"))
 
 
+def sql_decoders(spark, sf_dir):
+    """The decoders as SQL users call them, over a view of coded records."""
+    _records(spark, sf_dir).select(*_keys(), "mismatches_code", "extra_or_missing_flag").createOrReplaceTempView("coded_records")
+    register_decoders(spark, DEFAULT)
+    return spark.sql("""
+        SELECT source_primary_key, target_primary_key, mismatches_code, extra_or_missing_flag,
+          mismatching_columns_text(mismatches_code) AS mismatches_columns,
+          array_join(mismatching_columns(mismatches_code), ',') AS mismatches_list,
+          mismatch_deviation(mismatches_code) AS mismatch_deviation, code_status(mismatches_code) AS code_status,
+          mismatch_type(mismatches_code, extra_or_missing_flag) AS mismatch_type
+        FROM coded_records""")
+
+
 def suffix_strip(spark, sf_dir):
     records = Validator(DEFAULT, BATCH_ID).records_of("match", *_inputs(spark, sf_dir))
     return strip_sides(records.select(*[f"{c}_eo" for c in DEFAULT.columns]))
@@ -256,6 +275,24 @@ def run_counts(spark, sf_dir):
     return Validator(DEFAULT.but(**SPLITTING)).counts(*_skewed(spark, sf_dir))
 
 
+def run_counts_observed(spark, sf_dir):
+    """The same counts as a by-product of the action that writes the result."""
+    path = shared_path(spark, "observed-result")
+    counts = Validator(DEFAULT.but(**SPLITTING), BATCH_ID).save_observed(*_skewed(spark, sf_dir), path)
+    return spark.createDataFrame(list(counts.items()), "metric string, rows long")
+
+
+def saved_batches(spark, sf_dir):
+    """Two batches in one folder, the first run again with other candidates, read back."""
+    path, (er, truth) = shared_path(spark, "saved-batches"), _inputs(spark, sf_dir)
+    candidates = fixture(spark, sf_dir, "er_candidates")
+    for batch, found in ((BATCH_ID, er), ("20240202000000", er), (BATCH_ID, candidates)):
+        validator = Validator(DEFAULT, batch)
+        validator.save_batch(validator.run(found, truth), path)
+    # Names and order of the result; the batch is a folder and would be read as a number.
+    return spark.read.schema(validator.run(er, truth).schema).parquet(path)
+
+
 def validate_full(spark, sf_dir):
     return Validator(DEFAULT, BATCH_ID, _exceptions(spark, sf_dir)).run(*_inputs(spark, sf_dir))
 
@@ -314,6 +351,7 @@ def _validation_queries() -> dict[str, Query]:
         "verdict_left_join": verdict_left_join,
         "verdict_left_join_candidates": verdict_left_join_candidates,
         "verdict_left_join_skewed": verdict_left_join_skewed,
+        "verdict_left_join_hot": verdict_left_join_hot,
         "error_matrix": error_matrix,
         "error_matrix_skewed": error_matrix_skewed,
         "pair_key": pair_key_text,
@@ -336,9 +374,12 @@ def _validation_queries() -> dict[str, Query]:
         "mismatch_deviation_compat": deviation_compat,
         "code_status": status_of_code,
         "mismatch_type": type_of_mismatch,
+        "sql_decoders": sql_decoders,
         "suffix_strip": suffix_strip,
         "report_view": report_view,
         "run_counts": run_counts,
+        "run_counts_observed": run_counts_observed,
+        "saved_batches": saved_batches,
         "validate_full": validate_full,
         "validate_tables": validate_tables,
         "validate_full_compat": validate_full_compat,

@@ -115,6 +115,21 @@ SELECT {cols} FROM base JOIN lineitem ON l_orderkey = k
     )
 )
 
+# A pair with many rows on both sides: one line of every 40th order, under the same keys in both tables; all other
+# orders once.
+_BOTH = """
+SELECT {cols}{review} FROM base LEFT JOIN (SELECT l_orderkey, min(l_quantity) AS l_quantity, min(l_linestatus) AS l_linestatus
+ FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = k
+"""
+_BOTH_KEYS = {
+    "source_primary_key": "CASE WHEN k%40=0 THEN 'S7' ELSE source_primary_key END",
+    "target_primary_key": "CASE WHEN k%40=0 THEN 'hot-T' ELSE target_primary_key END",
+}
+HOT_ER = _BOTH.format(cols=_columns({**_BOTH_KEYS, "er_rank": "CASE WHEN k%3=0 THEN 1 ELSE 2 END"}), review="")
+HOT_TRUTH = _BOTH.format(
+    cols=_columns({**_BOTH_KEYS, "er_score": "cast(floor(coalesce(l_quantity, 0)) AS double)/50"}), review=", l_linestatus AS human_review"
+)
+
 # Both tables as CTEs, for DuckDB. Spark gets the same text as subqueries.
 CTES = {
     "base": BASE,
@@ -125,6 +140,8 @@ CTES = {
     "skewed_truth": SKEWED_TRUTH,
     "skewed_er": SKEWED_ER,
     "long_exceptions": LONG_EXCEPTIONS,
+    "hot_er": HOT_ER,
+    "hot_truth": HOT_TRUTH,
 }
 _NEEDS = {
     "base": (),
@@ -135,6 +152,8 @@ _NEEDS = {
     "skewed_truth": ("base",),
     "skewed_er": ("base",),
     "long_exceptions": ("base", "skewed_er"),
+    "hot_er": ("base",),
+    "hot_truth": ("base",),
 }
 
 

@@ -189,6 +189,10 @@ def statements() -> dict[str, str]:
     weigh_on = " AND ".join(
         f"j.t_{c} IS NOT DISTINCT FROM w.{c}" for c in (*PAIR_COLUMNS, "human_review")
     )
+    run_counts = (
+        f"{joined(**SKEWED)}, copied AS (SELECT {cols}, human_review, count(*) AS n FROM tr_in GROUP BY ALL), "
+        f"weighed AS (SELECT {CLASS} AS class, coalesce(w.n, 1) AS copies FROM j LEFT JOIN copied w ON j.in_t AND {weigh_on}) {counts}"
+    )
     return {
         "er_match_status": f"{with_clause('er_output')} SELECT {cols}, {STATUS} AS match_status_er FROM er_output",
         "truth_match_status": f"{with_clause('truth')} SELECT {S}, {T}, {STATUS} AS match_status_manual, human_review FROM truth",
@@ -208,6 +212,9 @@ def statements() -> dict[str, str]:
         "verdict_left_join_skewed": f"{sides(**SKEWED)} SELECT e.{S}, e.{T}, e.match_status_er, t.match_status_manual, "
         f"{matrix('e.match_status_er', 't.match_status_manual')} AS error_matrix "
         f"FROM er_first e LEFT JOIN (SELECT *, {STATUS} AS match_status_manual FROM tr_in) t ON e.{S} = t.{S} AND e.{T} = t.{T}",
+        "verdict_left_join_hot": f"{sides(er='hot_er', truth='hot_truth')} SELECT e.{S}, e.{T}, e.match_status_er, t.match_status_manual, "
+        f"{matrix('e.match_status_er', 't.match_status_manual')} AS error_matrix "
+        f"FROM er_ranked e LEFT JOIN (SELECT *, {STATUS} AS match_status_manual FROM tr_in) t ON e.{S} = t.{S} AND e.{T} = t.{T}",
         "error_matrix": f"{sides(exceptions=True)} SELECT {S}, {T}, match_status_er, error_matrix FROM ers",
         "error_matrix_skewed": f"{sides(**SKEWED)} SELECT {S}, {T}, match_status_er, error_matrix FROM ers",
         "pair_key": f"{with_clause('er_output')} SELECT {S}, {T}, {KEY} AS key_columns FROM er_output",
@@ -232,10 +239,16 @@ def statements() -> dict[str, str]:
         "mismatch_deviation_compat": f"{explained(compat=True)} SELECT {S}, {T}, mismatches_code, mismatch_deviation FROM result",
         "code_status": f"{joined()} SELECT coalesce(e_{S}, t_{S}) AS {S}, coalesce(e_{T}, t_{T}) AS {T}, mismatches_code, CASE WHEN zeros > 0 THEN 'Mismatch' ELSE 'Match' END AS code_status FROM j",
         "mismatch_type": f"{explained()} SELECT {S}, {T}, mismatches_code, extra_or_missing_flag, mismatch_type FROM result",
+        "sql_decoders": f"{explained()} SELECT {S}, {T}, mismatches_code, extra_or_missing_flag, mismatches_columns, "
+        "mismatches_columns AS mismatches_list, mismatch_deviation, CASE WHEN mismatches_code LIKE '%0%' THEN 'Mismatch' ELSE 'Match' END "
+        "AS code_status, mismatch_type FROM result",
         "suffix_strip": f"{joined()} SELECT {', '.join(f'e_{c} AS {c}' for c in PAIR_COLUMNS)} FROM j WHERE {CLASS} = 'match'",
         "report_view": f"{explained(exceptions=True)} SELECT {', '.join(REPORT_COLUMNS)} FROM result",
-        "run_counts": f"{joined(**SKEWED)}, copied AS (SELECT {cols}, human_review, count(*) AS n FROM tr_in GROUP BY ALL), "
-        f"weighed AS (SELECT {CLASS} AS class, coalesce(w.n, 1) AS copies FROM j LEFT JOIN copied w ON j.in_t AND {weigh_on}) {counts}",
+        "run_counts": run_counts,
+        "run_counts_observed": run_counts,
+        "saved_batches": f"WITH latest AS ({explained(er='er_candidates')} SELECT {FINAL} FROM result), "
+        f"other AS ({explained()} SELECT {FINAL} FROM result) "
+        f"SELECT * FROM latest UNION ALL SELECT * REPLACE ('20240202000000' AS batch_id) FROM other",
         "validate_full": f"{explained(exceptions=True)} SELECT {FINAL} FROM result",
         "validate_tables": f"{explained()} SELECT {FINAL} FROM result",
         "validate_full_compat": f"{explained(compat=True, exceptions=True)} SELECT {FINAL} FROM result",

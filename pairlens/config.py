@@ -120,9 +120,10 @@ class ValidationConfig:
     """Everything a run depends on besides its two inputs.
 
     ``compat`` reproduces the original tool's quirks; see README, "Two modes".
-    ``hot_pair_rows`` is how many truth rows of one pair a single join task
-    should handle; all pairs with more are split. Their list is broadcast and has
-    less than one entry in ``hot_pair_rows`` truth rows: keep it large on large tables.
+    ``hot_pair_rows`` is how many rows of one pair a single join task should handle; pairs with more
+    are split, unless they are less than a ``max_hot_pairs``-th of the table. Their list
+    is broadcast, and by that share it has fewer than ``max_hot_pairs`` entries.
+    ``exceptions`` is a literal of the plan; give a long list as a frame instead.
     """
 
     columns: tuple[str, ...] = PAIR_COLUMNS
@@ -137,6 +138,7 @@ class ValidationConfig:
     normalize_blanks: bool = False
     with_code_status: bool = False
     hot_pair_rows: int = 1_000_000
+    max_hot_pairs: int = 100_000
 
     def __post_init__(self) -> None:
         if len(self.key_columns) != 2:
@@ -150,8 +152,10 @@ class ValidationConfig:
             raise ValueError(f"not among the selected columns: {missing}")
         if len(set(self.columns)) != len(self.columns):
             raise ValueError("selected columns repeat")
-        if self.hot_pair_rows < 1:
-            raise ValueError("hot_pair_rows must be positive")
+        if self.hot_pair_rows < 1 or self.max_hot_pairs < 1:
+            raise ValueError("hot_pair_rows and max_hot_pairs must be positive")
+        if self.entity_column not in self.columns:
+            raise ValueError(f"entity column {self.entity_column} is not among the selected columns")
 
     @classmethod
     def compatible(cls, **changes) -> ValidationConfig:

@@ -39,6 +39,12 @@ def match_status(rule: MatchRule, flipped: Column | None = None) -> Column:
     return F.when(met, MATCHED).otherwise(NOT_MATCHED)
 
 
+def opposite(status: str | Column) -> Column:
+    """The other verdict."""
+    status = F.col(status) if isinstance(status, str) else status
+    return F.when(status == MATCHED, NOT_MATCHED).otherwise(MATCHED)
+
+
 def error_matrix(er_status: Column, truth_status: Column) -> Column:
     """TP, TN, FP or FN; NULL when either verdict is absent."""
     said_yes, is_yes = er_status == MATCHED, truth_status == MATCHED
@@ -49,3 +55,13 @@ def error_matrix(er_status: Column, truth_status: Column) -> Column:
         .when(said_yes & is_no, "FP")
         .when(said_no & is_yes, "FN")
     )
+
+
+def pair_matrix(er_status: Column, yes: Column, no: Column, flipped: Column | None = None) -> Column:
+    """The error matrix of a pair; where its truth rows disagree, one Matched is enough.
+
+    ``yes`` and ``no`` tell what the truth rows say, the other way round where ``flipped`` holds.
+    """
+    if flipped is not None:
+        yes, no = F.when(flipped, no).otherwise(yes), F.when(flipped, yes).otherwise(no)
+    return error_matrix(er_status, F.when(yes, MATCHED).when(no, NOT_MATCHED))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import ValidationConfig
 from ..functions.keys import pair_key
+from ..functions.rules import opposite, pair_matrix
 
 # Null-safe identity of a pair that equi-joins and groupings share, so that a
 # partitioning by it serves all of them: the keys with NULL read as '', and
@@ -46,35 +47,52 @@ def pairing_id(config: ValidationConfig) -> dict[str, Column]:
     return {c: F.col(c) for c in PAIR_ID}
 
 
-def heavy_pairs(profile: DataFrame, config: ValidationConfig) -> DataFrame:
-    """The pairs to split and into how many slots, from a truth profile.
+def _over_limit(load: DataFrame, ids: Iterable[str], splits: str, config: ValidationConfig) -> DataFrame:
+    """The pairs of ``load`` (ids, ``_rows``) to split, and into how many parts.
 
-    Every pair above ``hot_pair_rows`` is listed. Each entry stands for more than
-    that many truth rows, so a list has less than one entry in ``hot_pair_rows``
-    rows: a few megabytes for a million million rows at the default, which is what
-    makes it safe to broadcast.
+    A pair is listed if it has more than ``hot_pair_rows`` rows and more than a
+    ``max_hot_pairs``-th of all rows. Fewer than ``max_hot_pairs`` pairs can have that
+    many, whatever the data, which is what makes the list safe to broadcast; a pair left whole is
+    no more than that part of the table.
     """
+    share = load.agg(F.coalesce(F.sum("_rows"), F.lit(0)) / config.max_hot_pairs).scalar()
+    parts = F.ceil(F.col("_rows") / config.hot_pair_rows).cast("int").alias(splits)
+    return load.where((F.col("_rows") > config.hot_pair_rows) & (F.col("_rows") > share)).select(*ids, parts)
+
+
+def heavy_pairs(profile: DataFrame, config: ValidationConfig) -> DataFrame:
+    """The pairs to split by their truth rows, and into how many slots (``_splits``), from a truth profile."""
     ids = pairing_id(config)
     rows = F.col("_yes_rows") + F.col("_no_rows")
     load = profile.select(*[e.alias(n) for n, e in ids.items()], rows.alias("_rows"))
     if config.compat:
         load = load.groupBy(*ids).agg(F.sum("_rows").alias("_rows"))
-    splits = F.ceil(F.col("_rows") / config.hot_pair_rows).cast("int").alias("_splits")
-    return load.where(F.col("_rows") > config.hot_pair_rows).select(*ids, splits)
+    return _over_limit(load, ids, "_splits", config)
+
+
+def heavy_er_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
+    """The pairs to split by their ER rows (with ``PAIR_ID``), and into how many parts (``_parts``)."""
+    return _over_limit(er.groupBy(*PAIR_ID).agg(F.count(F.lit(1)).alias("_rows")), PAIR_ID, "_parts", config)
+
+
+def _every(count: str) -> Column:
+    """0 to the number of parts less one; 0 for a pair that is not split."""
+    return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(count), F.lit(1)) - 1))
+
+
+def _one_of(count: str, hashed: Iterable[str]) -> Column:
+    return F.pmod(F.xxhash64(*hashed), F.coalesce(F.col(count), F.lit(1))).cast("int")
 
 
 def spread_over_slots(unique: DataFrame, heavy: DataFrame, ids: Iterable[str]) -> DataFrame:
     """Repeat each row once per slot of its pair; adds ``_slot`` and ``_splits``."""
-    last = F.coalesce(F.col("_splits"), F.lit(1)) - 1
-    listed = unique.join(F.broadcast(heavy), list(ids), "left")
-    return listed.withColumn("_slot", F.explode(F.sequence(F.lit(0), last)))
+    return unique.join(F.broadcast(heavy), list(ids), "left").withColumn("_slot", _every("_splits"))
 
 
 def with_row_slot(rows: DataFrame, heavy: DataFrame, ids: Iterable[str], hashed: Iterable[str]) -> DataFrame:
     """Give each row one slot of its pair, by a hash of the row; adds ``_slot``."""
-    slots = F.coalesce(F.col("_splits"), F.lit(1))
     listed = rows.join(F.broadcast(heavy), list(ids), "left")
-    return listed.withColumn("_slot", F.pmod(F.xxhash64(*hashed), slots).cast("int")).drop("_splits")
+    return listed.withColumn("_slot", _one_of("_splits", hashed)).drop("_splits")
 
 
 def without_counterpart(rows: DataFrame, others: DataFrame, config: ValidationConfig) -> DataFrame:
@@ -84,25 +102,87 @@ def without_counterpart(rows: DataFrame, others: DataFrame, config: ValidationCo
     return rows.withColumns(ids).join(known, list(ids), "left_anti")
 
 
+def flips(exceptions: DataFrame, heavy: DataFrame | None, config: ValidationConfig) -> DataFrame:
+    """The exception pairs under what the sides are paired on (and ``_slot``, with ``heavy``): ``_flips``, an array of (_ka, _kb).
+
+    Repeats are removed here, so the frame crosses one exchange, with the key of the pairing.
+    """
+    ids = pairing_id(config)
+    keyed, on = exceptions.withColumns(ids), list(ids)
+    if heavy is not None:
+        keyed, on = spread_over_slots(keyed, heavy, ids), [*on, "_slot"]
+    return keyed.groupBy(*on).agg(F.collect_set(F.struct("_ka", "_kb")).alias("_flips"))
+
+
+def _flipped_rows(rows: DataFrame, flipping: DataFrame, on: list[str]) -> DataFrame:
+    """Truth rows with the verdict of exception pairs reversed; keeps ``_flips``."""
+    status = F.col("tf.match_status_manual")
+    flipped = (F.col("_kn") == 0) & F.array_contains("_flips", F.struct("_ka", "_kb"))
+    tf = F.col("tf").withField("match_status_manual", F.when(flipped, opposite(status)).otherwise(status))
+    return rows.join(flipping, on, "left").withColumn("tf", tf)
+
+
+def flip_truth(rows: DataFrame, exceptions: DataFrame | None, config: ValidationConfig) -> DataFrame:
+    """The truth ``rows`` (with ``PAIR_ID`` and the columns of ``pairing_id``) with the verdict of exception pairs reversed."""
+    if exceptions is None:
+        return rows
+    return _flipped_rows(rows, flips(exceptions, None, config), list(pairing_id(config)))
+
+
 def join_sides(
-    er: DataFrame, truth: DataFrame, heavy: DataFrame, config: ValidationConfig, how: str = "full_outer"
+    er: DataFrame,
+    truth: DataFrame,
+    heavy: DataFrame,
+    config: ValidationConfig,
+    exceptions: DataFrame | None = None,
+    how: str = "full_outer",
+    keep: Iterable[str] = (),
 ) -> DataFrame:
-    """Join of ER rows and truth rows by pair, a full outer one by default.
+    """Join of ER rows and truth rows by pair, a full outer one by default: eo, error_matrix, tf, copies, and ``keep`` of ``er``.
 
-    Both inputs carry ``PAIR_ID`` next to their own columns (``er``: eo,
-    error_matrix; ``truth``: tf, copies), which the result keeps. A side that
-    has no row for a pair is NULL.
+    Both inputs carry ``PAIR_ID`` next to their own columns (``er``: eo, said_yes,
+    said_no; ``truth``: tf, copies). A side that has no row for a pair is NULL. A frame of ``exceptions`` joins the truth
+    rows where they already are for the pairing, and reverses what they say there.
     """
     ids = pairing_id(config)
     on = [*ids, "_slot"]
     left = spread_over_slots(er.withColumns(ids), heavy, ids)
     right = with_row_slot(truth.withColumns(ids), heavy, ids, ["tf"])
-    left = left.select(*[F.col(c).alias(f"{c}_eo") for c in on], "eo", "error_matrix", "_splits")
-    right = right.select(*[F.col(c).alias(f"{c}_tf") for c in on], "tf", "copies")
+    flipped, kept = None, ["tf", "copies"]
+    if exceptions is not None:
+        right, kept = _flipped_rows(right, flips(exceptions, heavy, config), on), [*kept, "_flips"]
+        pair = [F.col(f"eo.{c}").alias(i) for c, i in zip(config.key_columns, PAIR_ID)]
+        flipped = F.array_contains("_flips", F.struct(*pair))
+    left = left.select(*[F.col(c).alias(f"{c}_eo") for c in on], "eo", "said_yes", "said_no", "_splits", *keep)
+    right = right.select(*[F.col(c).alias(f"{c}_tf") for c in on], *kept)
+    matrix = pair_matrix(F.col("eo.match_status_er"), F.col("said_yes"), F.col("said_no"), flipped)
     # A split pair has truth rows, so its ER row in a slot without any is surplus.
     surplus = F.col("_splits").isNotNull() & F.col("_slot_tf").isNull()
     return (
         left.join(right, [F.col(f"{c}_eo") == F.col(f"{c}_tf") for c in on], how)
         .where(~surplus)
-        .select("eo", "error_matrix", "tf", "copies")
+        .select("eo", matrix.alias("error_matrix"), "tf", "copies", *keep)
     )
+
+
+def join_all_rows(
+    er: DataFrame, truth: DataFrame, heavy: DataFrame, heavy_er: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None
+) -> DataFrame:
+    """Left join of ER rows and truth rows by pair, where both sides may repeat a pair: eo, er_copies, tf, copies.
+
+    Pairs hot on either side become a grid: ER rows are dealt to its rows and repeated over
+    its columns, truth rows the other way round, so every two rows meet in one cell, and a cell has
+    about ``hot_pair_rows`` rows of either side at most. ``er`` has ``PAIR_ID``, eo, er_copies; ``truth`` ``PAIR_ID``, tf, copies.
+    """
+    on = [*PAIR_ID, "_part", "_slot"]
+    grid = F.broadcast(heavy.join(F.broadcast(heavy_er), PAIR_ID, "full_outer"))
+    left = er.join(grid, PAIR_ID, "left").withColumn("_part", _one_of("_parts", ["eo"])).withColumn("_slot", _every("_splits"))
+    right = truth.join(grid, PAIR_ID, "left").withColumn("_slot", _one_of("_splits", ["tf"])).withColumn("_part", _every("_parts"))
+    if exceptions is not None:
+        cells = exceptions.join(grid, PAIR_ID, "left").withColumn("_slot", _every("_splits")).withColumn("_part", _every("_parts"))
+        right = _flipped_rows(right, cells.groupBy(*on).agg(F.collect_set(F.struct("_ka", "_kb")).alias("_flips")), on)
+    left = left.select(*[F.col(c).alias(f"{c}_eo") for c in on], "eo", "er_copies", "_splits")
+    right = right.select(*[F.col(c).alias(f"{c}_tf") for c in on], "tf", "copies")
+    surplus = F.col("_splits").isNotNull() & F.col("_slot_tf").isNull()
+    joined = left.join(right, [F.col(f"{c}_eo") == F.col(f"{c}_tf") for c in on], "left")
+    return joined.where(~surplus).select("eo", "er_copies", "tf", "copies")

@@ -21,7 +21,7 @@ from ..functions.decode import (
 from ..functions.keys import dashed_text, hashed_columns
 from .columns import ER_SIDE, TRUTH_SIDE
 from .pairing import PAIR_ID, with_pair_id
-from .verdict import FINGERPRINT, shown_columns, truth_verdicts
+from .verdict import FINGERPRINT, rule_verdict, shown_columns
 
 RECORD_CLASSES = ("match", "mismatch", "extra", "missing")
 
@@ -46,19 +46,21 @@ def _in_both() -> Column:
     return _in_er() & _in_truth()
 
 
-def truth_rows(truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None) -> DataFrame:
+def truth_rows(truth: DataFrame, config: ValidationConfig, listed: bool = True) -> DataFrame:
     """``PAIR_ID``, ``tf`` and ``copies``: distinct truth rows, how often each occurs.
 
     ER rows are unique per pair, so making the truth distinct here gives the
     same rows as making the joined result distinct, over half the columns.
     Copies are combined on the map side. Where the verdict reads columns that are
-    not shown, rows are distinct by what is shown and the verdict.
+    not shown, rows are distinct by what is shown and the verdict. The verdict is that of
+    the rule, for the configured exceptions its opposite if ``listed``; a frame of exceptions is left to the pairing.
     """
     shown, copies = shown_columns(truth, config), F.count(F.lit(1)).alias("copies")
+    verdict = rule_verdict(config, listed)
     if config.helper_columns:
-        scored = truth_verdicts(truth, config, exceptions).groupBy(*shown, "match_status_manual").agg(copies)
+        scored = truth.groupBy(*shown, verdict.alias("match_status_manual")).agg(copies)
     else:
-        scored = truth_verdicts(truth.groupBy(*shown).agg(copies), config, exceptions)
+        scored = truth.groupBy(*shown).agg(copies).withColumn("match_status_manual", verdict)
     tf = F.struct(*shown, "match_status_manual").alias("tf")
     return with_pair_id(scored, config).select(*PAIR_ID, tf, "copies")
 
@@ -136,9 +138,13 @@ def flat_records(records: DataFrame) -> DataFrame:
     return records.select(*unpacked, *[c for c in records.columns if c not in sides])
 
 
-def combine(*parts: DataFrame) -> DataFrame:
-    """Union by name without equal rows."""
-    return reduce(DataFrame.unionByName, parts).distinct()
+def combine(*parts: DataFrame, disjoint: bool = False) -> DataFrame:
+    """Union by name without equal rows.
+
+    ``disjoint`` says that no two rows of the parts are equal, so that none need to be looked for.
+    """
+    united = reduce(DataFrame.unionByName, parts)
+    return united if disjoint else united.distinct()
 
 
 def result_columns(config: ValidationConfig, batch_id: str) -> list[Column | str]:

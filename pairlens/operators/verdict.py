@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..config import MATCHED, NOT_MATCHED, ValidationConfig
+from ..config import MATCHED, ValidationConfig
 from ..functions.keys import row_fingerprint
-from ..functions.rules import error_matrix, match_status, meets_rule
-from .pairing import PAIR_ID, heavy_pairs, spread_over_slots, with_pair_id, with_row_slot
+from ..functions.rules import match_status, opposite, pair_matrix
+from .pairing import PAIR_ID, flips, heavy_pairs, with_pair_id, with_row_slot
 
 FINGERPRINT = "src_tgt_md5_hash_column"
 
@@ -20,37 +20,48 @@ def shown_columns(df: DataFrame, config: ValidationConfig) -> list[str]:
     return [c for c in df.columns if c not in config.helper_columns]
 
 
-def exception_pairs(like: DataFrame, config: ValidationConfig, given: DataFrame | None = None) -> DataFrame | None:
-    """The ``given`` exception pairs, else the configured ones, else None.
+def is_listed(config: ValidationConfig) -> Column:
+    """Is the pair of a row one of the configured exceptions? NULL where a key is.
 
-    Pairs whose truth verdict is flipped: ``PAIR_ID`` and ``_flipped``, unique. Nothing is
+    The list is a literal in the plan and looked up in a hash set, so it costs neither a join nor an exchange.
+    The length of the first key keeps pairs apart whose keys hold the separator.
+    """
+    first, second = (F.col(c).cast("string") for c in config.key_columns)
+    listed = [f"{len(a)}:{a}:{b}" for a, b in config.exceptions if a is not None and b is not None]
+    return F.concat(F.length(first).cast("string"), F.lit(":"), first, F.lit(":"), second).isin(listed)
+
+
+def exception_pairs(config: ValidationConfig, given: DataFrame | None) -> DataFrame | None:
+    """``PAIR_ID`` of the ``given`` exception pairs without NULL keys, repeats included; None without them.
+
+    Pairs whose truth verdict is flipped. They replace the configured list. Nothing is
     hinted: Spark broadcasts the list if its size, known or measured, allows.
     """
     if given is None:
-        if not config.exceptions:
-            return None
-        names = ", ".join(f"{c} string" for c in config.key_columns)
-        given = like.sparkSession.createDataFrame(list(config.exceptions), names)
-    keyed = given.select(*[F.col(c).cast("string").alias(c) for c in config.key_columns]).dropna().distinct()
-    return with_pair_id(keyed, config).select(*PAIR_ID, F.lit(True).alias("_flipped"))
+        return None
+    keyed = given.select(*[F.col(c).cast("string").alias(c) for c in config.key_columns]).dropna()
+    return with_pair_id(keyed, config).select(*PAIR_ID)
 
 
-def truth_verdicts(
-    truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None
-) -> DataFrame:
+def rule_verdict(config: ValidationConfig, listed: bool) -> Column:
+    """``match_status_manual`` before a frame of exceptions: by the rule, flipped for the configured pairs if ``listed``."""
+    return match_status(config.rule, is_listed(config) if listed and config.exceptions else None)
+
+
+def truth_verdicts(truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None) -> DataFrame:
     """Add ``match_status_manual``, flipped for the exception pairs.
 
-    Exceptions are unique, so the join adds no rows. Where it shuffles, hot pairs are
-    split as everywhere.
+    A given frame is joined with the rows, hot pairs split as everywhere; the configured list needs no join.
     """
+    scored = truth.withColumn("match_status_manual", rule_verdict(config, listed=exceptions is None))
     if exceptions is None:
-        return truth.withColumn("match_status_manual", match_status(config.rule))
+        return scored
     by_pair = config.but(compat=False)
     heavy = heavy_pairs(truth_profile(truth, by_pair), by_pair)
-    rows = with_row_slot(with_pair_id(truth, config), heavy, PAIR_ID, truth.columns)
-    joined = rows.join(spread_over_slots(exceptions, heavy, PAIR_ID), [*PAIR_ID, "_slot"], "left")
-    status = match_status(config.rule, F.col("_flipped")).alias("match_status_manual")
-    return joined.select(*truth.columns, status)
+    rows = with_row_slot(with_pair_id(scored, config), heavy, PAIR_ID, scored.columns)
+    joined = rows.join(flips(exceptions, heavy, by_pair), [*PAIR_ID, "_slot"], "left")
+    status = F.when(F.col("_flips").isNull(), F.col("match_status_manual")).otherwise(opposite("match_status_manual"))
+    return joined.select(*truth.columns, status.alias("match_status_manual"))
 
 
 def unique_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
@@ -58,21 +69,14 @@ def unique_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
 
     Best rank first, then highest score, then fingerprint; equal fingerprints
     are settled by the column values, so the survivor never depends on row
-    order. The minimum is combined on the map side: however many rows a pair
-    has, each task sends on at most one.
+    order. Rows are compared by the few fixed-width fields before them; no aggregate holds a row. Spark
+    cuts every pair to one row before the exchange as well: however many rows a pair has, each task sends on one.
     """
-    # The fingerprint leads the row, so comparing rows compares it first.
     row = F.struct(row_fingerprint(config.columns).alias(FINGERPRINT), *shown_columns(er, config))
     packed = with_pair_id(er, config).select(*PAIR_ID, row.alias("eo"), "er_rank", "er_score")
-    rank, score = F.col("er_rank"), F.col("er_score")
-    preference = F.struct(
-        rank.isNull().alias("unranked"),
-        rank.alias("rank"),
-        score.isNull().alias("unscored"),
-        (-score).alias("score"),
-        "eo",
-    )
-    return packed.groupBy(*PAIR_ID).agg(F.min(preference)["eo"].alias("eo"))
+    preference = (F.col("er_rank").asc_nulls_last(), F.col("er_score").desc_nulls_last(), F.col(f"eo.{FINGERPRINT}"), F.col("eo"))
+    place = F.row_number().over(Window.partitionBy(*PAIR_ID).orderBy(*preference))
+    return packed.withColumn("_place", place).where(F.col("_place") == 1).select(*PAIR_ID, "eo")
 
 
 def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
@@ -81,15 +85,15 @@ def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
 
 
 def truth_profile(
-    truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None
+    truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None, listed: bool = False
 ) -> DataFrame:
     """Per pair: how many truth rows say Matched, and how many do not?
 
     Two counters with map-side combine over keys and scores only. Every user
     of the profile needs both, so their plans share one exchange. Exceptions
-    concern whole pairs, so they swap the two counters afterwards.
+    concern whole pairs, so a frame of them swaps the two counters afterwards; ``listed`` applies the configured ones.
     """
-    met = F.coalesce(meets_rule(config.rule), F.lit(False))
+    met = rule_verdict(config, listed) == MATCHED
     yes, no = F.col("_yes_rows"), F.col("_no_rows")
     profile = (
         with_pair_id(truth, config)
@@ -99,20 +103,26 @@ def truth_profile(
     if exceptions is None:
         return profile
     flipped = F.col("_flipped").isNotNull()
-    return profile.join(exceptions, PAIR_ID, "left").select(
+    return profile.join(exceptions.distinct().withColumn("_flipped", F.lit(True)), PAIR_ID, "left").select(
         *PAIR_ID,
         F.when(flipped, no).otherwise(yes).alias("_yes_rows"),
         F.when(flipped, yes).otherwise(no).alias("_no_rows"),
     )
 
 
-def with_error_matrix(unique: DataFrame, profile: DataFrame, config: ValidationConfig) -> DataFrame:
-    """Classify each unique ER pair against the truth verdict of its pair.
+def with_truth(unique: DataFrame, profile: DataFrame) -> DataFrame:
+    """Each unique ER pair with ``said_yes`` and ``said_no``: does a truth row of its pair say so? NULL without truth rows.
 
-    Where truth rows of one pair disagree, one Matched is enough. Pairs with a
-    NULL key never meet the truth here. Both inputs are already partitioned by
-    the pair, so the join moves no rows.
+    ``pair_rows`` is how many truth rows the pair has. Pairs with a NULL key never meet the truth's verdicts here. Both inputs are already partitioned by the pair, so
+    the join moves no rows.
     """
-    truth_status = F.when(F.col("_yes_rows") > 0, MATCHED).when(F.col("_no_rows") > 0, NOT_MATCHED)
-    matrix = F.when(F.col("_kn") == 0, error_matrix(F.col("eo.match_status_er"), truth_status))
-    return unique.join(profile, PAIR_ID, "left").select(*unique.columns, matrix.alias("error_matrix"))
+    known = F.col("_kn") == 0
+    said = [F.when(known, F.col(f"_{s}_rows") > 0).alias(f"said_{s}") for s in ("yes", "no")]
+    pair_rows = (F.col("_yes_rows") + F.col("_no_rows")).alias("pair_rows")
+    return unique.join(profile, PAIR_ID, "left").select(*unique.columns, *said, pair_rows)
+
+
+def with_error_matrix(unique: DataFrame, profile: DataFrame) -> DataFrame:
+    """Classify each unique ER pair against the truth verdict of its pair."""
+    matrix = pair_matrix(F.col("eo.match_status_er"), F.col("said_yes"), F.col("said_no"))
+    return with_truth(unique, profile).select(*unique.columns, matrix.alias("error_matrix"))

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..config import ValidationConfig
 from ..functions.rules import error_matrix
 from ..operators.columns import fill_blanks
 from ..operators.counts import pair_counts
-from ..operators.pairing import PAIR_ID, heavy_pairs, join_sides, with_pair_id, without_counterpart
+from ..operators.pairing import (
+    PAIR_ID,
+    flip_truth,
+    heavy_er_pairs,
+    heavy_pairs,
+    join_all_rows,
+    join_sides,
+    with_pair_id,
+    without_counterpart,
+)
 from ..operators.records import (
     RECORD_CLASSES,
     classify_records,
+    combine,
     flat_records,
     result_columns,
     truth_rows,
@@ -27,9 +38,10 @@ from ..operators.verdict import (
     truth_profile,
     unique_pairs,
     with_error_matrix,
+    with_truth,
 )
 from ..schema import conform
-from ..sources.sinks import report, save
+from ..sources.sinks import report, save, save_batch
 from ..sources.tables import read_table
 
 
@@ -40,7 +52,7 @@ def new_batch_id() -> str:
 class Validator:
     """Compares an ER output with a truth table.
 
-    Nothing here runs a job except ``save``. ``exceptions`` may be a DataFrame holding the two
+    Nothing here runs a job except what is called ``save``. ``exceptions`` may be a DataFrame holding the two
     key columns; it replaces the pairs of the configuration.
     """
 
@@ -64,38 +76,46 @@ class Validator:
     def _cleaned(self, df: DataFrame) -> DataFrame:
         return fill_blanks(df) if self.config.normalize_blanks else df
 
-    def _exception_pairs(self, truth: DataFrame) -> DataFrame | None:
-        return exception_pairs(truth, self.config, self._exceptions)
+    def _exception_pairs(self) -> DataFrame | None:
+        return exception_pairs(self.config, self._exceptions)
+
+    @property
+    def _listed(self) -> bool:
+        """Do the configured exceptions count?"""
+        return self._exceptions is None
 
     # -- stages -----------------------------------------------------------
-    def _score(self, er: DataFrame, profile: DataFrame) -> DataFrame:
-        unique = unique_pairs(er_verdicts(er, self.config), self.config)
-        return with_error_matrix(unique, profile, self.config)
+    def _unique(self, er: DataFrame) -> DataFrame:
+        return unique_pairs(er_verdicts(er, self.config), self.config)
 
     def scored_pairs(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Unique ER pairs with their verdict, fingerprint and error matrix."""
-        truth = self.truth_input(truth_df)
-        profile = truth_profile(truth, self.config, self._exception_pairs(truth))
-        return self._score(self.er_input(er_df), profile).select("eo.*", "error_matrix")
+        profile = truth_profile(self.truth_input(truth_df), self.config, self._exception_pairs(), self._listed)
+        return with_error_matrix(self._unique(self.er_input(er_df)), profile).select("eo.*", "error_matrix")
 
     def verdict_pairs(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Every ER row with the verdict of every truth row of its pair.
 
         A left join on both keys by plain equality, repeated rows of either side
         included: ER rows without truth rows, or with a NULL key, appear once and
-        without a truth verdict. Copies of a truth row travel as one row with their
-        number; pairs hot in the truth are split. A pair hot on both sides multiplies.
+        without a truth verdict. Copies of a row travel as one row with their
+        number; pairs hot on either side, or on both, are split.
         """
         config = self.config.but(compat=False)
         truth = self.truth_input(truth_df).dropna(subset=list(config.key_columns))
-        exceptions = self._exception_pairs(truth)
-        profile = truth_profile(truth, config, exceptions)
         er = er_verdicts(self.er_input(er_df), config)
-        packed = with_pair_id(er, config).select(
-            *PAIR_ID, F.struct(*shown_columns(er, config)).alias("eo"), F.lit(None).cast("string").alias("error_matrix")
+        shown = shown_columns(er, config)
+        distinct = er.groupBy(*shown).agg(F.count(F.lit(1)).alias("er_copies"))
+        packed = with_pair_id(distinct, config).select(*PAIR_ID, F.struct(*shown).alias("eo"), "er_copies")
+        joined = join_all_rows(
+            packed,
+            truth_rows(truth, config, self._listed),
+            heavy_pairs(truth_profile(truth, config), config),
+            heavy_er_pairs(with_pair_id(er, config), config),
+            config,
+            self._exception_pairs(),
         )
-        joined = join_sides(packed, truth_rows(truth, config, exceptions), heavy_pairs(profile, config), config, "left")
-        repeats = F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)))
+        repeats = F.sequence(F.lit(1).cast("long"), F.col("er_copies") * F.coalesce("copies", F.lit(1)))
         er_status, truth_status = F.col("eo.match_status_er"), F.col("tf.match_status_manual")
         return joined.withColumn("copy", F.explode(repeats)).select(
             "eo.*",
@@ -103,23 +123,39 @@ class Validator:
             error_matrix(er_status, truth_status).alias("error_matrix"),
         )
 
+    def _joined(self, er: DataFrame, truth: DataFrame, how: str = "full_outer", keep: Iterable[str] = ()) -> DataFrame:
+        """Both sides by pair: eo, error_matrix, tf, copies, and ``keep`` of what ``with_truth`` gives."""
+        config = self.config
+        profile = truth_profile(truth, config, listed=self._listed)
+        scored, rows = with_truth(self._unique(er), profile), truth_rows(truth, config, self._listed)
+        return join_sides(scored, rows, heavy_pairs(profile, config), config, self._exception_pairs(), how, keep)
+
     def records(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Every record of either side once per counterpart, classified and coded.
 
         The sides are structs ``eo`` and ``tf``; ``record_class`` tells match,
         mismatch, extra and missing records apart.
         """
+        joined = self._joined(self.er_input(er_df), self.truth_input(truth_df))
+        return with_codes(classify_records(joined, self.config), self.config)
+
+    def _unmatched(self, record_class: str, er: DataFrame, truth: DataFrame) -> DataFrame:
+        """Extra or missing records by an anti join, coded."""
         config = self.config
-        truth = self.truth_input(truth_df)
-        exceptions = self._exception_pairs(truth)
-        profile = truth_profile(truth, config, exceptions)
-        joined = join_sides(
-            self._score(self.er_input(er_df), profile),
-            truth_rows(truth, config, exceptions),
-            heavy_pairs(profile, config),
-            config,
-        )
-        return with_codes(classify_records(joined, config), config)
+        unique, rows = self._unique(er), truth_rows(truth, config, self._listed)
+        no_matrix = F.lit(None).cast("string").alias("error_matrix")
+        if record_class == "extra":
+            no_truth = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("tf", "copies")]
+            pairs = without_counterpart(unique, truth, config).select("eo", no_matrix, *no_truth)
+        else:
+            no_er = F.lit(None).cast(unique.schema["eo"].dataType).alias("eo")
+            alone = flip_truth(without_counterpart(rows, er, config), self._exception_pairs(), config)
+            pairs = alone.select(no_er, no_matrix, "tf", "copies")
+        return with_codes(classify_records(pairs, config), config)
+
+    def _compared(self, er: DataFrame, truth: DataFrame) -> DataFrame:
+        """Matches and mismatches by one inner join, coded."""
+        return with_codes(classify_records(self._joined(er, truth, "inner"), self.config), self.config)
 
     def records_of(self, record_class: str, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """The records of one class, sides unpacked into suffixed columns.
@@ -129,29 +165,59 @@ class Validator:
         """
         if record_class not in RECORD_CLASSES:
             raise ValueError(f"record class must be one of {RECORD_CLASSES}")
-        config, er, truth = self.config, self.er_input(er_df), self.truth_input(truth_df)
-        exceptions = self._exception_pairs(truth)
-        unique = unique_pairs(er_verdicts(er, config), config)
-        rows = truth_rows(truth, config, exceptions)
-        no_matrix = F.lit(None).cast("string").alias("error_matrix")
-        if record_class == "extra":
-            no_truth = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("tf", "copies")]
-            pairs = without_counterpart(unique, truth, config).select("eo", no_matrix, *no_truth)
-        elif record_class == "missing":
-            no_er = F.lit(None).cast(unique.schema["eo"].dataType).alias("eo")
-            pairs = without_counterpart(rows, er, config).select(no_er, no_matrix, "tf", "copies")
-        else:
-            profile = truth_profile(truth, config, exceptions)
-            scored = with_error_matrix(unique, profile, config)
-            pairs = join_sides(scored, rows, heavy_pairs(profile, config), config, "inner")
-        records = with_codes(classify_records(pairs, config), config)
-        return flat_records(records.where(F.col("record_class") == record_class))
+        er, truth = self.er_input(er_df), self.truth_input(truth_df)
+        if record_class in ("extra", "missing"):
+            return flat_records(self._unmatched(record_class, er, truth))
+        return flat_records(self._compared(er, truth).where(F.col("record_class") == record_class))
+
+    def united(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
+        """The records of all classes, each by the join of its class, united without equal rows.
+
+        One inner join gives matches and mismatches. ER rows are unique and truth rows distinct before any join, and a
+        record has one class, so no two rows can be equal and no further exchange has to look for them.
+        """
+        er, truth = self.er_input(er_df), self.truth_input(truth_df)
+        parts = [self._compared(er, truth), *(self._unmatched(c, er, truth) for c in ("extra", "missing"))]
+        return combine(*map(flat_records, parts), disjoint=True)
 
     def explain(self, records: DataFrame) -> DataFrame:
         """Decode the codes of ``records`` and project the final columns."""
         return with_explanations(records, self.config).select(*result_columns(self.config, self.batch_id))
 
     # -- entry points -----------------------------------------------------
+    def run_observed(self, er_df: DataFrame, truth_df: DataFrame) -> tuple[DataFrame, Observation]:
+        """The result of ``run``, and its counts as a by-product: the six numbers of ``counts`` once an action has run.
+
+        All are counted in the last stage, of which Spark counts every task once, also when executors are lost. An ER pair meets
+        several truth rows there, so each of them counts for its share of the pair. Not for ``compat``, which can pair one truth row
+        with several ER pairs; use ``counts`` there.
+        """
+        if self.config.compat:
+            raise ValueError("compat mode pairs by key text; use counts()")
+        joined = self._joined(self.er_input(er_df), self.truth_input(truth_df), keep=["pair_rows"])
+        records = classify_records(joined, self.config)
+        is_class, copies = {c: F.col("record_class") == c for c in RECORD_CLASSES}, F.coalesce("copies", F.lit(1))
+        share = copies.cast("decimal(20,0)") / F.col("pair_rows").cast("decimal(20,0)")
+        pairs = F.when(is_class["extra"], 1).when(~is_class["missing"], share)
+
+        def total(value: Column, name: str) -> Column:
+            return F.coalesce(F.round(F.sum(value)).cast("long"), F.lit(0).cast("long")).alias(name)
+
+        seen = Observation()
+        observed = records.observe(
+            seen,
+            total(pairs, "source"),
+            total(F.when(~is_class["extra"], copies), "target"),
+            *[total(F.when(held, copies), name) for name, held in is_class.items()],
+        )
+        return self.explain(with_codes(observed.drop("pair_rows"), self.config)), seen
+
+    def save_observed(self, er_df: DataFrame, truth_df: DataFrame, path: str, format: str = "parquet", **options) -> dict[str, int]:
+        """Write the result of a run by one action and return its six counts."""
+        result, seen = self.run_observed(er_df, truth_df)
+        self.save(result, path, format, **options)
+        return seen.get
+
     def run(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         return self.explain(self.records(er_df, truth_df))
 
@@ -164,6 +230,10 @@ class Validator:
     def save(self, result: DataFrame, path: str, format: str = "parquet", **options) -> None:
         save(result, path, format, **options)
 
+    def save_batch(self, result: DataFrame, path: str, format: str = "parquet", **options) -> None:
+        """Write a result next to other batches; a repeated run replaces its own."""
+        save_batch(result, path, format, **options)
+
     def counts(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Rows (metric, rows): source, target, match, mismatch, extra, missing.
 

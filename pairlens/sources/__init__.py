@@ -1,12 +1,16 @@
-from .sinks import report, save
+from .sinks import report, save, save_batch
+from .sql import DECODERS, register_decoders
 from .tables import er_scan, fingerprinted_table, read_table, register_views, truth_scan
 
 __all__ = [
+    "DECODERS",
     "er_scan",
     "fingerprinted_table",
     "read_table",
+    "register_decoders",
     "register_views",
     "report",
     "save",
+    "save_batch",
     "truth_scan",
 ]

@@ -25,6 +25,15 @@ def save(
     writer.save(path)
 
 
+def save_batch(result: DataFrame, path: str, format: str = "parquet", batch_column: str = "batch_id", **options) -> None:
+    """Write a result next to those of other batches.
+
+    One folder per batch: a repeated run replaces its own batch and leaves the others alone. Spark swaps the new files in
+    when the job commits, so a run that fails keeps the old ones. The format must be one of files (Parquet, ORC, JSON, CSV).
+    """
+    save(result, path, format, partition_by=[batch_column], partitionOverwriteMode="dynamic", **options)
+
+
 def report(result: DataFrame, columns: Iterable[str] = REPORT_COLUMNS) -> DataFrame:
     """The columns people read; Spark prunes whatever only the others need."""
     return result.select(*columns)

@@ -27,7 +27,7 @@ def truth_scan(
 ) -> DataFrame:
     """The selected columns of a truth table with ``match_status_manual`` and ``human_review``."""
     truth = conform(df, config, "human_review")
-    scored = truth_verdicts(truth, config, exception_pairs(truth, config, exceptions))
+    scored = truth_verdicts(truth, config, exception_pairs(config, exceptions))
     return scored.select(*config.columns, "match_status_manual", "human_review")
 
 

@@ -7,7 +7,10 @@ import pytest
 
 from frames import COMPAT, er_frame, truth_frame
 from pairlens import ValidationConfig, Validator, tune
+from pairlens.operators.pairing import PAIR_ID, heavy_pairs
 from pairlens.operators.records import flat_records
+from pairlens.operators.verdict import truth_profile
+from pairlens.sources import er_scan, truth_scan
 from test_random import random_rows
 
 NODE = re.compile(r"^[\s:+\-*|]*(?:\*?\(\d+\) )?(\w+)")
@@ -17,6 +20,20 @@ def nodes(plan: str) -> list[str]:
     return [m.group(1) for line in plan.splitlines() if (m := NODE.match(line))]
 
 
+def final(df) -> str:
+    """The plan as executed, subqueries included, without the initial plans."""
+    kept, skipped = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        start = re.search(r"[\w=*]", line)
+        at = start.start() if start else 0
+        if skipped is not None and at >= skipped:
+            continue
+        skipped = at if "== Initial Plan ==" in line else None
+        if skipped is None:
+            kept.append(line)
+    return "\n".join(kept)
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("pairs")
@@ -26,15 +43,15 @@ def tables(spark, tmp_path_factory):
     return spark.read.parquet(f"{root}/er"), spark.read.parquet(f"{root}/truth")
 
 
-def executed(spark, tables, config, broadcast="-1"):
+def executed(spark, tables, config, broadcast="-1", exceptions=None):
     """The plan after adaptive execution, without runtime broadcasts by default."""
     tune(spark)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        result = Validator(config, "b").run(*tables)
+        result = Validator(config, "b", exceptions).run(*tables)
         result.collect()
-        return result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return final(result)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
@@ -74,9 +91,6 @@ def test_hot_pairs_are_split(spark, tables):
 
 def test_split_pair_is_spread_over_slots(spark, tables):
     """Every pair over the limit is listed, with its row count over the limit as slots."""
-    from pairlens.operators.pairing import PAIR_ID, heavy_pairs
-    from pairlens.operators.verdict import truth_profile
-
     config = ValidationConfig(hot_pair_rows=5)
     heavy = heavy_pairs(truth_profile(tables[1], config), config).collect()
     per_pair = {tuple(r[:2]): r[2] for r in tables[1].groupBy("source_primary_key", "target_primary_key").count().collect()}
@@ -90,13 +104,49 @@ def test_counts_build_no_records(spark, tables, config):
     tune(spark)
     result = Validator(config).counts(*tables)
     found = dict(result.collect())
-    plan = result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    plan = final(result)
     kinds = nodes(plan)
     assert kinds.count("FileScan") == 3 and "mismatches_code" not in plan and "Python" not in plan
     assert found["source"] == tables[0].select("source_primary_key", "target_primary_key").distinct().count()
     assert found["target"] == tables[1].count()
 
 
+def test_configured_exceptions_add_nothing_to_the_plan(spark, tables):
+    """The list is a literal: the same joins, exchanges and scans as without."""
+    config = ValidationConfig(hot_pair_rows=10**9)
+    pairs = [tuple(r) for r in tables[1].select("source_primary_key", "target_primary_key").distinct().collect()]
+    without, listed = (nodes(executed(spark, tables, config.but(exceptions=tuple(p)))) for p in ((), pairs))
+    for kind in ("SortMergeJoin", "BroadcastHashJoin", "Exchange", "FileScan", "SortAggregate", "HashAggregate"):
+        assert listed.count(kind) == without.count(kind), kind
+
+
+@pytest.mark.parametrize("hot", [2, 10**9])
+@pytest.mark.parametrize("config", [ValidationConfig(), COMPAT.but(labels=ValidationConfig().columns)])
+def test_a_frame_of_exceptions_adds_its_own_exchange_only(spark, tables, config, hot):
+    config = config.but(hot_pair_rows=hot)
+    given = tables[1].select("source_primary_key", "target_primary_key")
+    without, joined = nodes(executed(spark, tables, config)), nodes(executed(spark, tables, config, exceptions=given))
+    assert joined.count("SortMergeJoin") == without.count("SortMergeJoin") + 1
+    assert joined.count("Exchange") == without.count("Exchange") + 1
+    assert joined.count("FileScan") == without.count("FileScan") + 1
+
+
+@pytest.mark.parametrize("config", [ValidationConfig(), COMPAT.but(labels=ValidationConfig().columns)])
+def test_listed_and_given_exceptions_agree(spark, tables, config):
+    """NULL keys, '' and keys with dashes included; every class by its own join as well."""
+    keys = ["source_primary_key", "target_primary_key"]
+    given = tables[1].select(*keys).distinct().where("source_primary_key <> 'b' OR source_primary_key IS NULL")
+    pairs = tuple(tuple(r) for r in given.collect())
+    for hot in (1, 10**9):
+        listed = Validator(config.but(hot_pair_rows=hot, exceptions=pairs), "b")
+        framed = Validator(config.but(hot_pair_rows=hot), "b", given.unionAll(given))
+        assert flat(listed.run(*tables)) == flat(framed.run(*tables)) != flat(Validator(config, "b").run(*tables))
+        assert flat(listed.scored_pairs(*tables)) == flat(framed.scored_pairs(*tables))
+        assert flat(listed.verdict_pairs(*tables)) == flat(framed.verdict_pairs(*tables))
+        for name in ("match", "mismatch", "extra", "missing"):
+            assert flat(listed.records_of(name, *tables)) == flat(framed.records_of(name, *tables))
+
+
 def test_exceptions_run_no_job_while_the_plan_is_built(spark, tables):
     tracker, group = spark.sparkContext.statusTracker(), "plan-only"
     given = tables[1].select("source_primary_key", "target_primary_key").distinct()
@@ -132,6 +182,28 @@ def test_plain_verdict_join_keeps_repeated_rows(spark, tables):
         assert pairs.count() == left.join(right, keys, "left").count()
 
 
+@pytest.mark.parametrize("hot", [1, 3, 10**9])
+def test_verdict_join_of_pairs_hot_on_both_sides(spark, tables, hot):
+    """The grid gives what a plain join gives, repeated rows of both sides included."""
+    er, truth = (t.union(t.where("source_primary_key = 'a'")) for t in tables)
+    keys = ["source_primary_key", "target_primary_key"]
+    pairs = Validator(ValidationConfig(hot_pair_rows=hot)).verdict_pairs(er, truth)
+    said = er_scan(er, ValidationConfig()).join(truth_scan(truth, ValidationConfig()).select(*keys, "match_status_manual"), keys, "left")
+    columns = [*keys, "er_score", "match_status_er", "match_status_manual"]
+    assert flat(pairs.select(*columns)) == flat(said.select(*columns))
+
+
+def test_list_of_hot_pairs_is_bounded(spark, tables):
+    """Whatever ``hot_pair_rows``, fewer than ``max_hot_pairs`` pairs are listed, the largest."""
+    truth = truth_profile(tables[1], ValidationConfig())
+    for most in (1, 2, 4, 10):
+        listed = heavy_pairs(truth, ValidationConfig(hot_pair_rows=1, max_hot_pairs=most)).collect()
+        assert len(listed) < most
+    assert listed
+    config = ValidationConfig(hot_pair_rows=1)
+    assert flat(Validator(config, "b").run(*tables)) == flat(Validator(config.but(max_hot_pairs=2), "b").run(*tables))
+
+
 def test_repartitioned_input_changes_nothing(spark, tables):
     er, truth = tables
     config = ValidationConfig(hot_pair_rows=3)
