@@ -332,6 +332,13 @@ def validate_skewed_compat(spark, sf_dir):
     return Validator(config, BATCH_ID).run(*_skewed(spark, sf_dir))
 
 
+def validate_stored(spark, sf_dir):
+    """Both sides stored in buckets by pair first, the hot pair and NULL keys apart."""
+    validator = Validator(DEFAULT.but(**SPLITTING), BATCH_ID)
+    validator.store(*_skewed(spark, sf_dir), "pairlens_stored", buckets=8, path=shared_path(spark, "stored"))
+    return validator.run_stored(spark, "pairlens_stored")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The full validation of the derived pair tables."""
     return validate_full(spark, "/root/testdata/sf0.001")
@@ -387,6 +394,7 @@ def _validation_queries() -> dict[str, Query]:
         "validate_blanks_normalized": validate_blanks_normalized,
         "validate_narrow": validate_narrow,
         "validate_skewed": validate_skewed,
+        "validate_stored": validate_stored,
         "validate_skewed_compat": validate_skewed_compat,
     }
 

@@ -255,6 +255,7 @@ def statements() -> dict[str, str]:
         "validate_candidates": f"{explained(er='er_candidates')} SELECT {FINAL} FROM result",
         "validate_blanks_normalized": f"{explained(normalize=True)} SELECT {FINAL} FROM result",
         "validate_narrow": f"{explained(columns=NARROW, **SKEWED)} SELECT * FROM result",
+        "validate_stored": f"{explained(**SKEWED)} SELECT {FINAL} FROM result",
         "validate_skewed": f"{explained(**SKEWED)} SELECT {FINAL} FROM result",
         "validate_skewed_compat": f"{explained(compat=True, labels=PAIR_COLUMNS, **SKEWED)} SELECT {FINAL} FROM result",
     }

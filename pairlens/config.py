@@ -73,6 +73,23 @@ REPORT_COLUMNS = (
     "batch_id",
 )
 
+# What a result has besides the compared columns.
+RESULT_COLUMNS = (
+    "match_status_er",
+    "error_matrix",
+    "src_tgt_md5_hash_column",
+    "match_status_manual",
+    "human_review",
+    "validation_status",
+    "mismatches_code",
+    "extra_or_missing_flag",
+    "mismatches_columns",
+    "mismatch_deviation",
+    "mismatch_type",
+    "batch_id",
+    "code_status",
+)
+
 # Columns that belong to a scored table but never to its fingerprint.
 NOT_HASHED = ("human_review", "match_status_er", "match_status_manual", "error_matrix")
 
@@ -156,6 +173,9 @@ class ValidationConfig:
             raise ValueError("hot_pair_rows and max_hot_pairs must be positive")
         if self.entity_column not in self.columns:
             raise ValueError(f"entity column {self.entity_column} is not among the selected columns")
+        unknown = [c for c in self.report_columns if c not in (*self.columns, *RESULT_COLUMNS)]
+        if unknown:
+            raise ValueError(f"the result has no columns {unknown} to report")
 
     @classmethod
     def compatible(cls, **changes) -> ValidationConfig:

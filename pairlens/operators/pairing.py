@@ -25,7 +25,11 @@ from ..functions.rules import opposite, pair_matrix
 PAIR_ID = ["_ka", "_kb", "_kn"]
 
 
-def with_pair_id(df: DataFrame, config: ValidationConfig) -> DataFrame:
+def with_pair_id(df: DataFrame, config: ValidationConfig, stored: bool = False) -> DataFrame:
+    """Add ``PAIR_ID``; for rows ``stored`` by pair, without NULL keys, the keys as they are, so that Spark sees the storage's order."""
+    if stored:
+        keys = {i: F.col(c) for i, c in zip(PAIR_ID, config.key_columns)}
+        return df.withColumns({**keys, "_kn": F.lit(0)})
     first, second = (F.col(c) for c in config.key_columns)
     return df.withColumns(
         {
@@ -47,7 +51,7 @@ def pairing_id(config: ValidationConfig) -> dict[str, Column]:
     return {c: F.col(c) for c in PAIR_ID}
 
 
-def _over_limit(load: DataFrame, ids: Iterable[str], splits: str, config: ValidationConfig) -> DataFrame:
+def over_limit(load: DataFrame, ids: Iterable[str], splits: str, config: ValidationConfig) -> DataFrame:
     """The pairs of ``load`` (ids, ``_rows``) to split, and into how many parts.
 
     A pair is listed if it has more than ``hot_pair_rows`` rows and more than a
@@ -67,12 +71,12 @@ def heavy_pairs(profile: DataFrame, config: ValidationConfig) -> DataFrame:
     load = profile.select(*[e.alias(n) for n, e in ids.items()], rows.alias("_rows"))
     if config.compat:
         load = load.groupBy(*ids).agg(F.sum("_rows").alias("_rows"))
-    return _over_limit(load, ids, "_splits", config)
+    return over_limit(load, ids, "_splits", config)
 
 
 def heavy_er_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
     """The pairs to split by their ER rows (with ``PAIR_ID``), and into how many parts (``_parts``)."""
-    return _over_limit(er.groupBy(*PAIR_ID).agg(F.count(F.lit(1)).alias("_rows")), PAIR_ID, "_parts", config)
+    return over_limit(er.groupBy(*PAIR_ID).agg(F.count(F.lit(1)).alias("_rows")), PAIR_ID, "_parts", config)
 
 
 def _every(count: str) -> Column:
@@ -165,6 +169,16 @@ def join_sides(
     )
 
 
+def join_stored(er: DataFrame, truth: DataFrame) -> DataFrame:
+    """What ``join_sides`` gives, for two sides stored by pair without NULL keys and hot pairs: a plain join on the keys as they lie."""
+    on = PAIR_ID[:2]
+    left = er.select(*[F.col(c).alias(f"{c}_eo") for c in on], "eo", "said_yes", "said_no")
+    right = truth.select(*[F.col(c).alias(f"{c}_tf") for c in on], "tf", "copies")
+    matrix = pair_matrix(F.col("eo.match_status_er"), F.col("said_yes"), F.col("said_no"))
+    joined = left.join(right, [F.col(f"{c}_eo") == F.col(f"{c}_tf") for c in on], "full_outer")
+    return joined.select("eo", matrix.alias("error_matrix"), "tf", "copies")
+
+
 def join_all_rows(
     er: DataFrame, truth: DataFrame, heavy: DataFrame, heavy_er: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None
 ) -> DataFrame:

@@ -46,7 +46,7 @@ def _in_both() -> Column:
     return _in_er() & _in_truth()
 
 
-def truth_rows(truth: DataFrame, config: ValidationConfig, listed: bool = True) -> DataFrame:
+def truth_rows(truth: DataFrame, config: ValidationConfig, listed: bool = True, stored: bool = False) -> DataFrame:
     """``PAIR_ID``, ``tf`` and ``copies``: distinct truth rows, how often each occurs.
 
     ER rows are unique per pair, so making the truth distinct here gives the
@@ -62,7 +62,7 @@ def truth_rows(truth: DataFrame, config: ValidationConfig, listed: bool = True)
     else:
         scored = truth.groupBy(*shown).agg(copies).withColumn("match_status_manual", verdict)
     tf = F.struct(*shown, "match_status_manual").alias("tf")
-    return with_pair_id(scored, config).select(*PAIR_ID, tf, "copies")
+    return with_pair_id(scored, config, stored).select(*PAIR_ID, tf, "copies")
 
 
 def classify_records(pairs: DataFrame, config: ValidationConfig) -> DataFrame:

@@ -64,7 +64,7 @@ def truth_verdicts(truth: DataFrame, config: ValidationConfig, exceptions: DataF
     return joined.select(*truth.columns, status.alias("match_status_manual"))
 
 
-def unique_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
+def unique_pairs(er: DataFrame, config: ValidationConfig, stored: bool = False) -> DataFrame:
     """``PAIR_ID`` and ``eo``, the preferred ER row of the pair with its fingerprint.
 
     Best rank first, then highest score, then fingerprint; equal fingerprints
@@ -73,7 +73,7 @@ def unique_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
     cuts every pair to one row before the exchange as well: however many rows a pair has, each task sends on one.
     """
     row = F.struct(row_fingerprint(config.columns).alias(FINGERPRINT), *shown_columns(er, config))
-    packed = with_pair_id(er, config).select(*PAIR_ID, row.alias("eo"), "er_rank", "er_score")
+    packed = with_pair_id(er, config, stored).select(*PAIR_ID, row.alias("eo"), "er_rank", "er_score")
     preference = (F.col("er_rank").asc_nulls_last(), F.col("er_score").desc_nulls_last(), F.col(f"eo.{FINGERPRINT}"), F.col("eo"))
     place = F.row_number().over(Window.partitionBy(*PAIR_ID).orderBy(*preference))
     return packed.withColumn("_place", place).where(F.col("_place") == 1).select(*PAIR_ID, "eo")
@@ -85,7 +85,7 @@ def dedup_pairs(er: DataFrame, config: ValidationConfig) -> DataFrame:
 
 
 def truth_profile(
-    truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None, listed: bool = False
+    truth: DataFrame, config: ValidationConfig, exceptions: DataFrame | None = None, listed: bool = False, stored: bool = False
 ) -> DataFrame:
     """Per pair: how many truth rows say Matched, and how many do not?
 
@@ -96,7 +96,7 @@ def truth_profile(
     met = rule_verdict(config, listed) == MATCHED
     yes, no = F.col("_yes_rows"), F.col("_no_rows")
     profile = (
-        with_pair_id(truth, config)
+        with_pair_id(truth, config, stored)
         .groupBy(*PAIR_ID)
         .agg(F.count_if(met).alias("_yes_rows"), F.count_if(~met).alias("_no_rows"))
     )
@@ -110,7 +110,7 @@ def truth_profile(
     )
 
 
-def with_truth(unique: DataFrame, profile: DataFrame) -> DataFrame:
+def with_truth(unique: DataFrame, profile: DataFrame, stored: bool = False) -> DataFrame:
     """Each unique ER pair with ``said_yes`` and ``said_no``: does a truth row of its pair say so? NULL without truth rows.
 
     ``pair_rows`` is how many truth rows the pair has. Pairs with a NULL key never meet the truth's verdicts here. Both inputs are already partitioned by the pair, so
@@ -119,7 +119,9 @@ def with_truth(unique: DataFrame, profile: DataFrame) -> DataFrame:
     known = F.col("_kn") == 0
     said = [F.when(known, F.col(f"_{s}_rows") > 0).alias(f"said_{s}") for s in ("yes", "no")]
     pair_rows = (F.col("_yes_rows") + F.col("_no_rows")).alias("pair_rows")
-    return unique.join(profile, PAIR_ID, "left").select(*unique.columns, *said, pair_rows)
+    on = PAIR_ID[:2] if stored else PAIR_ID
+    right = profile.drop("_kn") if stored else profile
+    return unique.join(right, on, "left").select(*unique.columns, *said, pair_rows)
 
 
 def with_error_matrix(unique: DataFrame, profile: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators.pairing import (
     heavy_pairs,
     join_all_rows,
     join_sides,
+    join_stored,
     with_pair_id,
     without_counterpart,
 )
@@ -41,6 +42,7 @@ from ..operators.verdict import (
     with_truth,
 )
 from ..schema import conform
+from ..sources.buckets import store_pairs, stored_pairs
 from ..sources.sinks import report, save, save_batch
 from ..sources.tables import read_table
 
@@ -130,6 +132,15 @@ class Validator:
         scored, rows = with_truth(self._unique(er), profile), truth_rows(truth, config, self._listed)
         return join_sides(scored, rows, heavy_pairs(profile, config), config, self._exception_pairs(), how, keep)
 
+    def stored_records(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
+        """``records`` for two sides bucketed by pair, without NULL keys and hot pairs: no stored row crosses an exchange."""
+        config, er, truth = self.config, self.er_input(er_df), self.truth_input(truth_df)
+        profile = truth_profile(truth, config, listed=self._listed, stored=True)
+        unique = unique_pairs(er_verdicts(er, config), config, stored=True)
+        rows = truth_rows(truth, config, self._listed, stored=True)
+        joined = join_stored(with_truth(unique, profile, stored=True), rows)
+        return with_codes(classify_records(joined, config), config)
+
     def records(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         """Every record of either side once per counterpart, classified and coded.
 
@@ -221,6 +232,23 @@ class Validator:
     def run(self, er_df: DataFrame, truth_df: DataFrame) -> DataFrame:
         return self.explain(self.records(er_df, truth_df))
 
+    def store(self, er_df: DataFrame, truth_df: DataFrame, name: str, buckets: int = 1000, path: str | None = None) -> None:
+        """Write both sides in buckets by pair for ``run_stored``; the columns of the configuration, in their declared types."""
+        store_pairs(conform(er_df, self.config), conform(truth_df, self.config, "human_review"), name, self.config, buckets, path)
+
+    def run_stored(self, spark: SparkSession, name: str) -> DataFrame:
+        """The result of ``run`` over sides that ``store`` wrote.
+
+        The buckets are joined as they lie; rows with a NULL key and hot pairs, kept apart, are
+        joined as in ``run``. For runs that pair on the keys as stored: not ``compat``, not ``normalize_blanks``, and
+        exceptions as the configured list.
+        """
+        if self.config.compat or self.config.normalize_blanks or self._exceptions is not None:
+            raise ValueError("stored pairs need plain keys and listed exceptions; use run()")
+        stored = self.stored_records(*stored_pairs(spark, name))
+        rest = self.records(*stored_pairs(spark, name, rest=True))
+        return self.explain(stored.unionByName(rest))
+
     def run_tables(self, spark: SparkSession, er_table: str, truth_table: str, format: str | None = None) -> DataFrame:
         return self.run(read_table(spark, er_table, format), read_table(spark, truth_table, format))
 

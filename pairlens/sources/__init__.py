@@ -1,3 +1,4 @@
+from .buckets import store_pairs, stored_pairs
 from .sinks import report, save, save_batch
 from .sql import DECODERS, register_decoders
 from .tables import er_scan, fingerprinted_table, read_table, register_views, truth_scan
@@ -12,5 +13,7 @@ __all__ = [
     "report",
     "save",
     "save_batch",
+    "store_pairs",
+    "stored_pairs",
     "truth_scan",
 ]

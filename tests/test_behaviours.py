@@ -260,6 +260,12 @@ def test_configuration_is_checked():
         ValidationConfig(columns=(*DEFAULT.columns, "er_rank"))
     with pytest.raises(ValueError):
         ValidationConfig(key_columns=("source_primary_key",))
+    with pytest.raises(ValueError):
+        ValidationConfig(entity_column="no_such")
+    with pytest.raises(ValueError):
+        ValidationConfig(report_columns=("source_primary_key", "no_such"))
+    with pytest.raises(ValueError):
+        ValidationConfig(max_hot_pairs=0)
 
 
 def counts(spark, er, truth, config=DEFAULT):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tempfile
 
 import pytest
 
@@ -9,7 +10,7 @@ from frames import COMPAT, er_frame, truth_frame
 from pairlens import ValidationConfig, Validator, tune
 from pairlens.operators.pairing import PAIR_ID, heavy_pairs
 from pairlens.operators.records import flat_records
-from pairlens.operators.verdict import truth_profile
+from pairlens.operators.verdict import dedup_pairs, truth_profile
 from pairlens.sources import er_scan, truth_scan
 from test_random import random_rows
 
@@ -182,6 +183,62 @@ def test_plain_verdict_join_keeps_repeated_rows(spark, tables):
         assert pairs.count() == left.join(right, keys, "left").count()
 
 
+def test_stored_sides_cross_no_exchange(spark, tables):
+    name, path = "plan_pairs", tempfile.mkdtemp(prefix="pairlens-buckets-")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for hot in (2, 10**9):
+            listed = tuple(tuple(r) for r in tables[1].select("source_primary_key", "target_primary_key").distinct().limit(5).collect())
+            validator = Validator(ValidationConfig(hot_pair_rows=hot, exceptions=listed), "b")
+            validator.store(*tables, name, buckets=4, path=f"{path}/{hot}")
+            keys = spark.table(f"{name}_truth").select("source_primary_key", "target_primary_key")
+            assert keys.dropna().count() == keys.count() > 0 and (hot > 2) == (keys.where("source_primary_key = 'a' AND target_primary_key = 'b-c'").count() > 0)
+            assert flat(validator.run_stored(spark, name)) == flat(validator.run(*tables))
+            stored = validator.stored_records(*(spark.table(f"{name}_{s}") for s in ("er", "truth")))
+            stored.collect()
+            kinds = nodes(final(stored))
+            assert "Exchange" not in kinds and kinds.count("SortMergeJoin") == 2 and kinds.count("FileScan") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stored_pairs_refuse_what_they_cannot_pair(spark, tables):
+    for config in (COMPAT, ValidationConfig(normalize_blanks=True)):
+        with pytest.raises(ValueError):
+            Validator(config, "b").run_stored(spark, "plan_pairs")
+    with pytest.raises(ValueError):
+        Validator(ValidationConfig(), "b", tables[1]).run_stored(spark, "plan_pairs")
+
+
+def test_united_classes_are_the_records(spark, tables):
+    """No two rows are equal, though nothing looks for equal ones."""
+    for config in (ValidationConfig(hot_pair_rows=3), COMPAT.but(labels=ValidationConfig().columns)):
+        validator = Validator(config, "b")
+        united = validator.united(*tables)
+        assert flat(united) == flat(flat_records(validator.records(*tables)).select(*united.columns))
+        assert united.count() == united.distinct().count()
+        assert "Aggregate" not in united._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10**9])
+def test_observed_counts(spark, tables, hot, tmp_path):
+    er, truth = tables[0], tables[1].union(tables[1])
+    validator = Validator(ValidationConfig(hot_pair_rows=hot), "b")
+    counts = validator.save_observed(er, truth, f"{tmp_path}/out")
+    assert counts == dict(validator.counts(er, truth).collect())
+    assert flat(spark.read.schema(validator.run(er, truth).schema).parquet(f"{tmp_path}/out")) == flat(validator.run(er, truth))
+    with pytest.raises(ValueError):
+        Validator(COMPAT).run_observed(er, truth)
+
+
+def test_dedup_holds_no_row_in_an_aggregate(spark, tables):
+    found = dedup_pairs(er_scan(tables[0], ValidationConfig()), ValidationConfig())
+    found.collect()
+    kinds = nodes(final(found))
+    assert not [k for k in kinds if "Aggregate" in k] and kinds.count("WindowGroupLimit") == 2 and kinds.count("Exchange") == 1
+
+
 @pytest.mark.parametrize("hot", [1, 3, 10**9])
 def test_verdict_join_of_pairs_hot_on_both_sides(spark, tables, hot):
     """The grid gives what a plain join gives, repeated rows of both sides included."""

@@ -1,13 +1,17 @@
 """Tables by name, files by path, sinks and views."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from frames import er_frame, row, truth_frame
 from pairlens import ValidationConfig, Validator
 from pairlens.config import REPORT_COLUMNS
 from pairlens.operators.columns import fill_blanks, mark_side, strip_sides
 from pairlens.operators.records import combine
-from pairlens.sources import er_scan, fingerprinted_table, read_table, register_views, truth_scan
+from pairlens.functions import decode
+from pairlens.sources import er_scan, fingerprinted_table, read_table, register_decoders, register_views, truth_scan
 
 ER = [row(), row(source_primary_key="s2", source_city=None)]
 TRUTH = [row(), row(source_primary_key="s3")]
@@ -50,6 +54,43 @@ def test_save_partitioned(spark, inputs, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").where("validation_status = 'Match'").count() == 1
 
 
+@pytest.mark.parametrize("format", ["parquet", "orc", "json", "csv"])
+def test_batches_are_replaced_one_by_one(spark, inputs, tmp_path, format):
+    """Rows read back equal those written; a repeated run replaces its own batch only."""
+    er, truth = inputs
+    options = {"header": "true"} if format == "csv" else {}
+    one, two = (Validator(ValidationConfig(), b) for b in ("b1", "b2"))
+    one.save_batch(one.run(er, truth.limit(0)), f"{tmp_path}/out", format, **options)
+    two.save_batch(two.run(er, truth), f"{tmp_path}/out", format, **options)
+    one.save_batch(one.run(er, truth), f"{tmp_path}/out", format, **options)
+    wanted = one.run(er, truth).unionAll(two.run(er, truth))
+    back = spark.read.schema(wanted.schema).options(**options).format(format).load(f"{tmp_path}/out").select(*wanted.columns)
+    blank = lambda r: tuple("" if v is None and format == "csv" else v for v in r)
+    assert sorted(map(str, map(blank, back.collect()))) == sorted(map(str, map(blank, wanted.collect())))
+
+
+@pytest.mark.parametrize("config", [ValidationConfig(), ValidationConfig.compatible()])
+def test_sql_decoders_are_the_column_builders(spark, config):
+    """Random codes and flags, NULL, short and long codes."""
+    rng, size = random.Random(4), len(config.bit_labels)
+    codes = [None, "", "1" * size, "0" * size, "1" * 40, "0" * 5]
+    codes += ["".join(rng.choice("0111") for _ in range(rng.choice([size, size, size - 4]))) for _ in range(60)]
+    rows = [(c, f) for c in codes for f in (None, False, True)]
+    frame = spark.createDataFrame(rows, "code string, flag boolean")
+    frame.createOrReplaceTempView("some_codes")
+    register_decoders(spark, config)
+    found = spark.sql("""SELECT code, flag, mismatching_columns(code) AS a, mismatching_columns_text(code) AS b, mismatch_deviation(code) AS c,
+      code_status(code) AS d, mismatch_type(code, flag) AS e FROM some_codes""")
+    code, labels = F.col("code"), config.bit_labels
+    built = frame.select(
+        "code", "flag", decode.mismatching_columns(code, labels), decode.mismatching_columns_text(code, labels),
+        decode.mismatch_deviation(code, labels), decode.code_status(code), decode.mismatch_type(code, F.col("flag"), labels),
+    )
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, built.collect())))
+    with pytest.raises(Exception, match="beyond"):
+        spark.sql(f"SELECT mismatching_columns('{'1' * size}0')").collect()
+
+
 def test_report_columns(inputs):
     validator = Validator(ValidationConfig(), "b")
     assert validator.report(validator.run(*inputs)).columns == list(REPORT_COLUMNS)
