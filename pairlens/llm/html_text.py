@@ -5,14 +5,15 @@ path of tags, classes and ids, are one node of the site's tree. A node's
 importance is ``CONTENT_WEIGHT`` parts entropy of its content and the rest entropy of its
 presentation (the sequence of child tags), both over the distinct pages of the host and in
 units of the logarithm of their number: 0 if all pages show the same there, 1 if
-each shows something else. Pages with the same texts at the same places are one distinct page. A
-branch below ``min_importance`` that ``min_pages`` distinct pages have is cut out of the pages whose look there
-(presentation and content) is that of ``min_pages`` distinct pages; a page that shows something else there keeps
+each shows something else. Pages with the same texts at the same places are one distinct page. What a host with few pages
+says is shrunk towards the same place over all hosts, which counts like ``PRIOR_PAGES`` pages. A branch below
+``min_importance`` is cut out of the pages whose look there (presentation and content) says little: log(pages / pages
+with that look) is at most ``max_information`` of log(pages), and a second page has it. A page that shows something else there keeps
 it, and a page of which nothing would stay is left uncut. Elements that say what they are
 (navigation, footers, forms, advertisements, reader comments and so on, by tag,
-whole class, id or role) are cut without statistics; by class, id or role only if they hold neither the longest
-article or main element nor more than half of the page's text, and if other text is left. What stays is the article element, else the
-main element, else the body. Only containers and elements with a class or id are
+whole class, id or role) are cut without statistics, whatever their size, but a wrapper of the longest
+article or main element is not, nor a paragraph or inline element of an article for its class. What stays is the article element, else the
+main element, else the body; nothing, if all of it is cut. Only containers and elements with a class or id are
 judged by their importance; a bare paragraph or heading is never cut for being repeated.
 
 Statistics combine on the map side, one row per host, place and distinct look, so
@@ -23,7 +24,7 @@ Blocks are decoded, blanks inside are one space, and blocks are joined by an emp
 line in page order. Defined cases: null or empty html gives an empty text; a null url
 is a host of its own; broken markup is read as far as it goes (unclosed elements end
 with their parent, stray end tags are ignored); a page with no text outside forms and named elements
-is read, counted and judged without cutting forms. Repeated rows come out repeated; extra columns are
+is empty. Repeated rows come out repeated; extra columns are
 not read. An empty table gives an empty result.
 """
 
@@ -40,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .rows import whole_text
+from .store import stored
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>", re.S
@@ -53,7 +55,7 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-_CUT_TAGS = frozenset("head nav footer aside form button select menu dialog svg canvas audio video object map".split())
+_CUT_TAGS = frozenset("head nav footer aside button select menu dialog svg canvas audio video object map".split())
 _SITE_TAGS = frozenset(["header"])  # cut outside the article only
 _CUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -71,6 +73,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "t
 _SCOPES = frozenset("ul ol dl table body article main".split())
 _JUDGED = frozenset("div section ul ol dl table tbody tr td fieldset figure details center address blockquote".split())
 CONTENT_WEIGHT = 0.9
+PRIOR_PAGES = 8
 
 
 def _joined(pieces: Iterable[str]) -> str:
@@ -100,19 +103,17 @@ class Element(NamedTuple):
 class Page:
     """One page read once. ``elements`` that are not cut, and ``blocks``: (pieces of text with their element, in article, in main)."""
 
-    def __init__(self, source: str, forms: bool = False):
+    def __init__(self, source: str):
         self.elements = [Element((), (), "", False, False, 0, False)]
         self.blocks: list[tuple[list[tuple[int, str]], bool, bool]] = []
-        self._forms = forms
         self._stack: list[tuple[str, int, int, bool]] = []  # tag, element, place, cut
         self._text: list[tuple[int, str]] = []
         self._read(source)
-        self.plain = bool(self.blocks)  # is there text that no name would cut
         if any(e.named for e in self.elements):
             self._cut_named()
 
     def _cut_named(self) -> None:
-        """Drops named elements, but none that holds the longest article or main, or more than half of the text, or with others all text."""
+        """Drops named elements, but none that holds the longest article or main."""
         n = len(self.elements)
         size = [0] * n
         for pieces, _, _ in self.blocks:
@@ -126,17 +127,12 @@ class Page:
             at = max(starts, key=size.__getitem__, default=0)
             while at:
                 kept[at], at = True, self.elements[at].parent
-        named, cut = [False] * n, [False] * n
+        cut = [False] * n
         for i, e in enumerate(self.elements):
-            own = e.named and not kept[i]
-            named[i] = own or named[e.parent]
-            cut[i] = own and 2 * size[i] <= size[0] or cut[e.parent]
-        self.plain = any(not named[at] and not piece.isspace() for pieces, _, _ in self.blocks for at, piece in pieces)
+            cut[i] = e.named and not kept[i] or cut[e.parent]
         blocks = [([x for x in pieces if not cut[x[0]]], article, main) for pieces, article, main in self.blocks]
-        blocks = [block for block in blocks if not all(piece.isspace() for _, piece in block[0])]
-        if blocks:
-            self.blocks = blocks
-            self.elements = [e if not cut[i] else self.elements[0] for i, e in enumerate(self.elements)]
+        self.blocks = [block for block in blocks if not all(piece.isspace() for _, piece in block[0])]
+        self.elements = [e if not cut[i] else self.elements[0] for i, e in enumerate(self.elements)]
 
     def _top(self) -> tuple[str, int, int, bool]:
         return self._stack[-1] if self._stack else ("", 0, 0, False)
@@ -195,8 +191,10 @@ class Page:
             names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMED.finditer(attributes)}
         inside = article or main
         if not cut:
-            cut = tag in _CUT_TAGS and not (tag == "form" and self._forms) or tag in _SITE_TAGS and not inside
-        named = tag not in _NEVER_BY_NAME and any(_is_name(x, inside) for v in names.values() for x in v.split())
+            cut = tag in _CUT_TAGS or tag in _SITE_TAGS and not inside
+        # Inside an article only containers are cut by name; a marked paragraph is judged by its importance.
+        by_name = tag not in _NEVER_BY_NAME and (not inside or tag in _JUDGED)
+        named = tag == "form" or by_name and any(_is_name(x, inside) for v in names.values() for x in v.split())
         look = " ".join(_PART.findall(f"{tag} {names.get('class', '')} {names.get('id', '')}"))
         place = xxhash.xxh64_intdigest(look, seed=place & 0xFFFFFFFFFFFFFFFF) >> 1
         if not cut:
@@ -234,7 +232,7 @@ class Page:
             if self._stack[i][0] == tag:
                 del self._stack[i:]
                 return
-            if tag not in _BLOCK and self._stack[i][0] in _BLOCK:
+            if tag not in _BLOCK and tag not in _CUT_TAGS and self._stack[i][0] in _BLOCK:
                 return  # a stray inline end tag does not end blocks
 
     def looks(self) -> dict[int, tuple[int, int]]:
@@ -272,14 +270,9 @@ class Page:
         return "\n\n".join(block for block, _, _ in kept)
 
 
-def _page(source: str) -> Page:
-    page = Page(source)
-    return page if page.plain or "<form" not in source.lower() else Page(source, forms=True)
-
-
 def main_text(source: str, repeated: frozenset[int] = frozenset()) -> str:
     """The main text without the looks of ``repeated``; with them if nothing else is left."""
-    page = _page(source)
+    page = Page(source)
     cut = {place for place, look in page.looks().items() if _key(place, *look) in repeated} if repeated else set()
     return page.text(cut) or page.text()
 
@@ -304,7 +297,7 @@ def _looks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         out: dict[tuple, int] = defaultdict(int)
         for host, source in zip(frame.host, frame.html):
-            page = _page(source)
+            page = Page(source)
             looks = page.looks()
             digest = page.digest(looks)
             for place, (style, content) in looks.items():
@@ -313,12 +306,12 @@ def _looks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(*key, n) for key, n in out.items()], columns=["host", "page", "place", "style", "content", "n"])
 
 
-def _entropy(looks: DataFrame, what: str) -> DataFrame:
-    """host, place, pages, entropy of ``what`` in units of log(pages)."""
-    counts = looks.groupBy("host", "place", what).agg(F.sum("n").cast("double").alias("n"))
-    sums = counts.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("x"))
+def _entropy(looks: DataFrame, what: str, tree: list[str]) -> DataFrame:
+    """``tree``, pages, entropy of ``what`` in units of log(pages)."""
+    counts = looks.groupBy(*tree, what).agg(F.sum("n").cast("double").alias("n"))
+    sums = counts.groupBy(*tree).agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("x"))
     share = F.when(F.col("pages") > 1, (F.log("pages") - F.col("x") / F.col("pages")) / F.log("pages")).otherwise(1.0)
-    return sums.select("host", "place", "pages", share.alias(what))
+    return sums.select(*tree, "pages", share.alias(what))
 
 
 def _page_looks(pages: DataFrame) -> DataFrame:
@@ -330,10 +323,16 @@ def _look_counts(looks: DataFrame) -> DataFrame:
     return looks.groupBy("host", "place", "style", "content").agg(F.sum("n").alias("n"))
 
 
+def _weighed(counts: DataFrame, tree: list[str]) -> DataFrame:
+    both = _entropy(counts, "style", tree).join(_entropy(counts, "content", tree).drop("pages"), tree)
+    return both.select(*tree, "pages", (CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("style")).alias("importance"))
+
+
 def _importance(counts: DataFrame) -> DataFrame:
-    both = _entropy(counts, "style").join(_entropy(counts, "content").drop("pages"), ["host", "place"])
-    weighed = CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("style")
-    return both.select("host", "place", "pages", weighed.alias("importance"))
+    own, everywhere = _weighed(counts, ["host", "place"]), _weighed(counts, ["place"])
+    prior = everywhere.select("place", F.col("importance").alias("prior"))
+    shrunk = (F.col("pages") * F.col("importance") + PRIOR_PAGES * F.col("prior")) / (F.col("pages") + PRIOR_PAGES)
+    return own.join(prior, "place").select("host", "place", "pages", shrunk.alias("importance"))
 
 
 def importance(pages: DataFrame) -> DataFrame:
@@ -341,20 +340,22 @@ def importance(pages: DataFrame) -> DataFrame:
     return _importance(_look_counts(_page_looks(pages)))
 
 
-def repeated_looks(pages: DataFrame, min_importance: float = 0.1, min_pages: int = 8) -> DataFrame:
+def repeated_looks(pages: DataFrame, min_importance: float = 0.1, max_information: float = 0.7) -> DataFrame:
     """host, look: what ``extract`` cuts where a page shows it, from the distinct pages of each host."""
     distinct = _page_looks(pages).groupBy("host", "page", "place", "style", "content").agg(F.lit(1).alias("n"))
-    counts = _look_counts(distinct)
-    low = _importance(counts).where((F.col("importance") < min_importance) & (F.col("pages") >= min_pages))
-    shown = counts.where(F.col("n") >= min_pages).join(low.select("host", "place"), ["host", "place"])
+    # Read four times over; written once, so that pages are parsed once for it.
+    counts = stored(_look_counts(distinct), "looks")
+    low = _importance(counts).where(F.col("importance") < min_importance)
+    shown = counts.where(F.col("n") >= 2).join(low.select("host", "place", "pages"), ["host", "place"])
+    common = F.log(F.col("pages") / F.col("n")) <= max_information * F.log("pages")
     look = F.col("place").bitwiseXOR(F.col("style")).bitwiseXOR(F.shiftright("content", 1))
-    return shown.select("host", look.alias("look"))
+    return shown.where(common).select("host", look.alias("look"))
 
 
-def extract(pages: DataFrame, min_importance: float = 0.1, min_pages: int = 8) -> DataFrame:
+def extract(pages: DataFrame, min_importance: float = 0.1, max_information: float = 0.7) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points)."""
-    # A host's list is bounded by its distinct looks that min_pages pages share.
-    lists = repeated_looks(pages, min_importance, min_pages).groupBy("host").agg(F.collect_list("look").alias("cut"))
+    # Few looks of a place can be common, so a host's list is bounded by the places that its pages share.
+    lists = repeated_looks(pages, min_importance, max_information).groupBy("host").agg(F.collect_list("look").alias("cut"))
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -21,7 +21,14 @@ CASES = {
     "<!-- <p>no</p> --><p title='a>b'>y</p><!-- open": "y",
     "<p>a &lt;b&gt; &#233; &eacute; &nbsp; &bogus; &amp": "a <b> é é &bogus; &",
     "<ul><li>1<li>2</ul><table><tr><td>3<td>4</table>": "1\n\n2\n\n3\n\n4",
-    "<form><p>all in a form</p></form>": "all in a form",
+    "<form><p>all in a form</p></form>": "",
+    "<form><div><article><p>all in a form</p></article></div></form>": "all in a form",
+    "<article><select><option>one</select><p>k</p></article>": "k",
+    "<article><p>a</p><button><p>b</button><p>c</p></article>": "a\n\nc",
+    '<article><p class="notice">Important finding</p></article>': "Important finding",
+    "<article><p>t</p><div class='comments'><p>a comment that is longer than the article</p></div></article>": "t",
+    "<article><p>t</p><div class='social-share'>share this with all of your many friends</div></article>": "t",
+    "<div class='cookie-notice'>We use cookies and more words than the page has</div><p>text</p>": "text",
     "</div></b><p>stray</p></i> end": "stray\n\nend",
     "<header>site</header><article><header><h1>H</h1></header>t</article>": "H\n\nt",
     "a < b and <3": "a < b and <3",
@@ -59,8 +66,13 @@ def test_repeated_branches_are_cut(spark):
     schema = "page_id long, url string, html string, host string"
     texts = lambda rows: {r.page_id: r.text for r in extract(spark.createDataFrame(rows, schema)).collect()}
     assert texts(site(12)) == {i: f"story {i} words" for i in range(12)}
-    few = texts(site(5))  # too few pages to tell
-    assert few[0] == "Same words on every page\n\nstory 0 words"
+    for n in (2, 5, 7, 8):  # no number of pages switches it on
+        assert texts(site(n)) == {i: f"story {i} words" for i in range(n)}
+    # Few pages weigh less than what all hosts show at that place.
+    lively = [(100 + i, f"http://{i}.net/", f"<div class=x><p>own words {i}</p></div>", "q") for i in range(40)]
+    few = texts(site(2) + lively)
+    assert few[0] == "Same words on every page\n\nstory 0 words" and few[100] == "own words 0"
+    assert texts([r for n in range(30) for r in site(2, f"s{n}")])[0] == "story 0 words"
     other = texts([(i, f"http://{i}.org/", h, "q") for i, _, h, _ in site(12)])
     assert all(t.startswith("Same words") for t in other.values())
 
@@ -118,8 +130,11 @@ def test_a_page_of_repeated_looks_alone_stays(spark):
 
 
 def test_pages_inside_forms_are_judged_alike(spark):
-    pages = [f"<div class=wrap><form><div class=x>notice</div><p>words {i}</p></form></div>" for i in range(12)]
+    pages = [f"<form><main><div class=x>notice</div><p>words {i}</p></main></form>" for i in range(12)]
     assert texts_of(spark, pages) == [f"words {i}" for i in range(12)]
+    # Only the style tree can tell here: no tag and no name says what the branch is.
+    pages = [f"<div><div class=kx><b>Hot line</b> 0800</div><div class=ky><p>report {i}</p></div></div>" for i in range(40)]
+    assert texts_of(spark, pages) == [f"report {i}" for i in range(40)]
 
 
 NAMED = {
@@ -129,11 +144,11 @@ NAMED = {
     '<article><p>a</p><section id="search-results-study"><p>b</p></section></article>': "a\n\nb",
     '<div class="sidebar"><article><p>a</p></article></div><p>longer outside</p>': "a",
     '<div class="widget"><main><p>a</p></main></div><p>longer outside</p>': "a",
-    '<div class="search"><p>most of the words</p></div><p>few</p>': "most of the words\n\nfew",
-    '<div class="ad">x</div><div class="menu">y</div>': "x\n\ny",
+    '<div class="search"><p>most of the words</p></div><p>few</p>': "few",
+    '<div class="ad">x</div><div class="menu">y</div>': "",
     '<article><p>long text</p></article><div class="related-posts"><article><p>other</p></article></div>': "long text",
     '<p>long text</p><div class="left-sidebar">s</div><div class="share-buttons"><b>t</b></div>': "long text",
-    '<div class="ad">buy</div><form><p>all in a form</p></form>': "all in a form",
+    '<div class="ad">buy</div><form><p>all in a form</p></form>': "",
 }
 
 
