@@ -5,9 +5,10 @@ log-likelihood ratio. Sites are grouped twice: paths (source and language here)
 inside hosts (source). A site's rate of good documents is the posterior mean of a
 beta prior centred one level up: path -> host -> all documents. How strongly a
 level shrinks is estimated from the data by the method of moments, so sparse sites
-lean on their host and the host on everything. Site sums cover all documents:
-a labelled document counts with its label, any other with the classifier's
-probability. The posterior of a document adds both on the log-odds scale.
+lean on their host and the host on everything. Site sums cover all documents,
+each with the classifier's probability. What a document's own text says is taken out of the sums of its path, its
+host and the whole before its rate is formed, so it counts once: the posterior adds its ratio
+and the rate of the other documents of its site on the log-odds scale.
 
 The classifier is fitted on at most ``sample_rows`` labelled documents, chosen by
 the hash of their id. Site sums combine on the map side; the site table is joined
@@ -160,65 +161,85 @@ def _strength(total: DataFrame, centre: str) -> Column:
     return F.coalesce(F.when(between > 0, F.least(F.greatest(ratio, F.lit(1.0)), F.lit(1e4))), F.lit(1e4))
 
 
-def site_rates(evidence: DataFrame) -> DataFrame:
-    """host, path, rate: posterior share of good documents of every path, from (host, path, good) of every document."""
+@dataclass
+class Tree:
+    """Sums of evidence over all documents, and how many documents a prior counts for at each level."""
+
+    good: float
+    n: float
+    host_prior: float
+    path_prior: float
+
+    def rate(self, host: tuple[Column, Column], path: tuple[Column, Column], own: Column | float = 0.0, left_out: int = 0) -> Column:
+        """Share of good documents of a path, from (good, n) of its host and itself; without a document of evidence ``own`` if ``left_out`` is 1."""
+        centre = (F.lit(self.good) - own + 0.5) / (self.n - left_out + 1)
+        of_host = (F.greatest(host[0] - own, F.lit(0.0)) + self.host_prior * centre) / (host[1] - left_out + self.host_prior)
+        return (F.greatest(path[0] - own, F.lit(0.0)) + self.path_prior * of_host) / (path[1] - left_out + self.path_prior)
+
+
+def site_sums(evidence: DataFrame) -> tuple[DataFrame, Tree]:
+    """host, path, good, n, host_good, host_n of every path, from (host, path, good) of every document; and the whole."""
     paths = evidence.groupBy("host", "path").agg(F.sum("good").alias("good"), F.count(F.lit(1)).cast("double").alias("n"))
     paths = stored(paths, "quality-sites")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    # One row; half a document of each kind keeps the rate off 0 and 1.
-    whole = hosts.agg(((F.sum("good") + 0.5) / (F.sum("n") + 1)).alias("centre")).first()
-    centre = 0.5 if whole.centre is None else whole.centre
-    hosts = hosts.withColumn("centre", F.lit(centre))
-    k_host = hosts.agg(_strength(hosts, "centre").alias("k")).first().k
-    hosts = hosts.select("host", ((F.col("good") + k_host * F.col("centre")) / (F.col("n") + k_host)).alias("host_rate"))
-    paths = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    k_path = paths.agg(_strength(paths, "host_rate").alias("k")).first().k
-    rate = (F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)
+    whole = hosts.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
+    # Half a document of each kind keeps the rate off 0 and 1.
+    centred = hosts.withColumn("centre", F.lit((whole.good + 0.5) / (whole.n + 1)))
+    host_prior = centred.agg(_strength(centred, "centre").alias("k")).first().k
+    sums = hosts.select(F.col("host").alias("h"), F.col("good").alias("host_good"), F.col("n").alias("host_n"))
+    paths = paths.join(sums, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    tree = Tree(whole.good, whole.n, host_prior, 1.0)
+    of_host = (F.col("host_good") + host_prior * F.lit((whole.good + 0.5) / (whole.n + 1))) / (F.col("host_n") + host_prior)
+    below = paths.withColumn("centre", of_host)
+    tree.path_prior = below.agg(_strength(below, "centre").alias("k")).first().k
+    return paths, tree
+
+
+def site_rates(evidence: DataFrame) -> DataFrame:
+    """host, path, rate: posterior share of good documents of every path, from (host, path, good) of every document."""
+    paths, tree = site_sums(evidence)
+    rate = tree.rate(tuple(map(F.col, ("host_good", "host_n"))), tuple(map(F.col, ("good", "n"))))
     return paths.select("host", "path", rate.alias("rate"))
 
 
-def _sites(docs: DataFrame, labels: DataFrame, classifier: Classifier, host: Column, path: Column) -> tuple[DataFrame, DataFrame]:
-    """The narrow stored table of all documents (doc_id, host, path, ratio), and the rates of their sites."""
-    scored = stored(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            host.cast("string").alias("host"),
-            path.cast("string").alias("path"),
-            _ratio(docs, classifier, whole_text("text")).alias("ratio"),
-        ),
-        "quality-ratios",
-    )
-    soft = _logistic(F.col("ratio") + F.lit(classifier.base))
-    judged = scored.join(_judged(labels), F.col("doc_id") == F.col("label_id"), "left")
-    evidence = judged.select("host", "path", F.coalesce((F.col("good") > 0).cast("double"), soft).alias("good"))
-    return scored, site_rates(evidence)
+def _measured(docs: DataFrame, classifier: Classifier, host: Column, path: Column, *kept: Column) -> DataFrame:
+    """``kept``, host, path and ratio of every document."""
+    ratio = _ratio(docs, classifier, whole_text("text")).alias("ratio")
+    return docs.select(*kept, host.cast("string").alias("host"), path.cast("string").alias("path"), ratio)
 
 
-def _with_rate(rows: DataFrame, rates: DataFrame) -> DataFrame:
-    rates = rates.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "rate")
-    return rows.join(rates, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+def _own(classifier: Classifier) -> Column:
+    """What the text of a document says alone, as a share."""
+    return _logistic(F.col("ratio") + F.lit(classifier.base))
 
 
-def _posterior() -> Column:
-    return _logistic(F.col("ratio") + _logit(F.col("rate")))
+def _sites(rows: DataFrame, classifier: Classifier) -> tuple[DataFrame, Tree]:
+    return site_sums(rows.select("host", "path", _own(classifier).alias("good")))
+
+
+def _with_rate(rows: DataFrame, sites: DataFrame, tree: Tree, classifier: Classifier) -> DataFrame:
+    """Adds ``rate``, that of the site's other documents, and ``posterior``."""
+    names = {"host": "site_host", "path": "site_path", "good": "site_good", "n": "site_n", "host_good": "up_good", "host_n": "up_n"}
+    sites = sites.select(*[F.col(c).alias(n) for c, n in names.items()])
+    joined = rows.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    rate = tree.rate((F.col("up_good"), F.col("up_n")), (F.col("site_good"), F.col("site_n")), _own(classifier), 1)
+    joined = joined.withColumn("rate", F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9)))
+    return joined.withColumn("posterior", _logistic(F.col("ratio") + _logit(F.col("rate"))))
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, cut: float = 0.5) -> DataFrame:
     """One row per document: doc_id, ratio, site_rate, posterior, good (posterior >= cut)."""
     classifier = train(docs, labels, sample_rows)
-    scored, rates = _sites(docs, labels, classifier, F.col("source"), F.col("lang"))
-    rows = _with_rate(scored, rates).withColumn("posterior", _posterior())
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    scored = stored(_measured(docs, classifier, F.col("source"), F.col("lang"), ids), "quality-ratios")
+    rows = _with_rate(scored, *_sites(scored, classifier), classifier)
     return rows.select("doc_id", "ratio", F.col("rate").alias("site_rate"), "posterior", (F.col("posterior") >= cut).alias("good"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, cut: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose posterior is at least ``cut``, with all their columns."""
     classifier = train(docs, labels, sample_rows)
-    _, rates = _sites(docs, labels, classifier, F.col("source"), F.col("lang"))
-    rows = docs.select(
-        F.struct("*").alias("row"),
-        F.col("source").cast("string").alias("host"),
-        F.col("lang").cast("string").alias("path"),
-        _ratio(docs, classifier, whole_text("text")).alias("ratio"),
-    )
-    return _with_rate(rows, rates).where(_posterior() >= cut).select("row.*")
+    site = (F.col("source"), F.col("lang"))
+    sites = _sites(_measured(docs, classifier, *site), classifier)
+    rows = _measured(docs, classifier, *site, F.struct("*").alias("row"))
+    return _with_rate(rows, *sites, classifier).where(F.col("posterior") >= cut).select("row.*")

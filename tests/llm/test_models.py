@@ -1,5 +1,7 @@
 """Toxicity and quality: held-out accuracy, the statistics behind them, nulls and empty tables."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +61,29 @@ def test_gradient_is_that_of_the_likelihood():
     assert np.allclose(p, 1 / (1 + np.exp(np.array([1.0, 2.0, 3.0]) - 2.0)))
 
 
+def test_rates_leave_the_document_out(spark):
+    """Every rate against plain loops over all other documents."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", None]), float(rng.normal(0.5, 2))) for i in range(80)]
+    rows += [(80, "lone", "x", 3.0), (81, "sole", "x", -3.0)]
+    rows = [(int(i), None if h is None else str(h), None if p is None else str(p), r) for i, h, p, r in rows]
+    classifier = quality.Classifier.silent()
+    frame = spark.createDataFrame(rows, "doc_id long, host string, path string, ratio double").repartition(3)
+    sites, tree = quality._sites(frame, classifier)
+    found = {r.doc_id: r for r in quality._with_rate(frame, sites, tree, classifier).collect()}
+    own = {i: 1 / (1 + math.exp(-r - classifier.base)) for i, _, _, r in rows}
+    for i, host, path, ratio in rows:
+        others = [(h, p, own[j]) for j, h, p, _ in rows if j != i]
+        mean = lambda kept, centre, k: (sum(kept) + k * centre) / (len(kept) + k)
+        centre = (sum(g for _, _, g in others) + 0.5) / (len(others) + 1)
+        of_host = mean([g for h, _, g in others if h == host], centre, tree.host_prior)
+        rate = mean([g for h, p, g in others if (h, p) == (host, path)], of_host, tree.path_prior)
+        assert abs(found[i].rate - rate) < 1e-9
+        assert abs(found[i].posterior - 1 / (1 + math.exp(-ratio) * (1 - rate) / rate)) < 1e-9
+    # Nothing but their own evidence sets these two apart, and that is not in their rates.
+    assert abs(found[80].rate - found[81].rate) < 0.02
+
+
 def test_sites_shrink_towards_their_host_and_the_whole(spark):
     rows = [("a", "x", 1.0)] * 400 + [("a", "y", 0.0)] * 2 + [("b", "x", 0.0)] * 300 + [("c", None, 1.0)]
     rates = {(r.host, r.path): r.rate for r in quality.site_rates(spark.createDataFrame(rows, "host string, path string, good double")).collect()}
