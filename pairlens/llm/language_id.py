@@ -29,7 +29,7 @@ from .rows import whole_text
 from .store import discard, stored
 
 WINDOW, BATCH = 64, 2048
-RANK_PARTS = 64
+RANK_PARTS = (64, 8, 1)  # each divides the one before it
 HIDDEN = 8
 UNKNOWN = "und"
 _NO_BYTE = 256  # past the end of a text
@@ -251,10 +251,10 @@ def train(
         text.cast("binary").alias("data"),
     )
     # Ranked without the texts, repeated rows once; a common language first by parts, so that no task ranks all its rows.
-    ranked = labelled.select("lang", "h", "x").distinct().withColumn("part", F.pmod("x", F.lit(RANK_PARTS)))
-    for group in (["lang", "part"], ["lang"]):
-        place = F.row_number().over(Window.partitionBy(*group).orderBy("h", "x"))
-        ranked = ranked.withColumn("place", place).where(F.col("place") <= sample_docs)
+    ranked = labelled.select("lang", "h", "x").distinct()
+    for parts in RANK_PARTS:
+        group = Window.partitionBy("lang", F.pmod("x", F.lit(parts))).orderBy("h", "x")
+        ranked = ranked.withColumn("place", F.row_number().over(group)).where(F.col("place") <= sample_docs)
     chosen = stored(ranked.select("lang", "h", "x"), "language-sample")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
