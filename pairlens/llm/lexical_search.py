@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .rows import whole_text
-from .store import stored
+from .store import discard, stored
 
 #: Bytes of UTF-8: what belongs to a term stays, A-Z in lower case; all other ASCII separates terms.
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -282,6 +282,7 @@ def search(
         if rows:
             counted, block = _block(rows, docs, id_col, text_col)
             parts.append(stored(_run(counted, block, k, shard_postings), "best"))
+            discard(counted)
     found = parts[0] if parts else docs.sparkSession.createDataFrame([], "key long, doc_id long, score long")
     for part in parts[1:]:
         found = found.unionAll(part)
