@@ -1,6 +1,7 @@
 """Toxicity and quality: held-out accuracy, the statistics behind them, nulls and empty tables."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -54,11 +55,45 @@ def test_cumulative_link_recovers_order():
     assert np.allclose(w, [1.5, -1.0], atol=0.2) and np.allclose(t, [0, 1.5, 3], atol=0.3)
 
 
-def test_gradient_is_that_of_the_likelihood():
-    model = toxicity.Model({"bad": 2.0, "^badli": 1.0}, [1.0, 2.0, 3.0])
-    assert model.score("Bad badlings, bad!", {}) == 3.0
-    p = model.at_least(np.array([2.0]))[0]
-    assert np.allclose(p, 1 / (1 + np.exp(np.array([1.0, 2.0, 3.0]) - 2.0)))
+def likelihood(w, t, at, values, grades) -> float:
+    """Mean negative log-likelihood of the cumulative-link model, in plain loops."""
+    total, edges = 0.0, [-math.inf, *t, math.inf]
+    below = lambda edge, score: 0.0 if edge == -math.inf else 1.0 if edge == math.inf else 1 / (1 + math.exp(score - edge))
+    for i, v, grade in zip(at, values, grades):
+        score = sum(w[k] * x for k, x in zip(i, v))
+        total -= math.log(below(edges[grade + 1], score) - below(edges[grade], score))
+    return total / len(grades)
+
+
+def test_fit_is_a_minimum_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, (300, 2)).astype(float)
+    grades = np.digitize(x[:, 0] - 0.5 * x[:, 1] + rng.logistic(size=300), [0.0, 1.0, 2.0])
+    at = [np.array([0, 1])] * 300
+    w, t = toxicity.fit_cumulative_link(at, list(x), grades, 2, l2=0.0)
+    assert list(t) == sorted(t)
+    for place in range(5):
+        step = np.zeros(5)
+        step[place] = 1e-4
+        up, down = (likelihood(w + s * step[:2], t + s * step[2:], at, x, grades) for s in (1, -1))
+        assert abs(up - down) / 2e-4 < 2e-3
+
+
+def test_severity_against_plain_loops(spark):
+    """Expected grade, probability, grade and verdict of whole texts, long and odd ones included."""
+    model = toxicity.Model({"bad": 2.0, "^badli": 1.0, "nice": -0.7, "évil": 0.4}, [1.0, 2.0, 3.0])
+    texts = ["Bad badlings, bad!", "", None, "nice NICE day", "ÉVIL bad", "word " * 100_000 + "badlings", "b-a-d", "bad_bad"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string").repartition(3)
+    found = toxicity.score(rows, model).collect()
+    assert len(found) == 2 * len(texts)
+    for r in found:
+        words, score = set(re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower())), 0.0
+        for word in words:
+            score += model.weights.get(word, 0.0) + (model.weights.get("^" + word[:5], 0.0) if len(word) > 5 else 0.0)
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        mass = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert abs(r.severity - sum(above)) < 1e-9 and abs(r.p_toxic - above[0]) < 1e-9
+        assert (r.grade, r.toxic) == (mass.index(max(mass)), above[0] >= 0.5)
 
 
 def test_rates_leave_the_document_out(spark):
