@@ -23,9 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that Spark hands to Python at a time: texts are long, and a batch is held several times over."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
+    """Rows, and bytes of them, that Spark hands to Python at a time: texts are long, and a batch is held several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
