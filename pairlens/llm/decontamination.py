@@ -6,8 +6,10 @@ over 16 blocks of 8 bits finds every fingerprint within ``radius`` bits, since
 one block must then differ in at most radius // 16 bits. Each candidate is
 verified by the weighted Jaccard similarity of the shingles, with weight
 1 + ln(items / items that have the shingle) over the whole benchmark, as if one item had a shingle that
-none has. Only windows that share a shingle with an item of their length are
-fingerprinted: without a common shingle the similarity is 0.
+none has. A pair needs a common weight of ``threshold`` times the item's: so each item is listed under its rarest
+shingles only, as many as leave less than that to the others, and a text's windows meet the items in whose lists its
+shingles are. Of these windows those are fingerprinted whose shingles have that much weight in the item. Neither
+step loses a pair of the threshold; a shingle that all items have leads to hardly any.
 
 The benchmark is read in blocks of at most ``block_items`` items, each block an index of
 bounded size that goes to all tasks; documents are scanned once per block,
@@ -98,10 +100,55 @@ class Index:
         self.filters = {k: self._filter(own) for k, own in self.all_known.items()}
         self.members = {m: np.flatnonzero(self.lengths == m) for m in set(self.lengths.tolist())}
         self.near = {m: self._near(self.prints[at]) for m, at in self.members.items()}
+        weighed = [weights.by_shingle(counts) for counts in self.counts]
+        self.item_weights = [tuple(np.array(x) for x in zip(*sorted(w.items()))) for w in weighed]
+        self.lists = {m: self._lists(at.tolist(), weighed) for m, at in self.members.items()}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"weights": None}  # one broadcast for all blocks
 
+    def _lists(self, items: list[int], weighed: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles in order, and the item listed under each: a window without any of them has too little weight in the item."""
+        keys, under = [], []
+        for item in items:
+            rest = self.totals[item]
+            for shingle, weight in sorted(weighed[item].items(), key=lambda x: (-x[1], x[0])):
+                if rest < self.needed(item):
+                    break
+                keys.append(shingle)
+                under.append(item)
+                rest -= weight * self.counts[item][shingle]
+        keys, under = np.array(keys, np.uint64), np.array(under, np.int64)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], under[order]
+
+    def needed(self, item: int) -> float:
+        """The least common weight of a pair of the threshold, less what rounding may take."""
+        return self.threshold * self.totals[item] * (1 - 1e-9)
+
+    def listed(self, shingles: np.ndarray, length: int) -> list[int]:
+        """Items of a length in whose lists one of the shingles is."""
+        keys, under = self.lists[length]
+        own = np.unique(shingles)
+        low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        return sorted({int(i) for a, b in zip(low[high > low], high[high > low]) for i in under[a:b]})
+
+    def heavy_windows(self, item: int, shingles: np.ndarray, hits: np.ndarray, width: int, last: int) -> list[tuple[int, int]]:
+        """Runs of starts of windows whose shingles have the needed weight in an item."""
+        own, weights = self.item_weights[item]
+        at = np.minimum(np.searchsorted(own, shingles[hits]), len(own) - 1)
+        inside = own[at] == shingles[hits]
+        mine, weights = hits[inside], weights[at[inside]]
+        low, high = np.maximum(mine - width + 1, 0), np.minimum(mine, last)
+        edges, of = np.unique(np.concatenate([low, high + 1]), return_inverse=True)
+        weight = np.cumsum(np.bincount(of, np.concatenate([weights, -weights]), len(edges)))
+        heavy = np.flatnonzero(weight[:-1] >= self.needed(item) * (1 - 1e-9))
+        if not len(heavy):
+            return []
+        gap = np.flatnonzero(np.diff(heavy) > 1)
+        first, after = heavy[np.append(0, gap + 1)], heavy[np.append(gap, len(heavy) - 1)] + 1
+        return list(zip(edges[first].tolist(), (edges[after] - 1).tolist()))
+
     @staticmethod
     def _filter(own: np.ndarray) -> np.ndarray:
         table = np.zeros(1 << 20, bool)
@@ -138,36 +185,30 @@ class Index:
     def matches(self, shingles: np.ndarray, hits: np.ndarray, k: int) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, start, distance): the best window of each item that a text matches."""
         for length, own in self.known[k].items():
-            mine = hits[np.isin(shingles[hits], own)]
+            mine = hits[own[np.minimum(np.searchsorted(own, shingles[hits]), len(own) - 1)] == shingles[hits]]
             width = min(length - k + 1, len(shingles))  # a shorter text is one window
             last = len(shingles) - width
             if not len(mine):
                 continue
-            best: dict[int, tuple[float, int, int]] = {}
-            # Windows that hold a hit, as runs of starts.
-            low, high = np.maximum(mine - width + 1, 0), np.minimum(mine, last)
-            run = np.concatenate([[True], low[1:] > np.maximum.accumulate(high)[:-1] + 1])
-            begins, ends = low[run], np.maximum.reduceat(high, np.flatnonzero(run))
-            for begin, end in zip(begins.tolist(), ends.tolist()):
-                for start in range(begin, end + 1, 4096):  # bounded memory however long the run
-                    stop = min(end, start + 4095)
-                    part = shingles[start : stop + width]
-                    prints = self.fingerprints(part, width)
-                    at = self.members[length]
-                    maybe = self.near[length][0][prints[:, 0]]
-                    for b in range(1, BLOCKS):
-                        maybe = maybe | self.near[length][b][prints[:, b]]
-                    for w, j in zip(*np.nonzero(maybe)):
-                        item = int(at[j])
-                        distance = int(_POPCOUNT[prints[w] ^ self.prints[item]].sum())
-                        if distance > self.radius:
-                            continue
-                        similarity = self.similarity(part[w : w + width], item)
-                        if similarity >= self.threshold:
-                            found = (-similarity, start + int(w), distance)
-                            best[item] = min(best.get(item, found), found)
-            for item, (similarity, start, distance) in sorted(best.items()):
-                yield item, -similarity, start, distance
+            position = {int(item): j for j, item in enumerate(self.members[length])}
+            for item in self.listed(shingles[mine], length):
+                best = None
+                near = self.near[length][:, :, position[item]]
+                for begin, end in self.heavy_windows(item, shingles, mine, width, last):
+                    for start in range(begin, end + 1, 4096):  # bounded memory however long the run
+                        stop = min(end, start + 4095)
+                        part = shingles[start : stop + width]
+                        prints = self.fingerprints(part, width)
+                        maybe = np.flatnonzero(near[np.arange(BLOCKS), prints].any(axis=1))
+                        distances = _POPCOUNT[prints[maybe] ^ self.prints[item]].sum(axis=1)
+                        close = distances <= self.radius
+                        for w, distance in zip(maybe[close].tolist(), distances[close].tolist()):
+                            similarity = self.similarity(part[w : w + width], item)
+                            if similarity >= self.threshold:
+                                found = (-similarity, start + w, distance)
+                                best = found if best is None else min(best, found)
+                if best:
+                    yield item, -best[0], best[1], best[2]
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item, similarity, start, distance) of a batch of texts."""

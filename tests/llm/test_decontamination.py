@@ -4,7 +4,10 @@ import math
 import random
 from collections import Counter
 
-from pairlens.llm.decontamination import drop_contaminated, matches
+import numpy as np
+import pyarrow as pa
+
+from pairlens.llm.decontamination import Index, Weights, drop_contaminated, item_shingles, matches
 
 
 def shingles(words, n):
@@ -118,3 +121,20 @@ def test_blocks_give_what_one_block_gives(spark):
         assert sorted(map(repr, got)) == sorted(map(repr, whole))
     kept = {r.doc_id for r in drop_contaminated(*frames(spark, docs, items), block_items=7).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_a_shingle_of_all_items_leads_to_none_of_them():
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    head = say(5)
+    items = [(i, " ".join(head + say(40))) for i in range(200)]
+    counts = Counter(x for _, t in items for x in set(item_shingles(pa.array([t]))[0].tolist()))
+    shared = {x: n for x, n in counts.items() if n > 1}
+    weights = Weights(len(items), np.array(list(shared), np.uint64), np.array(list(shared.values())))
+    index = Index(items, weights, 42, 0.75)
+    compared = []
+    index.heavy_windows = lambda item, *rest: compared.append(item) or Index.heavy_windows(index, item, *rest)
+    texts = [" ".join(say(60) + head + say(60)) for _ in range(20)] + [f"x {items[7][1]} y"]
+    found = list(index.scan(pa.array(texts, pa.large_string())))
+    assert [(row, index.ids[item]) for row, item, *_ in found] == [(20, 7)]
+    assert set(compared) == {7}
