@@ -14,6 +14,9 @@ from ..operators.pairing import PAIR_ID, over_limit, with_pair_id
 
 SIDES = ("er", "truth")
 
+# A bucket is read and sorted by one task, so their number follows the rows.
+BUCKET_ROWS = 250_000
+
 
 def _hot(side: DataFrame, config: ValidationConfig) -> DataFrame:
     load = with_pair_id(side, config).groupBy(*PAIR_ID).agg(F.count(F.lit(1)).alias("_rows"))
@@ -23,8 +26,12 @@ def _hot(side: DataFrame, config: ValidationConfig) -> DataFrame:
 def store_pairs(er: DataFrame, truth: DataFrame, name: str, config: ValidationConfig, buckets: int, path: str | None = None) -> None:
     """Write both sides as tables ``name_er``, ``name_er_rest``, ``name_truth`` and ``name_truth_rest``, replacing what is there.
 
-    The same ``buckets`` for both sides; one file each. With ``path`` the tables lie under it, else in the warehouse.
+    The same number of buckets for both sides; one file each. That is ``buckets``, doubled until a bucket holds about ``BUCKET_ROWS`` rows of
+    either side at most; it is written in the tables. With ``path`` the tables lie under it, else in the warehouse.
     """
+    most = max(er.count(), truth.count())
+    while buckets * BUCKET_ROWS < most:
+        buckets *= 2
     hot = _hot(er, config).union(_hot(truth, config)).distinct().withColumn("_hot", F.lit(True))
     for side, rows in zip(SIDES, (er, truth)):
         # Fewer than 2 x max_hot_pairs entries, so it may be broadcast.
