@@ -9,12 +9,14 @@ from pyspark.sql import SparkSession
 
 # Generated methods above 8000 bytes are not compiled by the JVM's JIT; below
 # that limit Spark falls back to smaller methods. Comparing 29 columns exceeds
-# it. The rest keeps adaptive execution and its skew handling on.
+# it. The rest keeps adaptive execution and its skew handling on. Keys and lines of
+# 64 MB, Spark's default for a task, become pair rows of over 1 GB, more than a task can sort in memory.
 SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 

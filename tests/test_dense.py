@@ -1,0 +1,74 @@
+"""Rows that travel as one text."""
+
+from frames import row, truth_frame
+from test_plans import flat, tables  # noqa: F401
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairlens import ValidationConfig, Validator, tune
+from pairlens.operators.dense import dense, spread
+
+ODD = ["NULL", "''", "'a'", "'-'", "chr(1)", "chr(2)", "concat('a', chr(2), chr(1), 'b')", "concat(chr(2), '00')", "cast(X'FF01C3' AS string)", "'é\U0001f600'", "'null'", "' '"]
+NUMBERS = ["NULL", "-0.0D", "0.1D", "1e-300D", "cast('NaN' AS double)", "cast('-Infinity' AS double)", "12345678901234567D"]
+
+
+def test_every_value_comes_back(spark):
+    strings = " UNION ALL ".join(f"SELECT {v} AS s" for v in ODD)
+    numbers = " UNION ALL ".join(f"SELECT {v} AS d" for v in NUMBERS)
+    rows = spark.sql(
+        f"SELECT a.s AS `a.b`, d, b.s AS last, cast(d * 0 AS int) AS i, TIMESTAMP'2024-01-01 00:00:00.000001' AS t, cast(d AS float) AS f"
+        f" FROM ({strings}) a, ({strings}) b, ({numbers}) WHERE d IS NULL OR d < 1 AND d > -1"
+        f" UNION ALL SELECT 'x', d, 'y', 1, NULL, NULL FROM ({numbers})"
+    )
+    fields = rows.schema.fields
+    back = spread(rows.select(F.struct(*dense(fields)).alias("r")), "r", fields).select("r.*")
+    # Strings by their bytes, as Python has no text for what is no UTF-8.
+    seen = lambda df: flat(df.select(F.hex("`a.b`"), F.hex("last"), "d", "i", "t", "f"))
+    assert back.schema.simpleString() == rows.schema.simpleString()
+    assert seen(back) == seen(rows)
+
+
+def test_texts_sort_like_rows(spark):
+    rows = spark.createDataFrame([(a, b) for a in (None, "", "a", "a-", "b") for b in (None, "", "-x", "a")], "a string, b string")
+    texts = rows.select(F.struct(*dense(rows.schema.fields)).alias("t"), F.struct("a", "b").alias("r"))
+    assert [r.r for r in texts.orderBy("t").collect()] == [r.r for r in texts.orderBy("r").collect()]
+
+
+def test_null_row_stays_null(spark):
+    rows = spark.createDataFrame([("a", 1.0)], "a string, b double")
+    packed = rows.select(F.struct(*dense(rows.schema.fields)).alias("r")).unionAll(rows.select(F.lit(None).alias("r")))
+    assert sorted(map(str, spread(packed, "r", rows.schema.fields).collect())) == ["Row(r=None)", "Row(r=Row(a='a', b=1.0))"]
+
+
+def _widths(plan, kind):
+    """How many columns, fields of structs included, each node of a kind hands on."""
+    children = plan.children()
+    found = [w for i in range(children.size()) for w in _widths(children.apply(i), kind)]
+    if plan.nodeName() != kind:
+        return found
+    return [*found, plan.schema().toDDL().count(":") + plan.schema().size()]
+
+
+@pytest.mark.parametrize("hot", [2, 10**9])
+def test_rows_cross_exchanges_as_one_text(spark, tables, hot):  # noqa: F811
+    """The exchanges of the truth and the choice among ER rows carry a handful of columns, not 30."""
+    tune(spark)
+    result = Validator(ValidationConfig(hot_pair_rows=hot), "b").run(*tables)
+    plan = result._jdf.queryExecution().optimizedPlan()
+    repartitions, windows = _widths(plan, "RepartitionByExpression"), _widths(plan, "Window")
+    assert len(repartitions) == 2 and windows and max(*repartitions, *windows) < 12
+
+
+def test_zeros_of_either_sign_are_one_row(spark):
+    """As when the columns themselves are grouped."""
+    truth = truth_frame(spark, row(er_score=0.0), row(er_score=-0.0))
+    for hot in (1, 10**9):
+        (found,) = Validator(ValidationConfig(hot_pair_rows=hot), "b").records_of("missing", truth.limit(0), truth).collect()
+        assert found.copies == 2 and str(found.er_score_tf) == "0.0"
+
+
+def test_tasks_are_sized_for_rows_that_unfold(spark):
+    """The lines of a task become pair rows many times as large; 64 MB of them were spilled."""
+    tune(spark)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
