@@ -54,6 +54,8 @@ BLOCK, BLOCK_SHINGLES = 2000, 1000
 #: Further coordinates, for sketches of four bits each, and how many must agree: a pair of
 #: similarity 0.75 has 784 on average and fewer than 726 with a probability of 1e-5.
 FINE, FINE_MATCHES = 1024, 726
+#: Products of shingles and factors that are held at once, 1 MB: a worker keeps the room of its largest arrays, also while it waits.
+TABLE = 1 << 17
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _FINE_FACTORS = mix(np.arange(1001, 1001 + FINE, dtype=np.uint64)) | np.uint64(1)
 _SIGNED = "absent boolean, value long, text_key long, n_shingles long, node binary, signature array<long>"
@@ -70,16 +72,16 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 def signature(shingles: np.ndarray) -> np.ndarray:
     """One posting per coordinate: a hash of the coordinate and its minimum. ``shingles`` is not empty."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for low in range(0, len(shingles), 1 << 14):
-        np.minimum(least, (shingles[low : low + (1 << 14), None] * _FACTORS).min(axis=0), out=least)
+    for low in range(0, len(shingles), step := TABLE // COORDINATES):
+        np.minimum(least, (shingles[low : low + step, None] * _FACTORS).min(axis=0), out=least)
     return mix(least + np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def fine_sketch(shingles: np.ndarray) -> np.ndarray:
     """Four bits of each of ``FINE`` further minima, 16 in a long."""
     least = np.full(FINE, np.iinfo(np.uint64).max, np.uint64)
-    for low in range(0, len(shingles), 1 << 12):
-        np.minimum(least, (shingles[low : low + (1 << 12), None] * _FINE_FACTORS).min(axis=0), out=least)
+    for low in range(0, len(shingles), step := TABLE // FINE):
+        np.minimum(least, (shingles[low : low + step, None] * _FINE_FACTORS).min(axis=0), out=least)
     bits = (mix(least) & np.uint64(15)).reshape(-1, 16)
     return (bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
 

@@ -21,7 +21,7 @@ _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes whose prefix sums are held at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def words(column: pa.Array) -> Words:
     return Words(hashes, np.searchsorted(starts, offsets))
 
 
-def slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, part) of an array of texts, in parts of about ``most_bytes``; a longer text is a part of its own."""
     column = column.cast(pa.large_binary())
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else []

@@ -1,10 +1,13 @@
 """Near-deduplication against all pairs of full sets."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pairlens.llm import near_dedup
+from pairlens.llm import near_dedup, shingles
 from pairlens.llm.graph import components
 
 
@@ -94,3 +97,34 @@ def test_components(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_copies(docs).collect() == [] == near_dedup.drop_near_copies(docs).collect()
+
+
+def _peak(run) -> int:
+    """MB that ``run`` holds at most."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_work_arrays_are_small():
+    """A worker keeps the room of its largest arrays while it waits: 80 to 100 MB before, in each of four workers of an executor."""
+    rng = np.random.default_rng(4)
+    sets = rng.integers(0, 1 << 63, 1 << 15, dtype=np.uint64)
+    assert _peak(lambda: near_dedup.signature(sets)) < 6
+    assert _peak(lambda: near_dedup.fine_sketch(sets)) < 6
+    texts = pa.array([" ".join(map(str, range(at, at + 25_000))) for at in range(0, 2_000_000, 125_000)], pa.string())
+    assert _peak(lambda: [None for _ in near_dedup.shingle_sets(texts)]) < 24
+
+
+def test_work_arrays_change_nothing(monkeypatch):
+    texts = pa.array([None, "", " ", "a", "Ein Wort" * 3, "x" * 5000, *(f"{'wort ' * n}{n} é" for n in range(0, 4000, 331))], pa.string())
+    sets = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 5000, dtype=np.uint64))
+    found = [[s.tolist() for s in near_dedup.shingle_sets(texts)], near_dedup.signature(sets).tolist(), near_dedup.fine_sketch(sets).tolist()]
+    for chunk, table in ((1 << 20, 1 << 22), (1 << 9, 1 << 11)):
+        monkeypatch.setattr(shingles, "CHUNK", chunk)
+        monkeypatch.setattr(near_dedup, "TABLE", table)
+        again = [[s.tolist() for s in near_dedup.shingle_sets(texts)], near_dedup.signature(sets).tolist(), near_dedup.fine_sketch(sets).tolist()]
+        assert again == found
