@@ -19,11 +19,18 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
+# Into how many partitions an exchange is dealt at least before adaptive execution joins small ones to tasks of the size above. It joins
+# only, so with a fixed 200 the share of a task would grow with the tables until it is more than a task can hold, and spilled.
+PARTITIONS = 1000
+
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session and return it."""
+    """Apply the settings to a session and return it; a session that deals into more partitions keeps its number."""
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    own = spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(first, str(max(PARTITIONS, int(own))))
     return spark
 
 

@@ -1,5 +1,7 @@
 """Rows that travel as one text."""
 
+import re
+
 from frames import row, truth_frame
 from test_plans import flat, tables  # noqa: F401
 
@@ -72,3 +74,18 @@ def test_tasks_are_sized_for_rows_that_unfold(spark):
     """The lines of a task become pair rows many times as large; 64 MB of them were spilled."""
     tune(spark)
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_tasks_do_not_grow_with_the_tables(spark, tables):  # noqa: F811
+    """Adaptive execution joins small partitions but splits none, so exchanges are dealt finely; the session's number, if larger, stays."""
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    tune(spark)
+    plan = Validator(ValidationConfig(hot_pair_rows=2), "b").run(*tables)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(.*, (\d+)\), ", plan)]
+    assert dealt and min(dealt) >= 1000
+    try:
+        spark.conf.set(first, "3000")
+        tune(spark)
+        assert spark.conf.get(first) == "3000"
+    finally:
+        spark.conf.unset(first)
