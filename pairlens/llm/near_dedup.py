@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -164,26 +165,28 @@ def _prefix_lists(nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b), and those of them that are links: enough agreements, then the full sets."""
+    """The pairs, and the components (a, b) of those that are links: enough agreements, then the full sets."""
     pairs = pairs.distinct()
     if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
     left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x"))
     right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-    likely = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= MATCHES).select("a", "b")
+    likely = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= MATCHES).drop("x", "y")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    links = likely.join(left, "a").join(right, "b").mapInArrow(_confirm, "a binary, b binary")
-    return pairs, stored(links, "links")
+    both = likely.join(left, "a").join(right, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"), "x", "y")
+    return pairs, stored(both.mapInArrow(_confirm, "a binary, b binary"), "links")
 
 
 def _hub_pairs(lists: DataFrame, order: Column) -> DataFrame:
-    """Each node of a list with the list's first node in ``order``, in different components."""
+    """Each node of a list with the list's first node in ``order``, in different components: the nodes a and b, and their labels."""
     hubs = lists.groupBy("posting").agg(F.min(F.struct(order.alias("rank"), "node", "size", "label")).alias("hub"))
     met = lists.join(hubs, "posting").withColumns({"size_a": F.col("hub.size"), "size_b": F.col("size")})
     met = met.where(F.col("hub.label") != F.col("label")).where(_similar_size())
-    return met.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
+    hub_first = F.col("hub.node") < F.col("node")
+    labels = F.when(hub_first, F.col("hub.label")).otherwise(F.col("label")), F.when(hub_first, F.col("label")).otherwise(F.col("hub.label"))
+    return met.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"), labels[0].alias("label_a"), labels[1].alias("label_b"))
 
 
 def _open_lists(lists: DataFrame) -> DataFrame:
@@ -193,7 +196,7 @@ def _open_lists(lists: DataFrame) -> DataFrame:
 
 
 def _block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between different components of one list, long lists dealt into blocks.
+    """Components (a, b) that a link joins, in one list; long lists are dealt into blocks.
 
     A task holds two blocks at a time: first their sketches, which leave the nodes that
     may have links and with which others, then the sets of these nodes.
@@ -254,7 +257,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each pair of blocks, as many as unite its components."""
+    """The components that links of each pair of blocks join, of as many links as unite them."""
     for _, rows in _runs(batches):
         nodes, labels = rows["node"].to_pylist(), rows["label"].to_pylist()
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows["shingles"].combine_chunks()]
@@ -270,11 +273,21 @@ def _link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = root(labels[i]), root(labels[j])
                 if x != y and _similar(sets[i], sets[j]):
                     parent[x] = y
-                    links.append((nodes[i], nodes[j]))
+                    links.append((labels[i], labels[j]))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
+def _planes(sketches: np.ndarray) -> np.ndarray:
+    """The four-bit values of sketches by their bits: [k, p, row] holds bit p of 64 values."""
+    words = sketches.reshape(len(sketches), -1, 4)
+    out = np.zeros((words.shape[1], 4, len(sketches)), np.uint64)
+    for bit in range(4):
+        for part in range(4):
+            out[:, bit] |= (((words[:, :, part] >> np.uint64(bit)) & _ONES) << np.uint64(part)).T
+    return out
+
+
 def _may_be_linked(rows: pa.Table, posting: int, apart: bool, low: int) -> list[tuple[int, int]]:
     """Pairs of rows of two blocks (or of one) in different components, of similar size, with ``FINE_MATCHES`` equal four-bit
     values, in the first list that holds both."""
@@ -282,9 +295,9 @@ def _may_be_linked(rows: pa.Table, posting: int, apart: bool, low: int) -> list[
     if len(labels) < 2 or labels.max() == 0:
         return []
     sizes, blocks = rows["size"].to_numpy(), rows["block"].to_numpy()
-    sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(labels), -1)
+    planes = _planes(np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(labels), -1))
     left, right = (np.flatnonzero(blocks == low), np.flatnonzero(blocks != low)) if apart else (np.arange(len(labels)),) * 2
-    out, prefixes = [], rows["prefix"]
+    out, earlier, prefixes = [], {}, rows["prefix"].combine_chunks()
     step = max(1, (1 << 16) // max(1, len(right)))
     for at in range(0, len(left), step):
         x = left[at : at + step]
@@ -293,19 +306,20 @@ def _may_be_linked(rows: pa.Table, posting: int, apart: bool, low: int) -> list[
             new &= x[:, None] < right
         i, j = np.nonzero(new)
         i, j = x[i], right[j]
-        differing = np.zeros(len(i), np.int64)
-        for word in range(sketches.shape[1]):
-            bits = sketches[i, word] ^ sketches[j, word]
-            bits |= bits >> np.uint64(2)
-            bits |= bits >> np.uint64(1)
-            differing += np.bitwise_count(bits & _ONES)
-            if word % 8 == 7:  # those beyond the bound go early
-                stay = differing <= FINE - FINE_MATCHES
-                i, j, differing = i[stay], j[stay], differing[stay]
-        for m, n in zip(i.tolist(), j.tolist()):
-            other = set(prefixes[n].as_py())
-            if next(p for p in prefixes[m].as_py() if p in other) == posting:
-                out.append((m, n))
+        differing = np.zeros(len(i), np.uint16)
+        for read, four in enumerate(planes, 1):  # 64 coordinates at a time
+            unlike = four[0].take(i) ^ four[0].take(j)
+            for plane in four[1:]:
+                unlike |= plane.take(i) ^ plane.take(j)
+            differing += np.bitwise_count(unlike)
+            if 64 * read > FINE - FINE_MATCHES:  # those beyond the bound go early
+                stay = np.flatnonzero(differing <= FINE - FINE_MATCHES)
+                if len(stay) < len(i):
+                    i, j, differing = i[stay], j[stay], differing[stay]
+        # The lists of a node come in one order for all nodes. Each row's are taken once, not for each pair.
+        met = [k for k in np.union1d(i, j).tolist() if k not in earlier]
+        earlier.update((k, frozenset(takewhile(posting.__ne__, own))) for k, own in zip(met, prefixes.take(pa.array(met, pa.int64())).to_pylist()))
+        out += [(m, n) for m, n in zip(i.tolist(), j.tolist()) if earlier[m].isdisjoint(earlier[n])]
     return out
 
 
@@ -324,35 +338,35 @@ def _with_sketches(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return lists.join(sketches, "node").join(needed.select("node", "prefix"), "node")
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("label", F.col("node"))
-    return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with the label that theirs has in ``merged``, the components (node, label) of labels."""
+    found = merged.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    return rows.join(found, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, label) of all nodes that are linked with another."""
+    """(node, label) of all nodes that share a posting with another; each step links the components of the one before."""
     lists = _prefix_lists(nodes)
-    active = lists.select("node").distinct()
-    signatures = stored(nodes.join(active, "node", "left_semi").select("node", "signature"), "signatures")
+    signatures = stored(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "signature", "first"), "signatures")
     # One text per node to take the set from.
-    wanted = nodes.join(active, "node", "left_semi").select("node", "first.absent", "first.value", "first.text_key")
+    wanted = signatures.select("node", "first.absent", "first.value", "first.text_key")
     texts = _keyed(docs, id_col, text_col).join(wanted, ["absent", "value", "text_key"]).select("node", "text")
     sets = texts.mapInArrow(_collect_sets, "node binary, shingles binary")
     sets = stored(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "sets")
 
-    labels, tested, links = None, None, None
+    labels, current, tested, steps = signatures.select("node", F.col("node").alias("label")), lists.withColumn("label", F.col("node")), None, []
     for order in (F.col("node"), F.xxhash64("node", "posting")):
-        current = stored(_open_lists(_labelled(lists, labels)), "open")
         pairs, found = _confirmed(_hub_pairs(current, order), signatures, sets, tested)
-        tested = pairs if tested is None else stored(tested.union(pairs), "tested")
-        labels = components(found if links is None else links.union(found))
-        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        tested = pairs
+        steps.append(components(found))
+        left = stored(_open_lists(_relabelled(current, steps[-1])), "open")
         discard(current)
-    current = stored(_open_lists(_labelled(lists, labels)), "open")
-    labels = components(links.union(_block_links(current, sets)))
-    discard(current)
-    discard(lists, signatures, sets)
+        current = left
+    steps.append(components(_block_links(current, sets)))
+    for merged in steps:
+        labels = _relabelled(labels, merged)
+    labels = stored(labels, "labels")
+    discard(current, signatures, sets, *steps)
     return labels
 
 

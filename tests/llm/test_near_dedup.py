@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pairlens.llm import near_dedup, shingles
+from pairlens.llm import graph, near_dedup, shingles
 from pairlens.llm.graph import components
 
 
@@ -94,6 +94,43 @@ def test_components(spark):
     assert got == {n: label for n, label in want.items() if any(a != b and n in (a, b) for a, b in edges)}
 
 
+def test_components_write_no_round_that_changes_nothing(spark, monkeypatch):
+    """Before, edges that were stars took a round of two tables to be found so, and every call ended with one."""
+    written, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda frame, name: written.append(name) or stored(frame, name))
+    stars = [(9, 1), (1, 7), (5, 2), (2, 2), (5, 2)]
+    for edges, tables, want in ((stars, 1, {1: 1, 2: 2, 5: 2, 7: 1, 9: 1}), ([(1, 2), (3, 2)], 3, {1: 1, 2: 1, 3: 1}), ([(4, 4)], 1, {})):
+        written.clear()
+        assert {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+        assert len(written) == tables
+
+
+def _members(rng, n, posting):
+    """Rows of two blocks of a list, many alike, with the lists that hold each in one order."""
+    base = rng.integers(0, 16, (6, near_dedup.FINE))
+    values = np.where(rng.random((n, near_dedup.FINE)) < 0.14, rng.integers(0, 16, (n, near_dedup.FINE)), base[rng.integers(0, 6, n)]).astype(np.uint64)
+    bits = (values.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+    prefixes = [sorted({*rng.integers(1, 30, 3).tolist(), posting}) for _ in range(n)]
+    sizes, labels, blocks = rng.integers(60, 100, n), rng.integers(0, n, n), rng.integers(0, 2, n)
+    table = pa.table({"block": pa.array(blocks, pa.int32()), "size": sizes, "label": [b"%d" % k for k in labels], "sketch": [b.tobytes() for b in bits], "prefix": prefixes})
+    return table, values, prefixes, sizes, labels, blocks
+
+
+def test_pairs_of_blocks_against_every_pair(monkeypatch):
+    rng, posting = np.random.default_rng(6), 20
+    rows, values, prefixes, sizes, labels, blocks = _members(rng, 150, posting)
+
+    def wanted(i, j):
+        alike = (values[i] == values[j]).sum() >= near_dedup.FINE_MATCHES and 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j])
+        return labels[i] != labels[j] and alike and min({*prefixes[i]} & {*prefixes[j]}) == posting
+
+    whole = [(i, j) for i in range(150) for j in range(i + 1, 150) if wanted(i, j)]
+    apart = [(i, j) for i in range(150) for j in range(150) if blocks[i] < blocks[j] and wanted(i, j)]
+    assert 100 < len(apart) < len(whole)
+    assert near_dedup._may_be_linked(rows, posting, False, 0) == whole
+    assert near_dedup._may_be_linked(rows, posting, True, 0) == apart
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_copies(docs).collect() == [] == near_dedup.drop_near_copies(docs).collect()
