@@ -15,6 +15,9 @@ TEXT = "_text"
 # The types whose text gives the value back exactly.
 _AS_TEXT = (T.StringType(), T.DoubleType(), T.IntegerType())
 
+# Always true, but the optimizer cannot know: else a filter on one value would be moved below, and take every row apart anew for each value it reads.
+_HERE = "spark_partition_id() >= 0"
+
 # Between values, and before what is spelled in hex.
 _BETWEEN, _HEX = "chr(1)", "chr(2)"
 
@@ -62,7 +65,7 @@ def spread(df: DataFrame, name: str, fields: Iterable[T.StructField]) -> DataFra
         else f"{name}.{_quoted(f.name)} AS {_quoted(f.name)}"
         for f in fields
     ]
-    row = F.expr(f"CASE WHEN {name} IS NOT NULL THEN struct({', '.join([*more, *values])}) END")
+    row = F.expr(f"CASE WHEN {name} IS NOT NULL AND {_HERE} THEN struct({', '.join([*more, *values])}) END")
     # A column of its own, so that a text is split once.
     split = df.withColumn(parts, F.expr(f"split({name}.{TEXT}, {_BETWEEN}, -1)"))
     return split.withColumn(name, row).drop(parts)

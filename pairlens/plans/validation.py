@@ -151,14 +151,14 @@ class Validator:
         """Extra or missing records by an anti join, coded."""
         config = self.config
         heavy = heavy_pairs(truth_profile(truth, config, listed=self._listed), config)
-        unique, rows = self._unique(er), truth_rows(truth, config, self._listed, heavy=heavy)
-        fields = truth_fields(truth, config)
+        scored_er, rows = er_verdicts(er, config), truth_rows(truth, config, self._listed, heavy=heavy)
+        unique, fields = dense_pairs(scored_er, config), truth_fields(truth, config)
         no_matrix = F.lit(None).cast("string").alias("error_matrix")
         if record_class == "extra":
             no_truth = [F.lit(None).cast(t).alias(c) for c, t in (("tf", T.StructType(fields)), ("copies", rows.schema["copies"].dataType))]
-            pairs = without_counterpart(unique, truth, config).select("eo", no_matrix, *no_truth)
+            pairs = spread_er(without_counterpart(unique, truth, config), scored_er, config).select("eo", no_matrix, *no_truth)
         else:
-            no_er = F.lit(None).cast(unique.schema["eo"].dataType).alias("eo")
+            no_er = F.lit(None).cast(spread_er(unique, scored_er, config).schema["eo"].dataType).alias("eo")
             alone = flip_truth(without_counterpart(rows, er, config, heavy), fields, heavy, self._exception_pairs(), config)
             pairs = alone.select(no_er, no_matrix, "tf", "copies")
         return with_codes(classify_records(pairs, config), config)

@@ -2,7 +2,7 @@
 
 import re
 
-from frames import row, truth_frame
+from frames import COMPAT, row, truth_frame
 from test_plans import flat, tables  # noqa: F401
 
 import pytest
@@ -89,3 +89,20 @@ def test_tasks_do_not_grow_with_the_tables(spark, tables):  # noqa: F811
         assert spark.conf.get(first) == "3000"
     finally:
         spark.conf.unset(first)
+
+
+@pytest.mark.parametrize("config", [ValidationConfig(), COMPAT.but(labels=ValidationConfig().columns)])
+def test_filters_take_no_row_apart(spark, tables, config):  # noqa: F811
+    """Moved below the step that takes rows apart, a filter did so once more for every value it reads."""
+    records = Validator(config, "b").records(*tables)
+    found = records.where("eo IS NOT NULL AND tf IS NOT NULL AND record_class = 'mismatch'")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "split(" in line]
+    assert len(re.findall(r"split\(\w+#\d+\._text", plan)) == 2
+    assert flat(found) == sorted(str(r.asDict()) for r in records.collect() if r.eo and r.tf and r.record_class == "mismatch")
+
+
+def test_extra_rows_are_taken_apart_after_the_anti_join(spark, tables):  # noqa: F811
+    """Not all rows, of which few have no counterpart."""
+    plan = Validator(ValidationConfig(), "b").records_of("extra", *tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("split(") < plan.index("Join LeftAnti")
