@@ -24,6 +24,17 @@ def test_verdict_join_spells_out_many_rows(spark, tables, monkeypatch):  # noqa:
         assert pairs.count() == er.join(truth, KEYS, "left").count()
 
 
+def test_verdicts_are_worked_out_before_rows_are_spelled_out(spark, tables):  # noqa: F811
+    """Once for all truth rows of one verdict that an ER row meets, not once per row; a slot may begin and end anywhere among them."""
+    for hot in (1, 2, 3, 10**9):
+        pairs = Validator(ValidationConfig(hot_pair_rows=hot)).verdict_pairs(tables[0].where("er_rank = 1").unionAll(tables[0]), tables[1])
+        above = pairs._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+        assert "CASE WHEN" not in above
+        said = truth_scan(tables[1], ValidationConfig()).select(*KEYS, "match_status_manual")
+        plain = tables[0].where("er_rank = 1").unionAll(tables[0]).select(*KEYS, "er_score").join(said, KEYS, "left")
+        assert flat(pairs.select(*plain.columns)) == flat(plain)
+
+
 def test_exceptions_are_not_repeated_per_slot(spark, tables):  # noqa: F811
     tune(spark)
     truth, given = tables[1], tables[1].select(*KEYS)
