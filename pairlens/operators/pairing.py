@@ -89,7 +89,8 @@ def _every(count: str) -> Column:
 
 
 def _one_of(count: str, hashed: Iterable[str]) -> Column:
-    return F.pmod(F.xxhash64(*hashed), F.coalesce(F.col(count), F.lit(1))).cast("int")
+    # Never NULL, so that no join looks for NULLs below the exchanges, which would keep plans that share them from doing so.
+    return F.coalesce(F.pmod(F.xxhash64(*hashed), F.coalesce(F.col(count), F.lit(1))).cast("int"), F.lit(0))
 
 
 def spread_over_slots(unique: DataFrame, heavy: DataFrame, ids: Iterable[str]) -> DataFrame:
