@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from ..config import REPORT_COLUMNS
 
 
+# Spark else keeps the shuffle files of an action until the driver's garbage collector finds its plan.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(
     result: DataFrame,
     path: str,
@@ -17,12 +21,17 @@ def save(
     partition_by: Iterable[str] = (),
     **options,
 ) -> None:
-    """Write a result with any format the session knows."""
+    """Write a result with any format the session knows. The shuffle files of the write are removed with it, so that saves in turn need the disk of one."""
     writer = result.write.mode(mode).format(format).options(**options)
     partitions = list(partition_by)
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer.save(path)
+    conf, own = result.sparkSession.conf, result.sparkSession.conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        writer.save(path)
+    finally:
+        conf.set(_CLEANUP, own)
 
 
 def save_batch(result: DataFrame, path: str, format: str = "parquet", batch_column: str = "batch_id", **options) -> None:

@@ -1,6 +1,8 @@
 """Tables by name, files by path, sinks and views."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +141,22 @@ def test_combine(spark):
 
 def test_batch_id_is_a_utc_stamp():
     assert len(Validator().batch_id) == 14 and Validator().batch_id.isdigit()
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.\w+", files.mkString(",")))
+
+
+def test_a_save_leaves_no_shuffle_files(spark, inputs, tmp_path):
+    """Batches saved in turn would else need the disk of all of them together."""
+    validator, before = Validator(ValidationConfig(), "b"), _shuffle_files(spark)
+    result = validator.run(*inputs)
+    for _ in range(2):
+        validator.save_batch(result, f"{tmp_path}/batches")
+    for _ in range(40):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.25)
+    assert not left
+    assert spark.read.parquet(f"{tmp_path}/batches").count() == result.count() == result.count() == 3
